@@ -1,0 +1 @@
+"""Empty on purpose: the engine is batch only, there is no stream operator to offer."""
