@@ -30,6 +30,7 @@ from gramloom.operators.tiles import Tiles, as_matrix
 # Side data (responses and model columns) up to this size is broadcast; above it, it is
 # joined by a shuffle on the chunk, of which there are then many.
 BROADCAST_BYTES = 128 * 1024 * 1024
+KEEP_LAYOUT_BYTES = 16 * 1024**3
 
 Position = tuple  # (pos,) for a single, (pos_a, pos_b) for a pair
 
@@ -278,32 +279,34 @@ def side_columns(
     )
 
 
-def _paired_rows(tiles: Tiles, weights: DataFrame, width: int, pairs: bool, parts: int) -> DataFrame:
-    """Send every tile to the block pairs it takes part in: one shuffle, rows sorted per pair."""
-    side = F.broadcast(weights) if tiles.n_samples * width * 8 <= BROADCAST_BYTES else weights
+def pair_layout(tiles: Tiles, pairs: bool, parts: int, weights: DataFrame | None = None) -> DataFrame:
+    """Send every tile to the block pairs it takes part in: one shuffle, rows sorted per pair.
+
+    ``weights`` (chunk, weights), if given, ride along on the left tile of each pair.
+    """
     n_blocks = tiles.n_blocks
     part = (F.col("chunk") % parts).alias("part")
-    none = F.lit(None).cast("array<double>").alias("weights")
-    last = n_blocks - 1 if pairs else None
-    lefts = tiles.df.join(side, "chunk").select(
+    extra = [] if weights is None else ["weights"]
+    lefts = (tiles.df if weights is None else tiles.df.join(weights, "chunk")).select(
         F.col("block").alias("block_a"),
-        F.explode(F.sequence(F.col("block"), F.lit(last) if pairs else F.col("block"))).alias("block_b"),
-        part, "chunk", F.lit(0).alias("side"), "positions", "values", "weights",
+        F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1) if pairs else F.col("block"))).alias("block_b"),
+        part, "chunk", F.lit(0).alias("side"), "positions", "values", *extra,
     )
     rows = lefts
     if pairs and n_blocks > 1:
+        none = [F.lit(None).cast("array<double>").alias(c) for c in extra]
         rights = tiles.df.where("block > 0").select(
             F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block_a"),
             F.col("block").alias("block_b"),
-            part, "chunk", F.lit(1).alias("side"), "positions", "values", none,
+            part, "chunk", F.lit(1).alias("side"), "positions", "values", *none,
         )
         rows = lefts.unionByName(rights)
-    keys = (n_blocks * (n_blocks + 1) // 2 if pairs else n_blocks) * parts
+    keys = _block_keys(tiles, pairs) * parts
     tasks = min(keys, max(_shuffle_partitions(tiles.df), keys // 4))
     # Pair (a, b) has the serial number a*n - a(a-1)/2 + (b - a): placing by it gives every
     # task the same number of pairs, which hashing would not.
     a, b = F.col("block_a").cast("long"), F.col("block_b").cast("long")
-    serial = (a * n_blocks - (a * (a - 1) / 2).cast("long") + (b - a)) if pairs else a
+    serial = (a * n_blocks - F.expr("cast(block_a as long) * (block_a - 1) div 2") + (b - a)) if pairs else a
     slot = ((serial * parts + F.col("part")) % tasks).cast("int")
     return (
         rows.withColumn("_slot", slot)
@@ -313,20 +316,51 @@ def _paired_rows(tiles: Tiles, weights: DataFrame, width: int, pairs: bool, part
     )
 
 
+def _block_keys(tiles: Tiles, pairs: bool) -> int:
+    return tiles.n_blocks * (tiles.n_blocks + 1) // 2 if pairs else tiles.n_blocks
+
+
+class Layout:
+    """Tiles placed for scanning, reused over the iterations of one run.
+
+    Placing costs n_blocks copies of the matrix. Up to ``keep_bytes`` the placed rows are
+    persisted and the small weights meet them by broadcast, so an iteration has no big
+    shuffle; beyond that, or with weights too large to broadcast, rows are placed anew
+    with the weights attached.
+    """
+
+    def __init__(self, tiles: Tiles, pairs: bool, parts: int | None = None, keep_bytes: int = KEEP_LAYOUT_BYTES):
+        self.tiles, self.pairs = tiles, pairs
+        self.parts = parts or _chunk_parts(tiles, pairs)
+        size = tiles.n_features * tiles.n_samples * 8 * (tiles.n_blocks if pairs else 1)
+        self.kept = pair_layout(tiles, pairs, self.parts).persist() if size <= keep_bytes else None
+
+    def rows(self, weights: DataFrame, width: int) -> DataFrame:
+        small = self.tiles.n_samples * width * 8 <= BROADCAST_BYTES
+        if self.kept is not None and small:
+            w = F.broadcast(weights.select(F.col("chunk").alias("_chunk"), "weights"))
+            return self.kept.join(w, (F.col("chunk") == F.col("_chunk")) & (F.col("side") == 0), "left")
+        return pair_layout(self.tiles, self.pairs, self.parts, F.broadcast(weights) if small else weights)
+
+    def unpersist(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+
+
 def _shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _chunk_parts(tiles: Tiles, pairs: bool) -> int:
     """How many tasks share the samples of one block pair (1 unless pairs are too few for the cores)."""
-    keys = tiles.n_blocks * (tiles.n_blocks + 1) // 2 if pairs else tiles.n_blocks
+    keys = _block_keys(tiles, pairs)
     cores = tiles.df.sparkSession.sparkContext.defaultParallelism
     return 1 if keys >= cores else min(tiles.n_chunks, max(1, 2 * cores // keys))
 
 
 def scan(
-    tiles: Tiles, weights: DataFrame, n_responses: int, n_columns: int, states: list[ModelState],
-    pairs: bool = True, best_only: bool = True, parts: int | None = None,
+    layout: Layout, weights: DataFrame, n_responses: int, n_columns: int, states: list[ModelState],
+    best_only: bool = True,
 ) -> DataFrame:
     """One scan job for all responses in ``states``.
 
@@ -334,9 +368,9 @@ def scan(
     candidate (ALL_SCHEMA).
     """
     width = n_responses + n_columns
+    tiles, pairs, parts = layout.tiles, layout.pairs, layout.parts
     n, sample_major = tiles.n_samples, tiles.sample_major
-    parts = parts or _chunk_parts(tiles, pairs)
-    rows = _paired_rows(tiles, weights, width, pairs, parts)
+    rows = layout.rows(weights, width)
     emit = _emit_best if best_only else _emit_all
     schema = BEST_SCHEMA if best_only else ALL_SCHEMA
     if parts == 1:

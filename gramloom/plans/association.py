@@ -56,7 +56,7 @@ def packed_source(
 ) -> TiledSource:
     """Packed variables and packed responses (name, pos, values), samples in the same order.
 
-    Unpersist ``source.tiles`` and ``source.responses`` when done.
+    Call ``source.close()`` when done.
     """
     names, means, squares = response_moments(responses)
     auto_block, auto_chunk = tile_shape(features.sparkSession, n_features, n_samples)

@@ -18,7 +18,7 @@ from gramloom.functions.numeric import rank_key
 from gramloom.functions.tails import t_tail
 from gramloom.operators.gram import Moments
 from gramloom.operators.ols import Fit, fit_cross, term_label
-from gramloom.operators.scan import ModelState, best_candidate, candidate_t, scan, side_columns
+from gramloom.operators.scan import Layout, ModelState, best_candidate, candidate_t, scan, side_columns
 from gramloom.operators.tiles import Tiles
 
 DEFAULT_THRESHOLD = 0.05
@@ -120,6 +120,9 @@ class GramSource:
     def labels(self, terms) -> dict:
         return {t: t for t in terms}
 
+    def close(self) -> None:
+        pass
+
 
 class TiledSource:
     """Candidates live in tiles on the executors; one scan job per iteration."""
@@ -128,7 +131,8 @@ class TiledSource:
         self, tiles: Tiles, responses: Tiles, index: DataFrame, response_names: list[str],
         response_means, response_squares, epistatic: bool = True,
     ):
-        self.tiles, self.responses, self.index, self.pairs = tiles, responses, index, epistatic
+        self.tiles, self.responses, self.index = tiles, responses, index
+        self.layout = Layout(tiles, epistatic)
         self.names = list(response_names)
         m = tiles.n_features
         self.n_terms = m + (m * (m - 1) // 2 if epistatic else 0)
@@ -144,7 +148,7 @@ class TiledSource:
         weights = side_columns(
             self.tiles, self.responses, self.cross.y_mean, union, [self.cross.mean[t] for t in union]
         )
-        scanned = scan(self.tiles, weights, len(self.names), len(union), states, self.pairs)
+        scanned = scan(self.layout, weights, len(self.names), len(union), states)
         out = {}
         n, p = self.tiles.n_samples, len(self.names)
         for row in best_candidate(scanned).collect():  # one row per response
@@ -158,6 +162,11 @@ class TiledSource:
             out[row["response"]] = (term, row["t"])
         return out
 
+    def close(self) -> None:
+        self.layout.unpersist()
+        self.tiles.unpersist()
+        self.responses.unpersist()
+
     def labels(self, terms) -> dict:
         wanted = sorted({p for t in terms for p in t})
         if not wanted:
