@@ -11,7 +11,8 @@ RANK_DIGITS = 10
 
 def significant(col: Column, digits: int = 8) -> Column:
     """Round a double to ``digits`` significant digits (and turn -0.0 into 0.0)."""
-    return F.format_string(f"%.{digits - 1}e", col.cast("double")).cast("double") + F.lit(0.0)
+    rounded = F.format_string(f"%.{digits - 1}e", col.cast("double")).cast("double") + F.lit(0.0)
+    return F.when(col.isNotNull(), rounded)
 
 
 def rank_key(t: np.ndarray) -> np.ndarray:

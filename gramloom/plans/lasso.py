@@ -7,19 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.operators.gram import gram_moments
+from gramloom.operators.gram import MAX_COLUMNS, gram_moments
 from gramloom.operators.ols import Fit, fit_moments
 from gramloom.plans.association import sample_source
 from gramloom.plans.stepwise import DEFAULT_THRESHOLD, StepwiseResult, run_stepwise
 
 DEFAULT_PENALTY = 0.01
 SGD_ITERATIONS = 100
+SGD_TOLERANCE = 1e-3
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,38 @@ def _exact(table, names, penalty, tolerance):
 
 
 def _sgd(table, names, penalty):
+    """Full-batch gradient steps. The gradient needs only X'X and X'y, so one pass over the
+    data replaces one pass per step; matrices too wide for that go through MLlib."""
+    width = table.select(F.size(vector_to_array("x"))).first()[0]
+    if width + len(names) > MAX_COLUMNS:
+        return _sgd_by_passes(table, names, penalty)
+    x = {f"x{i}": F.get("_x", F.lit(i)) for i in range(width)}
+    flat = table.select(vector_to_array("x").alias("_x"), *[f"y{i}" for i in range(len(names))])
+    m = gram_moments(flat, {**x, **{f"y{i}": F.col(f"y{i}") for i in range(len(names))}})
+    raw = m.cross / m.n + np.outer(m.mean, m.mean)
+    out = []
+    for i, name in enumerate(names):
+        weights = _descend(raw[:width, :width], raw[:width, width + i], penalty)
+        out.append(LassoModel(name, weights, 0.0))
+    return out
+
+
+def _descend(gram, target, penalty):
+    """Step size 1/sqrt(step), then soft threshold; ends when a step moves the weights by
+    less than SGD_TOLERANCE of their norm."""
+    w = np.zeros(len(target))
+    for step in range(1, SGD_ITERATIONS + 1):
+        size = 1.0 / np.sqrt(step)
+        moved = w - size * (gram @ w - target)
+        new = np.sign(moved) * np.maximum(np.abs(moved) - size * penalty, 0.0)
+        small = step > 1 and np.linalg.norm(new - w) < SGD_TOLERANCE * max(np.linalg.norm(new), 1.0)
+        w = new
+        if small:
+            break
+    return w
+
+
+def _sgd_by_passes(table, names, penalty):
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.regression import LabeledPoint, LassoWithSGD
 

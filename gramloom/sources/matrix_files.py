@@ -34,9 +34,13 @@ class Matrix:
         return self.features.select("pos", "name")
 
 
-def _doubles(fields: Column) -> Column:
-    """All fields but the first as doubles; a field that is no number fails the job."""
-    return F.slice(fields, F.lit(2), F.size(fields) - 1).cast("array<double>")
+def _doubles(fields: Column, is_data: Column) -> Column:
+    """All fields but the first as doubles; a field that is no number fails the job.
+
+    The condition stays inside the expression, because the optimizer may move a filter on
+    the result below the one that drops the header.
+    """
+    return F.when(is_data, F.slice(fields, F.lit(2), F.size(fields) - 1).cast("array<double>"))
 
 
 def read_epiq(spark: SparkSession, path: str) -> Matrix:
@@ -49,7 +53,7 @@ def read_epiq(spark: SparkSession, path: str) -> Matrix:
     samples = lines.where(is_header).select(F.posexplode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("idx", "sample"))
     data = numbered(lines.where(~is_header), "pos")
     features = data.select(
-        F.col("f")[0].alias("name"), F.col("pos").cast("int").alias("pos"), _doubles(F.col("f")).alias("values")
+        F.col("f")[0].alias("name"), F.col("pos").cast("int").alias("pos"), _doubles(F.col("f"), ~is_header).alias("values")
     )
     return Matrix(samples.select("sample", "idx"), features)
 
@@ -75,7 +79,8 @@ def read_delimited(
     lines = numbered(text_lines(spark, path)).select("line_no", fields.alias("f"))
     header = lines.where("line_no = 0").select(F.posexplode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("place", "label"))
     data = lines.where("line_no > 0").select(
-        F.col("f")[0].alias("key"), (F.col("line_no") - 1).cast("int").alias("row"), _doubles(F.col("f")).alias("values")
+        F.col("f")[0].alias("key"), (F.col("line_no") - 1).cast("int").alias("row"),
+        _doubles(F.col("f"), F.col("line_no") > 0).alias("values"),
     )
     if not columns_are_variants:
         return Matrix(
