@@ -34,7 +34,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
-    # Start the JVM, the code paths and the Python workers before the clock runs.
+    # Start the JVM, the code paths and one Python worker per core before the clock runs.
+    spark.range(0, 1024, 1, int(cpus)).mapInPandas(lambda it: it, "id long").count()
     check_queries.QUERIES["marginal_scan"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:

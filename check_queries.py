@@ -108,7 +108,11 @@ def _wide_phenotypes(spark, sf) -> DataFrame:
 def _wide_calls(spark, sf) -> DataFrame:
     return _wide(spark, sf).select(
         "vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "value")
-    ).withColumn("name", F.format_string("e%02d", "pos"))
+    )
+
+
+def _named(df):
+    return df.withColumn("name", F.format_string("e%02d", "pos"))
 
 
 def _wide_source(spark, sf, epistatic=True, responses=None):
@@ -249,7 +253,7 @@ def q_transpose_matrix(spark, sf):
 
 
 def _low_mean(spark, sf):
-    return _wide_calls(spark, sf).groupBy("name").agg(F.avg("value").alias("m")).where("m < 0").select("name")
+    return _named(_wide_calls(spark, sf).groupBy("pos").agg(F.avg("value").alias("m")).where("m < 0")).select("name")
 
 
 def q_exclude_variants(spark, sf):
@@ -366,7 +370,7 @@ def q_pair_product(spark, sf):
 
 
 def q_feature_moments(spark, sf):
-    out = matrix.feature_moments(_wide_calls(spark, sf), ["name"])
+    out = _named(matrix.feature_moments(_wide_calls(spark, sf), ["pos"]))
     return out.select("name", "n", *[significant(F.col(c)).alias(c) for c in ("total", "mean", "sum_squares")])
 
 
@@ -426,7 +430,7 @@ def q_anova_type3(spark, sf):
 
 
 def q_marginal_scan(spark, sf):
-    out = marginal_scan(_wide_calls(spark, sf), ["name"], "value", F.col("label").cast("double"))
+    out = _named(marginal_scan(_wide_calls(spark, sf), ["pos"], "value", F.col("label").cast("double")))
     return out.select(
         "name", F.col("n").cast("long").alias("n"),
         *[_round(F.col(c)).alias(c) for c in ("slope", "intercept", "t", "p")], significant(F.col("rss")).alias("rss"),

@@ -202,7 +202,7 @@ def _emit_all(sums, n, n_responses, states):
                     {
                         "response": np.full(int(ok.sum()), state.response, dtype=np.int32),
                         "pos_a": batch["pos_a"][ok],
-                        "pos_b": pd.array(batch["pos_b"][ok], dtype="Int32").astype("Int32"),
+                        "pos_b": batch["pos_b"][ok],
                         "t": t[ok],
                     }
                 )
@@ -229,24 +229,17 @@ def side_columns(
     Model columns are cut out of the tiles of the few blocks that hold them, so nothing
     N-sized passes through the driver and the lineage does not grow with the iterations.
     """
-    needed = sorted({p for term in terms for p in term})
     response_means = np.asarray(response_means, dtype=float)
     y_major, x_major = responses.sample_major, tiles.sample_major
+    wanted = {p for term in terms for p in term}
 
-    def centred(values, count):
-        return as_matrix(values, count, y_major) - response_means[:, None]
-
-    if not terms:
-        def plain(batches):
-            for pdf in batches:
-                yield pd.DataFrame(
-                    {
-                        "chunk": pdf["chunk"],
-                        "weights": [centred(v, len(p)).ravel() for v, p in zip(pdf["values"], pdf["positions"])],
-                    }
-                )
-
-        return responses.df.mapInPandas(plain, "chunk int, weights array<double>")
+    def centre(batches):
+        for pdf in batches:
+            flat = [
+                (as_matrix(v, len(p), y_major) - response_means[:, None]).ravel()
+                for v, p in zip(pdf["values"], pdf["positions"])
+            ]
+            yield pd.DataFrame({"chunk": pdf["chunk"], "pos": -1, "weights": flat})
 
     def cut(batches):
         for pdf in batches:
@@ -255,28 +248,24 @@ def side_columns(
                 hit = [i for i, p in enumerate(positions) if int(p) in wanted]
                 if hit:
                     yield pd.DataFrame(
-                        {"chunk": chunk, "pos": [int(positions[i]) for i in hit], "column": [m[i] for i in hit]}
+                        {"chunk": chunk, "pos": [int(positions[i]) for i in hit], "weights": [m[i] for i in hit]}
                     )
 
-    wanted = set(needed)
-    blocks = sorted({p // tiles.block for p in needed})
-    columns = tiles.df.where(F.col("block").isin(blocks)).mapInPandas(
-        cut, "chunk int, pos int, column array<double>"
-    )
-
-    def stack(y: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        found = dict(zip(x["pos"], x["column"]))
-        rows = [centred(y["values"].iloc[0], len(y["positions"].iloc[0]))]
+    def stack(pdf):
+        found = dict(zip(pdf["pos"], pdf["weights"]))
+        rows = [found[-1]]
         for term, mean in zip(terms, means):
-            column = found[term[0]] * found[term[1]] if len(term) == 2 else found[term[0]]
-            rows.append((column - mean)[None])
-        return pd.DataFrame({"chunk": [y["chunk"].iloc[0]], "weights": [np.concatenate(rows).ravel()]})
+            rows.append((found[term[0]] * found[term[1]] if len(term) == 2 else found[term[0]]) - mean)
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "weights": [np.concatenate(rows)]})
 
-    return (
-        responses.df.groupBy("chunk")
-        .cogroup(columns.groupBy("chunk"))
-        .applyInPandas(stack, "chunk int, weights array<double>")
-    )
+    schema = "chunk int, pos int, weights array<double>"
+    y = responses.df.mapInPandas(centre, schema)
+    if not terms:
+        return y.drop("pos")
+    blocks = sorted({p // tiles.block for p in wanted})
+    columns = tiles.df.where(F.col("block").isin(blocks)).mapInPandas(cut, schema)
+    # a group is one chunk of the responses and of the model's few columns
+    return y.unionByName(columns).groupBy("chunk").applyInPandas(stack, "chunk int, weights array<double>")
 
 
 def pair_layout(tiles: Tiles, pairs: bool, parts: int, weights: DataFrame | None = None) -> DataFrame:
@@ -365,7 +354,7 @@ def scan(
     """One scan job for all responses in ``states``.
 
     ``best_only``: one row per task and response (BEST_SCHEMA). Otherwise the t of every
-    candidate (ALL_SCHEMA).
+    candidate (ALL_SCHEMA; pos_b is -1 for singles).
     """
     width = n_responses + n_columns
     tiles, pairs, parts = layout.tiles, layout.pairs, layout.parts

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BLOCK = 512
+MAX_BLOCK = 1024
 MIN_BLOCK = 16
 CHUNK = 4096
 

@@ -13,7 +13,7 @@ from gramloom.operators.tiles import CHUNK, MAX_BLOCK, MIN_BLOCK, Tiles, tile_fe
 from gramloom.plans.stepwise import GramSource, TiledSource
 
 # The running sums of one block pair stay below this size.
-SUMS_BYTES = 256 * 1024 * 1024
+SUMS_BYTES = 384 * 1024 * 1024
 
 
 def tall_source(
@@ -47,7 +47,7 @@ def response_moments(responses: DataFrame) -> tuple[list, list, list]:
 
 
 def _block_limit(n_responses: int) -> int:
-    return max(MIN_BLOCK, min(MAX_BLOCK, int(math.sqrt(SUMS_BYTES / 8 / (n_responses + 32)))))
+    return max(MIN_BLOCK, min(MAX_BLOCK, int(math.sqrt(SUMS_BYTES / 8 / (n_responses + 34)))))
 
 
 def packed_source(

@@ -18,7 +18,7 @@ from gramloom.functions.numeric import rank_key
 from gramloom.functions.tails import t_tail
 from gramloom.operators.gram import Moments
 from gramloom.operators.ols import Fit, fit_cross, term_label
-from gramloom.operators.scan import Layout, ModelState, best_candidate, candidate_t, scan, side_columns
+from gramloom.operators.scan import KEEP_LAYOUT_BYTES, Layout, ModelState, best_candidate, candidate_t, scan, side_columns
 from gramloom.operators.tiles import Tiles
 
 DEFAULT_THRESHOLD = 0.05
@@ -129,10 +129,10 @@ class TiledSource:
 
     def __init__(
         self, tiles: Tiles, responses: Tiles, index: DataFrame, response_names: list[str],
-        response_means, response_squares, epistatic: bool = True,
+        response_means, response_squares, epistatic: bool = True, keep_bytes: int = KEEP_LAYOUT_BYTES,
     ):
         self.tiles, self.responses, self.index = tiles, responses, index
-        self.layout = Layout(tiles, epistatic)
+        self.layout = Layout(tiles, epistatic, keep_bytes=keep_bytes)
         self.names = list(response_names)
         m = tiles.n_features
         self.n_terms = m + (m * (m - 1) // 2 if epistatic else 0)
