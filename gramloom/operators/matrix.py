@@ -62,7 +62,7 @@ def features_from_calls(calls: DataFrame) -> DataFrame:
     """Long to packed; a group is one variable, so its size is the number of samples."""
     return calls.groupBy("name", "pos").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda s: s["value"]
+            F.sort_array(F.collect_list(F.struct("sample_idx", "value"))), lambda s: s["value"]
         ).alias("values")
     )
 
@@ -73,7 +73,7 @@ def transpose_features(features: DataFrame) -> DataFrame:
         calls_from_features(features)
         .groupBy("sample_idx")
         .agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("values")
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("values")
         )
     )
 
@@ -98,7 +98,7 @@ def pack_arrays(df: DataFrame, idx: str, array: str, slice_width: int = 256) ->
         .groupBy((F.col("_block") * slice_width + F.col("_j")).cast("int").alias("pos"))
         .agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("_idx", F.col("_v").cast("double").alias("v")))), lambda s: s["v"]
+                F.sort_array(F.collect_list(F.struct("_idx", F.col("_v").cast("double").alias("v")))), lambda s: s["v"]
             ).alias("values")
         )
     )

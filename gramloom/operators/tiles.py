@@ -25,6 +25,7 @@ class Tiles:
 
     ``values`` is variable-major unless ``sample_major``. ``positions`` are the variables'
     global positions; rows of one chunk stand in the same sample order in every tile.
+    Tiles made from named features carry ``names`` as well.
     """
 
     df: DataFrame
@@ -78,9 +79,11 @@ def tile_features(
     """Tiles from packed features (pos int, values array<double>); ``pos`` runs from 0 without gaps."""
     block, chunk = _shape(features, n_features, n_samples, block, chunk)
     n_chunks = max(1, math.ceil(n_samples / chunk))
+    named = ["name"] if "name" in features.columns else []
     parts = features.select(
         (F.col("pos") / block).cast("int").alias("block"),
         F.col("pos").cast("int").alias("pos"),
+        *named,
         F.posexplode(
             F.transform(
                 F.sequence(F.lit(0), F.lit(n_chunks - 1)), lambda c: F.slice("values", c * chunk + 1, chunk)
@@ -89,12 +92,13 @@ def tile_features(
     )
     df = (
         parts.groupBy("block", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("rows"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", *named, "part"))).alias("rows"))
         .select(
             "block",
             "chunk",
             F.col("rows.pos").alias("positions"),
             F.flatten("rows.part").alias("values"),
+            *[F.col("rows.name").alias("names") for _ in named],
         )
     )
     return Tiles(df, n_features, n_samples, block, chunk)
@@ -118,7 +122,7 @@ def tile_samples(
     )
     tiles = (
         parts.groupBy("block", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("_idx", "part"))).alias("rows"))
+        .agg(F.sort_array(F.collect_list(F.struct("_idx", "part"))).alias("rows"))
         .select(
             "block",
             "chunk",
@@ -153,5 +157,5 @@ def to_sample_rows(tiles: Tiles) -> DataFrame:
     return (
         tiles.df.mapInPandas(turn, "sample_idx long, block int, part array<double>")
         .groupBy("sample_idx")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda s: s["part"])).alias("values"))
+        .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "part"))), lambda s: s["part"])).alias("values"))
     )

@@ -64,7 +64,7 @@ def packed_source(
     chunk = chunk or auto_chunk
     tiles = tile_features(features, n_features, n_samples, block, chunk).persist()
     y = tile_features(responses, len(names), n_samples, max(1, len(names)), chunk).persist()
-    return TiledSource(tiles, y, features.select("pos", "name"), names, means, squares, epistatic)
+    return TiledSource(tiles, y, None, names, means, squares, epistatic)
 
 
 def sample_source(

@@ -14,6 +14,7 @@ from gramloom.plans.association import packed_source
 from gramloom.plans.lasso import fit_lasso, lasso_remove, models_frame, refit, weights_frame
 from gramloom.plans.stepwise import DEFAULT_THRESHOLD, StepwiseResult, run_stepwise
 from gramloom.sources import Matrix, read_delimited, read_epiq, read_genotypes, read_pedmap
+from gramloom.sources.lines import keep_small
 from gramloom.sources.matrix_files import checked, handle_missing
 from gramloom.sources.sinks import (
     model_report, require_absent, write_epiq, write_lasso_json, write_report,
@@ -32,7 +33,7 @@ def _load(spark, phenotypes, epiq, ped, map, missing):
         # places of the kept samples in the response arrays
         places = (
             genotypes.samples.select("sample").join(responses.samples, "sample")
-            .agg(F.array_sort(F.collect_list("idx")).alias("_keep")).withColumn("_one", F.lit(1))
+            .agg(F.sort_array(F.collect_list("idx")).alias("_keep")).withColumn("_one", F.lit(1))
         )
         kept = responses.features.withColumn("_one", F.lit(1)).join(F.broadcast(places), "_one").select(
             "name", "pos", F.transform("_keep", lambda i: F.element_at("values", i.cast("int") + 1)).alias("values")
@@ -69,6 +70,7 @@ def stepwise_from_matrices(
             source.close()
     spark = genotypes.features.sparkSession
     table, names = _sample_table(genotypes, responses)
+    index = keep_small(genotypes.index)
     total = StepwiseResult()
     for model in fit_lasso(table, "x", _response_columns(names), solver):
         kept = model.kept()
@@ -76,7 +78,7 @@ def stepwise_from_matrices(
             total.fits[model.phenotype] = None
             continue
         dense = spark.createDataFrame([(p, i) for i, p in enumerate(kept)], "pos int, dense int")
-        removed = lasso_remove(weights_frame(spark, [model], genotypes.index)).select("name")
+        removed = lasso_remove(weights_frame(spark, [model], index)).select("name")
         features = (
             exclude_variables(genotypes.features, removed).join(dense, "pos")
             .select("name", F.col("dense").alias("pos"), "values")
@@ -147,21 +149,22 @@ def run_lasso(
     genotypes, responses = _load(spark, phenotypes, epiq, ped, map, missing)
     require_same_samples(genotypes.samples, responses.samples)
     table, names = _sample_table(genotypes, responses)
-    columns = _response_columns(names)
-    models = fit_lasso(table, "x", columns, solver)
-    write_lasso_json(weights_frame(spark, models, genotypes.index), models_frame(spark, models), f"{out}/models")
-    union = sorted({i for m in models for i in m.kept()})
-    found = genotypes.index.where(F.col("pos").isin(union)).collect() if union else []
-    by_pos = {r["pos"]: r["name"] for r in found}
-    fits = refit(table, "x", columns, models, by_pos)
+    table = table.persist()  # the fits and the refit read it
+    try:
+        columns, index = _response_columns(names), keep_small(genotypes.index)
+        models = fit_lasso(table, "x", columns, solver)
+        write_lasso_json(weights_frame(spark, models, index), models_frame(spark, models), f"{out}/models")
+        union = sorted({i for m in models for i in m.kept()})
+        found = index.where(F.col("pos").isin(union)).collect() if union else []
+        fits = refit(table, "x", columns, models, {r["pos"]: r["name"] for r in found})
+    finally:
+        table.unpersist()
     done = [f for f in fits if f is not None]
-    anova_frame(spark, done).repartition("phenotype").write.partitionBy("phenotype").parquet(f"{out}/anova")
-    header = _report_header(
-        spark, {}, "", "", (), ""
-    ) if done else spark.createDataFrame(
-        [(m.phenotype, 0, "No variants were kept") for m in models], "phenotype string, line_no int, line string"
-    )
-    write_report(model_report(anova_frame(spark, done), header), f"{out}/report")
+    anova = anova_frame(spark, done)
+    anova.repartition("phenotype").write.partitionBy("phenotype").parquet(f"{out}/anova")
+    empty = [(m.phenotype, 0, "No variants were kept") for m, f in zip(models, fits) if f is None]
+    notes = spark.createDataFrame(empty, "phenotype string, line_no int, line string")
+    write_report(model_report(anova, notes), f"{out}/report")
     return fits
 
 

@@ -128,7 +128,7 @@ class TiledSource:
     """Candidates live in tiles on the executors; one scan job per iteration."""
 
     def __init__(
-        self, tiles: Tiles, responses: Tiles, index: DataFrame, response_names: list[str],
+        self, tiles: Tiles, responses: Tiles, index: DataFrame | None, response_names: list[str],
         response_means, response_squares, epistatic: bool = True, keep_bytes: int = KEEP_LAYOUT_BYTES,
     ):
         self.tiles, self.responses, self.index = tiles, responses, index
@@ -171,7 +171,14 @@ class TiledSource:
         wanted = sorted({p for t in terms for p in t})
         if not wanted:
             return {}
-        rows = self.index.where(F.col("pos").isin(wanted)).select("pos", "name").collect()
+        if "names" in self.tiles.df.columns:  # kept tiles, so the source is not read again
+            blocks = sorted({p // self.tiles.block for p in wanted})
+            index = self.tiles.df.where((F.col("chunk") == 0) & F.col("block").isin(blocks)).select(
+                F.inline(F.arrays_zip(F.col("positions").alias("pos"), F.col("names").alias("name")))
+            )
+        else:
+            index = self.index
+        rows = index.where(F.col("pos").isin(wanted)).select("pos", "name").collect()
         name = {r["pos"]: r["name"] for r in rows}
         return {t: name[t[0]] if len(t) == 1 else (name[t[0]], name[t[1]]) for t in terms}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,24 +11,39 @@ from pyspark.sql import functions as F
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty lines (value) with the input split they come from."""
     return spark.read.text(path).select(
-        F.regexp_replace("value", "\\r$", "").alias("value"),
+        "value",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
     ).where(F.length("value") > 0)
 
 
-def numbered(lines: DataFrame, number: str = "line_no") -> DataFrame:
-    """Add a dense 0-based number in file order.
+def keep_small(df: DataFrame) -> DataFrame:
+    """Persist a small frame that several jobs use.
+
+    The tag makes its plan unique: a later read of the same path, whose content may have
+    changed by then, can never be answered from this copy.
+    """
+    return df.withColumn("_tag", F.lit(uuid.uuid4().hex)).persist().drop("_tag")
+
+
+def split_offsets(marked: DataFrame) -> DataFrame:
+    """One row per input split: its line count, its first monotonic id, the lines before it."""
+    splits = marked.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    return keep_small(splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+
+
+def numbered(lines: DataFrame, number: str = "line_no") -> tuple[DataFrame, DataFrame]:
+    """Lines with a dense 0-based number in file order, and a one-row frame with their count.
 
     Lines of one input split stand together in one task, so their rank inside the split is
     a difference of monotonic ids. Only one small row per split (not per line) is sorted
     and broadcast: 100 TB in 128 MB splits make 800,000 such rows.
     """
     marked = lines.withColumn("_mid", F.monotonically_increasing_id())
-    splits = marked.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = split_offsets(marked)
     keep = [c for c in lines.columns if c not in ("_file", "_start")]
-    return marked.join(F.broadcast(offsets), ["_file", "_start"]).select(
+    placed = marked.join(F.broadcast(offsets), ["_file", "_start"]).select(
         *keep, (F.col("_before") + F.col("_mid") - F.col("_first")).alias(number)
     )
+    return placed, offsets.agg(F.sum("_n").alias("n"))

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.sources.lines import numbered, text_lines
+from gramloom.sources.lines import keep_small, numbered, text_lines
 
 # Accepted texts of the top-left cell; the first is the one written.
 HEADER_LABELS = ("HeaderLine", "Headerline", "Placeholder")
@@ -16,10 +16,15 @@ HEADER_LABELS = ("HeaderLine", "Headerline", "Placeholder")
 
 @dataclass(frozen=True)
 class Matrix:
-    """``samples`` (sample, idx) and packed ``features`` (name, pos, values); values follow idx."""
+    """``samples`` (sample, idx) and packed ``features`` (name, pos, values); values follow idx.
+
+    ``count`` is a one-row frame with the number of features where a cheaper way than
+    counting ``features`` is known.
+    """
 
     samples: DataFrame
     features: DataFrame
+    count: DataFrame | None = None
 
     @cached_property
     def n_samples(self) -> int:
@@ -27,7 +32,7 @@ class Matrix:
 
     @cached_property
     def n_features(self) -> int:
-        return self.features.count()
+        return self.features.count() if self.count is None else int(self.count.first()[0] or 0)
 
     @property
     def index(self) -> DataFrame:
@@ -48,14 +53,17 @@ def read_epiq(spark: SparkSession, path: str) -> Matrix:
 
     The header line may stand anywhere; it is known by its first field.
     """
-    lines = text_lines(spark, path).withColumn("f", F.split("value", "\t")).drop("value")
-    is_header = F.col("f")[0].isin(*HEADER_LABELS)
-    samples = lines.where(is_header).select(F.posexplode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("idx", "sample"))
-    data = numbered(lines.where(~is_header), "pos")
+    lines = text_lines(spark, path)
+    is_header = F.substring_index("value", "\t", 1).isin(*HEADER_LABELS)
+    fields = F.split("value", "\t")
+    samples = lines.where(is_header).select(
+        F.posexplode(F.slice(fields, F.lit(2), F.size(fields) - 1)).alias("idx", "sample")
+    )
+    data, count = numbered(lines.where(~is_header), "pos")
     features = data.select(
-        F.col("f")[0].alias("name"), F.col("pos").cast("int").alias("pos"), _doubles(F.col("f"), ~is_header).alias("values")
+        fields[0].alias("name"), F.col("pos").cast("int").alias("pos"), _doubles(fields, ~is_header).alias("values")
     )
-    return Matrix(samples.select("sample", "idx"), features)
+    return Matrix(keep_small(samples.select("sample", "idx")), features, count)
 
 
 def read_delimited(
@@ -76,7 +84,7 @@ def read_delimited(
             ),
             lambda s: s["x"],
         )
-    lines = numbered(text_lines(spark, path)).select("line_no", fields.alias("f"))
+    lines = numbered(text_lines(spark, path))[0].select("line_no", fields.alias("f"))
     header = lines.where("line_no = 0").select(F.posexplode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("place", "label"))
     data = lines.where("line_no > 0").select(
         F.col("f")[0].alias("key"), (F.col("line_no") - 1).cast("int").alias("row"),
@@ -90,7 +98,7 @@ def read_delimited(
     turned = (
         data.select("row", F.posexplode("values").alias("pos", "v"))
         .groupBy("pos")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "v"))), lambda s: s["v"]).alias("values"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "v"))), lambda s: s["v"]).alias("values"))
     )
     names = header.select(F.col("label").alias("name"), F.col("place").alias("pos"))
     return Matrix(
@@ -105,7 +113,7 @@ def checked(matrix: Matrix) -> Matrix:
     values = F.when(F.size("values") == n, F.col("values")).otherwise(
         F.raise_error(F.concat(F.lit(f"expected {n} values in "), F.col("name")))
     )
-    return Matrix(matrix.samples, matrix.features.select("name", "pos", values.alias("values")))
+    return Matrix(matrix.samples, matrix.features.select("name", "pos", values.alias("values")), matrix.count)
 
 
 def handle_missing(matrix: Matrix, policy: str = "fail") -> Matrix:
@@ -117,21 +125,21 @@ def handle_missing(matrix: Matrix, policy: str = "fail") -> Matrix:
         whole = F.when(F.exists("values", lambda v: v.isNull()), F.raise_error(
             F.concat(F.lit("missing values in "), F.col("name"), F.lit("; choose a missing policy"))
         )).otherwise(F.col("values"))
-        return Matrix(matrix.samples, f.select("name", "pos", whole.alias("values")))
+        return Matrix(matrix.samples, f.select("name", "pos", whole.alias("values")), matrix.count)
     if policy == "mean_impute":
         known = f.withColumn("_k", F.filter("values", lambda v: v.isNotNull()))
         mean = F.aggregate("_k", F.lit(0.0), lambda acc, v: acc + v) / F.nullif(F.size("_k"), F.lit(0))
         filled = known.withColumn("_m", mean).select(
             "name", "pos", F.transform("values", lambda v: F.coalesce(v, F.col("_m"))).alias("values")
         )
-        return Matrix(matrix.samples, filled)
+        return Matrix(matrix.samples, filled, matrix.count)
     if policy == "drop_samples":
         holes = f.select(
             F.explode(F.filter(F.transform("values", lambda v, i: F.when(v.isNull(), i)), lambda i: i.isNotNull())).alias("idx")
         ).distinct()
         kept = matrix.samples.join(holes, "idx", "left_anti")
         # One row with the kept places (an int per sample at most) meets every feature.
-        places = kept.agg(F.array_sort(F.collect_list("idx")).alias("_keep")).withColumn("_one", F.lit(1))
+        places = kept.agg(F.sort_array(F.collect_list("idx")).alias("_keep")).withColumn("_one", F.lit(1))
         lookup = lambda frame: frame.withColumn("_one", F.lit(1)).join(F.broadcast(places), "_one")
         features = lookup(f).select(
             "name", "pos", F.transform("_keep", lambda i: F.element_at("values", i.cast("int") + 1)).alias("values")
@@ -139,5 +147,5 @@ def handle_missing(matrix: Matrix, policy: str = "fail") -> Matrix:
         ranked = lookup(kept).select(
             "sample", (F.array_position("_keep", F.col("idx")) - 1).cast("int").alias("idx")
         )
-        return Matrix(ranked, features)
+        return Matrix(keep_small(ranked), features, matrix.count)
     raise ValueError("missing must be fail, mean_impute or drop_samples")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramloom.operators.alleles import allele_counts, major_minor, recode
-from gramloom.sources.lines import numbered, text_lines
+from gramloom.sources.lines import keep_small, numbered, text_lines
 from gramloom.sources.matrix_files import Matrix
 
 BLOCK = 256
@@ -19,7 +19,7 @@ BLOCK = 256
 def read_map(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:
     """(chrom, variant, cm, bp, pos)."""
     f = F.split("value", delimiter)
-    return numbered(text_lines(spark, path), "pos").select(
+    return numbered(text_lines(spark, path), "pos")[0].select(
         f[0].alias("chrom"), f[1].alias("variant"), F.get(f, F.lit(2)).try_cast("double").alias("cm"),
         F.get(f, F.lit(3)).try_cast("bigint").alias("bp"), F.col("pos").cast("int").alias("pos"),
     )
@@ -29,7 +29,7 @@ def read_ped(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:
     """(idx, fid, iid, pat, mat, sex, phen, alleles)."""
     f = F.split("value", delimiter)
     names = ["fid", "iid", "pat", "mat", "sex", "phen"]
-    return numbered(text_lines(spark, path), "idx").select(
+    return numbered(text_lines(spark, path), "idx")[0].select(
         F.col("idx").cast("int").alias("idx"),
         *[f[i].alias(n) for i, n in enumerate(names)],
         F.slice(f, F.lit(7), F.greatest(F.size(f) - 6, F.lit(0))).alias("alleles"),
@@ -66,7 +66,7 @@ def encode_blocks(ped: DataFrame, table: DataFrame, block: int = BLOCK) -> DataF
     """(idx, block, genotypes): 0/1/2 per marker of a slice, null where unknown."""
     by_block = (
         table.groupBy((F.col("pos") / block).cast("int").alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "major", "minor"))).alias("t"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "major", "minor"))).alias("t"))
         .select("block", F.col("t.major").alias("majors"), F.col("t.minor").alias("minors"))
     )
     n_blocks = F.ceil(F.size("alleles") / (2 * block)).cast("int")
@@ -94,7 +94,8 @@ def read_pedmap(
     make two samples collide; that is an error here.
     """
     ped, markers = read_ped(spark, ped_path, delimiter), read_map(spark, map_path, delimiter)
-    samples = ped.select(F.concat_ws(sample_sep, "fid", "iid").alias("sample"), "idx")
+    samples = keep_small(ped.select(F.concat_ws(sample_sep, "fid", "iid").alias("sample"), "idx"))
+    markers = keep_small(markers)
     twice = samples.groupBy("sample").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"sample name {twice[0]['sample']!r} occurs twice; set sample_sep")
@@ -102,7 +103,7 @@ def read_pedmap(
     features = (
         coded.select("idx", "block", F.posexplode("genotypes").alias("j", "v"))
         .groupBy((F.col("block") * BLOCK + F.col("j")).alias("pos"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"]).alias("values"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"]).alias("values"))
         .join(markers.select("pos", F.col("variant").alias("name")), "pos")
     )
-    return Matrix(samples, features.select("name", "pos", "values"))
+    return Matrix(samples, features.select("name", "pos", "values"), markers.agg(F.count(F.lit(1))))

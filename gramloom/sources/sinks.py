@@ -23,7 +23,7 @@ def require_absent(spark: SparkSession, path: str) -> None:
 
 def epiq_lines(matrix: Matrix) -> DataFrame:
     """(pos, value): the header line at -1, then one line per variable."""
-    header = matrix.samples.agg(F.array_sort(F.collect_list(F.struct("idx", "sample"))).alias("s")).select(
+    header = matrix.samples.agg(F.sort_array(F.collect_list(F.struct("idx", "sample"))).alias("s")).select(
         F.lit(-1).alias("pos"), F.concat_ws("\t", F.lit(HEADER_LABELS[0]), F.col("s.sample")).alias("value")
     )
     text = F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("NaN")))
@@ -63,7 +63,7 @@ def lasso_documents(weights: DataFrame, models: DataFrame) -> DataFrame:
     """(phenotype, weights, intercept); weights is a list of one-entry maps in variable order."""
     packed = weights.groupBy("phenotype").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "name", "weight"))),
+            F.sort_array(F.collect_list(F.struct("pos", "name", "weight"))),
             lambda s: F.create_map(s["name"], s["weight"]),
         ).alias("weights")
     )
