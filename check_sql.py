@@ -173,10 +173,13 @@ SCORED = f"""SELECT ph AS response, printf('e%02d', a) AS a, CASE WHEN b >= 0 TH
 TERM_NAME = "(SELECT printf('e%02d', a) || CASE WHEN b >= 0 THEN printf('_e%02d', b) ELSE '' END FROM num WHERE k = {k})"
 
 
-def stepwise(keep: str, responses: str, threshold: float) -> str:
+ALL_USABLE = "usable AS (SELECT ph, (SELECT list(true ORDER BY k) FROM num) AS ok FROM resp)"
+
+
+def stepwise(keep: str, responses: str, threshold: float, usable: str = ALL_USABLE) -> str:
     """CTEs of the whole loop. The state is the matrix swept on the model's terms: diagonal and
     last column then hold inverse, coefficients and residual square sum. One sweep per step."""
-    return f"""{WIDE_LISTS.format(keep=keep)}, size AS (SELECT count(*) + 1 AS t FROM num),
+    return f"""{WIDE_LISTS.format(keep=keep)}, {usable}, size AS (SELECT count(*) + 1 AS t FROM num),
 vars AS (
   SELECT ph, k, v FROM num, respc WHERE {responses}
   UNION ALL SELECT ph, (SELECT t FROM size), y FROM respc WHERE {responses}
@@ -184,12 +187,12 @@ vars AS (
   SELECT l.ph, list(list_dot_product(l.v, r.v) ORDER BY l.k, r.k) AS m FROM vars l JOIN vars r ON l.ph = r.ph GROUP BY l.ph
 ), start AS (
   SELECT gram.ph, m, (SELECT t FROM size)::BIGINT AS t, (SELECT count(*) FROM embeddings)::BIGINT AS n,
-    (SELECT list(zz ORDER BY k) FROM num) AS zz FROM gram
+    (SELECT list(zz ORDER BY k) FROM num) AS zz, ok FROM gram JOIN usable ON usable.ph = gram.ph
 ), steps AS (
-  SELECT ph, m, t, n, zz, 0::BIGINT AS iter, []::BIGINT[] AS added, []::BIGINT[] AS skipped, []::BIGINT[] AS pending, false AS done,
+  SELECT ph, m, t, n, zz, ok, 0::BIGINT AS iter, []::BIGINT[] AS added, []::BIGINT[] AS skipped, []::BIGINT[] AS pending, false AS done,
     []::STRUCT(iteration BIGINT, event VARCHAR, k BIGINT, t DOUBLE, p DOUBLE)[] AS events FROM start
   UNION ALL
-  SELECT ph, m2, t, n, zz, CASE WHEN leaving THEN iter ELSE iter + 1 END, added2, 
+  SELECT ph, m2, t, n, zz, ok, CASE WHEN leaving THEN iter ELSE iter + 1 END, added2, 
     CASE WHEN leaving THEN skipped WHEN enters THEN weak ELSE skipped END,
     CASE WHEN leaving THEN pending[2:] WHEN enters THEN weak ELSE []::BIGINT[] END,
     NOT leaving AND NOT enters,
@@ -218,7 +221,7 @@ vars AS (
                 SELECT *, list_position(ranks, list_max(ranks)) AS best FROM (
                   SELECT *, list_transform(ts, lambda z: CAST(printf('%.9e', abs(z)) AS DOUBLE)) AS ranks FROM (
                     SELECT *, len(pending) > 0 AS leaving,
-                      list_transform(range(1, t), lambda j: CASE WHEN NOT list_contains(added, j) AND NOT list_contains(skipped, j)
+                      list_transform(range(1, t), lambda j: CASE WHEN ok[j] AND NOT list_contains(added, j) AND NOT list_contains(skipped, j)
                           AND m[(j-1)*t+j] > 1e-8 * zz[j]
                         THEN m[(j-1)*t+t] / sqrt(m[(j-1)*t+j] * (m[t*t] - m[(j-1)*t+t] * m[(j-1)*t+t] / m[(j-1)*t+j]) / (n - len(added) - 2)) END) AS ts
                     FROM steps WHERE NOT done
@@ -245,12 +248,12 @@ FROM (
 )"""
 
 # Full-batch gradient descent with soft threshold on X'X / n and X'y / n.
-SGD = f"""{WIDE_LISTS.format(keep='b < 0')}, ux AS (SELECT pos + 1 AS k, v FROM base),
-g AS (SELECT list(r ORDER BY k) AS g FROM (
+SGD_STEPS = f"""ux AS (SELECT pos + 1 AS k, v FROM base),
+xx AS (SELECT list(r ORDER BY k) AS g FROM (
   SELECT a.k, list(list_dot_product(a.v, b.v) / len(a.v) ORDER BY b.k) AS r FROM ux a, ux b GROUP BY a.k)),
 target AS (SELECT ph, list(list_dot_product(v, y) / len(v) ORDER BY k) AS xy FROM ux, resp GROUP BY ph),
 descent AS (
-  SELECT ph, xy, g, 0 AS step, list_transform(xy, lambda q: 0.0::DOUBLE) AS w, false AS done FROM target, g
+  SELECT ph, xy, g, 0 AS step, list_transform(xy, lambda q: 0.0::DOUBLE) AS w, false AS done FROM target, xx
   UNION ALL
   SELECT ph, xy, g, step + 1, w2, step + 1 >= 100 OR (step >= 1 AND sqrt(list_sum(list_transform(list_zip(w2, w), lambda q: pow(q[1] - q[2], 2))))
     < 0.001 * greatest(sqrt(list_dot_product(w2, w2)), 1.0))
@@ -258,11 +261,19 @@ descent AS (
     SELECT *, list_transform(moved, lambda q: CASE WHEN q < 0 THEN -1.0 ELSE 1.0 END * greatest(abs(q) - {LASSO_PENALTY} / sqrt(step + 1), 0.0)) AS w2 FROM (
       SELECT *, list_transform(range(1, len(w) + 1), lambda j: w[j] - (list_dot_product(g[j], w) - xy[j]) / sqrt(step + 1)) AS moved
       FROM descent WHERE NOT done))
-), weights AS (
+), weights AS MATERIALIZED (
   SELECT ph AS phenotype, u.i::INT - 1 AS pos, printf('e%02d', u.i::INT - 1) AS name, u.weight FROM (
     SELECT ph, unnest(w) AS weight, generate_subscripts(w, 1) AS i FROM descent WHERE done) u
 )"""
 
+SGD = f"{WIDE_LISTS.format(keep='b < 0')}, {SGD_STEPS}"
+
+LASSO_USABLE = f"""{SGD_STEPS}, usable AS MATERIALIZED (
+  SELECT r.ph, list(list_contains(kept.at, num.a) AND (num.b < 0 OR list_contains(kept.at, num.b)) ORDER BY num.k) AS ok
+  FROM resp r JOIN (SELECT phenotype AS ph, list(pos) AS at FROM weights WHERE weight <> 0 GROUP BY phenotype) kept ON kept.ph = r.ph, num
+  GROUP BY r.ph
+)"""
+
 # Exact LASSO: proximal gradient steps on the centred normal equations, run to convergence.
 EXACT = f"""{WIDE_LISTS.format(keep='b < 0')},
 g AS (SELECT list(r ORDER BY k) AS g FROM (
@@ -461,5 +472,6 @@ SELECT {sig('ll')} AS log_likelihood, {sig('-2*ll + 10')} AS aic, {sig('-2*ll +
     "lasso_keep": f"WITH RECURSIVE {SGD} SELECT phenotype, name FROM weights WHERE weight <> 0",
     "lasso_remove": f"WITH RECURSIVE {SGD} SELECT phenotype, name FROM weights WHERE weight = 0",
     "lasso_weights": f"WITH RECURSIVE {EXACT}",
+    "lasso_then_stepwise": f"WITH RECURSIVE {stepwise('true', 'true', PAIR_THRESHOLD, LASSO_USABLE)} {TRACE}",
     "lasso_anova": f"WITH RECURSIVE {LASSO_ANOVA}",
 }
