@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramloom.operators.tiles import CHUNK, pack_tiles, slice_arrays, tile_slices
+
 
 def delete_columns(df: DataFrame, indices: list[int]) -> DataFrame:
     """Drop columns by 0-based position."""
@@ -78,30 +80,12 @@ def transpose_features(features: DataFrame) -> DataFrame:
     )
 
 
-def pack_arrays(df: DataFrame, idx: str, array: str, slice_width: int = 256) -> DataFrame:
-    """Packed features from one array per sample: (pos, values).
+def pack_arrays(df: DataFrame, idx: str, array: str, width: int = 256) -> DataFrame:
+    """Packed features (pos, values) from one array of all variables per sample.
 
-    Arrays travel in slices, so the shuffle moves rows/slice_width records instead of one per value.
+    Arrays travel as slices and tiles, so no shuffle carries one record per value.
     """
-    width = F.size(array)
-    sliced = df.select(
-        F.col(idx).alias("_idx"),
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.ceil(width / slice_width).cast("int") - 1, F.lit(0))),
-                lambda b: F.slice(F.col(array), b * slice_width + 1, slice_width),
-            )
-        ).alias("_block", "_part"),
-    )
-    return (
-        sliced.select("_idx", "_block", F.posexplode("_part").alias("_j", "_v"))
-        .groupBy((F.col("_block") * slice_width + F.col("_j")).cast("int").alias("pos"))
-        .agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("_idx", F.col("_v").cast("double").alias("v")))), lambda s: s["v"]
-            ).alias("values")
-        )
-    )
+    return pack_tiles(tile_slices(slice_arrays(df, idx, array, width), width, CHUNK), sample_major=True)
 
 
 def exclude_variables(features: DataFrame, remove: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BLOCK = 1024
@@ -104,44 +105,63 @@ def tile_features(
     return Tiles(df, n_features, n_samples, block, chunk)
 
 
-def tile_samples(
-    df: DataFrame, idx: str, array: str, n_features: int, n_samples: int,
-    block: int | None = None, chunk: int | None = None,
-) -> Tiles:
-    """Tiles from one array of all variables per sample; ``idx`` runs from 0 without gaps."""
-    block, chunk = _shape(df, n_features, n_samples, block, chunk)
-    n_blocks = max(1, math.ceil(n_features / block))
-    parts = df.select(
-        F.col(idx).alias("_idx"),
-        F.floor(F.col(idx) / chunk).cast("int").alias("chunk"),
+def slice_arrays(df: DataFrame, idx: str | Column, array: str, width: int) -> DataFrame:
+    """(_idx, block, part): one array per sample cut into slices of ``width`` variables."""
+    last = F.greatest(F.ceil(F.size(array) / width).cast("int") - 1, F.lit(0))
+    return df.select(
+        (F.col(idx) if isinstance(idx, str) else idx).alias("_idx"),
         F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda b: F.slice(F.col(array), b * block + 1, block)
-            )
+            F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(F.col(array), b * width + 1, width))
         ).alias("block", "part"),
     )
-    tiles = (
-        parts.groupBy("block", "chunk")
+
+
+def tile_slices(slices: DataFrame, block: int, chunk: int) -> DataFrame:
+    """Sample-major tile rows from slices (_idx, block, part); a group is one tile."""
+    return (
+        slices.groupBy("block", F.floor(F.col("_idx") / chunk).cast("int").alias("chunk"))
         .agg(F.sort_array(F.collect_list(F.struct("_idx", "part"))).alias("rows"))
         .select(
             "block",
             "chunk",
             F.sequence(
-                F.col("block") * block, F.least((F.col("block") + 1) * block, F.lit(n_features)) - 1
+                F.col("block") * block, F.col("block") * block + F.size(F.col("rows")[0]["part"]) - 1
             ).alias("positions"),
             F.flatten("rows.part").cast("array<double>").alias("values"),
         )
     )
+
+
+def tile_samples(
+    df: DataFrame, idx: str, array: str, n_features: int, n_samples: int,
+    block: int | None = None, chunk: int | None = None,
+) -> Tiles:
+    """Tiles from one array of all variables per sample; ``idx`` runs from 0 without gaps."""
+    block, chunk = _shape(df, n_features, n_samples, block, chunk)
+    tiles = tile_slices(slice_arrays(df, idx, array, block), block, chunk)
     return Tiles(tiles, n_features, n_samples, block, chunk, sample_major=True)
 
 
+def pack_tiles(tiles: DataFrame, sample_major: bool) -> DataFrame:
+    """(pos, values): one packed row per variable. Missing values come out as null."""
+
+    def turn(batches):
+        for pdf in batches:
+            for c, positions, values in zip(pdf["chunk"], pdf["positions"], pdf["values"]):
+                m = as_matrix(values, len(positions), sample_major)
+                yield pd.DataFrame({"pos": np.asarray(positions, dtype=np.int32), "chunk": int(c), "part": list(m)})
+
+    parts = tiles.mapInPandas(turn, "pos int, chunk int, part array<double>")
+    packed = parts.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("chunk", "part"))).alias("rows"))
+    null = F.lit(None).cast("double")
+    return packed.select("pos", F.transform(F.flatten("rows.part"), lambda v: F.nanvl(v, null)).alias("values"))
+
+
 def to_sample_rows(tiles: Tiles) -> DataFrame:
     """(sample_idx, values): the tiles turned to one array of all variables per sample."""
     sample_major, chunk = tiles.sample_major, tiles.chunk
 
     def turn(batches):
-        import pandas as pd
-
         for pdf in batches:
             for block, c, positions, values in zip(pdf["block"], pdf["chunk"], pdf["positions"], pdf["values"]):
                 m = as_matrix(values, len(positions), sample_major)

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramloom.operators.alleles import allele_counts, major_minor, recode
+from gramloom.operators.tiles import CHUNK, pack_tiles, slice_arrays, tile_slices
 from gramloom.sources.lines import keep_small, numbered, text_lines
 from gramloom.sources.matrix_files import Matrix
 
 BLOCK = 256
+# Two short strings per marker: the allele table of this many markers is some 100 MB.
+BROADCAST_MARKERS = 2_000_000
 
 
 def read_map(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:
@@ -62,27 +65,20 @@ def marker_table(ped: DataFrame, markers: DataFrame) -> DataFrame:
     )
 
 
-def encode_blocks(ped: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(idx, block, genotypes): 0/1/2 per marker of a slice, null where unknown."""
+def encode_blocks(ped: DataFrame, table: DataFrame, n_markers: int, block: int = BLOCK) -> DataFrame:
+    """(_idx, block, part): 0/1/2 per marker of a slice, null where unknown."""
     by_block = (
         table.groupBy((F.col("pos") / block).cast("int").alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("pos", "major", "minor"))).alias("t"))
         .select("block", F.col("t.major").alias("majors"), F.col("t.minor").alias("minors"))
     )
-    n_blocks = F.ceil(F.size("alleles") / (2 * block)).cast("int")
-    slices = ped.where(F.size("alleles") > 0).select(
-        "idx",
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice("alleles", b * 2 * block + 1, 2 * block)
-            )
-        ).alias("block", "part"),
-    )
+    slices = slice_arrays(ped.where(F.size("alleles") > 0), "idx", "alleles", 2 * block)
     coded = F.transform(
         F.sequence(F.lit(0), (F.size("part") / 2).cast("int") - 1),
         lambda i: recode(F.get("part", 2 * i), F.get("part", 2 * i + 1), F.get("majors", i), F.get("minors", i)),
     )
-    return slices.join(by_block, "block").select("idx", "block", coded.alias("genotypes"))
+    small = n_markers <= BROADCAST_MARKERS
+    return slices.join(F.broadcast(by_block) if small else by_block, "block").select("_idx", "block", coded.alias("part"))
 
 
 def read_pedmap(
@@ -99,11 +95,8 @@ def read_pedmap(
     twice = samples.groupBy("sample").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"sample name {twice[0]['sample']!r} occurs twice; set sample_sep")
-    coded = encode_blocks(ped, marker_table(ped, markers))
-    features = (
-        coded.select("idx", "block", F.posexplode("genotypes").alias("j", "v"))
-        .groupBy((F.col("block") * BLOCK + F.col("j")).alias("pos"))
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"]).alias("values"))
-        .join(markers.select("pos", F.col("variant").alias("name")), "pos")
-    )
-    return Matrix(samples, features.select("name", "pos", "values"), markers.agg(F.count(F.lit(1))))
+    count = markers.agg(F.count(F.lit(1)))
+    coded = encode_blocks(ped, marker_table(ped, markers), count.first()[0])
+    packed = pack_tiles(tile_slices(coded, BLOCK, CHUNK), sample_major=True)
+    features = packed.join(markers.select("pos", F.col("variant").alias("name")), "pos")
+    return Matrix(samples, features.select("name", "pos", "values"), count)
