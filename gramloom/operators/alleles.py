@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 MISSING_ALLELE = "0"
 
 
-def allele_counts(pairs: DataFrame, marker: str, first: str, second: str) -> DataFrame:
-    """(marker, allele, n) over both allele columns; missing alleles are not counted."""
+def count_alleles(calls: DataFrame) -> DataFrame:
+    """(marker, allele, n) from one row per allele; missing alleles are not counted."""
     return (
-        pairs.select(F.col(marker).alias("marker"), F.explode(F.array(first, second)).alias("allele"))
-        .where(F.col("allele").isNotNull() & (F.col("allele") != MISSING_ALLELE))
+        calls.where(F.col("allele").isNotNull() & (F.col("allele") != MISSING_ALLELE))
         .groupBy("marker", "allele")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def allele_counts(pairs: DataFrame, marker: str, first: str, second: str) -> DataFrame:
+    """(marker, allele, n) over both allele columns."""
+    return count_alleles(
+        pairs.select(F.col(marker).alias("marker"), F.explode(F.array(first, second)).alias("allele"))
+    )
+
+
 def major_minor(counts: DataFrame) -> DataFrame:
     """(marker, major, minor): the two most frequent alleles, ties in string order.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.operators.alleles import allele_counts, major_minor, recode
+from gramloom.operators.alleles import count_alleles, major_minor, recode
 from gramloom.operators.tiles import CHUNK, pack_tiles, slice_arrays, tile_slices
 from gramloom.sources.lines import keep_small, numbered, text_lines
 from gramloom.sources.matrix_files import Matrix
@@ -39,27 +39,15 @@ def read_ped(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:
     )
 
 
-def allele_pairs(ped: DataFrame) -> DataFrame:
-    """(idx, pos, a1, a2): marker i holds allele fields 2i and 2i+1."""
-    last = (F.size("alleles") / 2).cast("int") - 1
-    return ped.where(F.size("alleles") > 0).select(
-        "idx",
-        F.inline(
-            F.transform(
-                F.sequence(F.lit(0), last),
-                lambda i: F.struct(
-                    i.alias("pos"),
-                    F.get("alleles", 2 * i).alias("a1"),
-                    F.get("alleles", 2 * i + 1).alias("a2"),
-                ),
-            )
-        ),
-    )
-
-
 def marker_table(ped: DataFrame, markers: DataFrame) -> DataFrame:
-    """(pos, variant, major, minor), one row per line of the .map file."""
-    alleles = major_minor(allele_counts(allele_pairs(ped), "pos", "a1", "a2"))
+    """(pos, variant, major, minor), one row per line of the .map file.
+
+    Marker i owns the allele fields 2i and 2i+1.
+    """
+    calls = ped.select(F.posexplode("alleles").alias("place", "allele")).select(
+        (F.col("place") / 2).cast("int").alias("marker"), "allele"
+    )
+    alleles = major_minor(count_alleles(calls))
     return markers.select("pos", "variant").join(
         alleles.withColumnRenamed("marker", "pos"), "pos", "left"
     )
