@@ -24,7 +24,7 @@ from gramloom.plans import lasso as lasso_plan
 from gramloom.plans.association import sample_source, tall_source
 from gramloom.plans.stepwise import run_stepwise
 from gramloom.sources import Matrix, read_delimited, read_epiq, read_pedmap
-from gramloom.sources.sinks import epiq_lines, lasso_documents, write_epiq, write_lasso_json, write_report
+from gramloom.sources.sinks import write_epiq, write_lasso_json, write_report
 
 PAIR_THRESHOLD = 0.001
 SINGLE_THRESHOLD = 0.2

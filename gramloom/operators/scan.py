@@ -410,14 +410,3 @@ def marginal_scan(calls: DataFrame, by: list[str], x: str | Column, y: str | Col
     return fitted.select(
         *by, "n", "slope", "intercept", "rss", "std_error", "t", t_pvalue(F.col("t"), F.col("df")).alias("p")
     )
-
-
-def rank_candidates(scanned: DataFrame, by: list[str], t: str, order: list[str]) -> DataFrame:
-    """Top candidate per group of a full scan, with the same tie rule (|t| at ranking precision)."""
-    from gramloom.functions.numeric import RANK_DIGITS, significant
-
-    key = significant(F.abs(F.col(t)), RANK_DIGITS)
-    rest = [c for c in scanned.columns if c not in by]
-    best = F.min_by(F.struct(*rest), F.struct(-key, *[F.coalesce(F.col(c), F.lit(-1)) for c in order]))
-    kept = scanned.where(F.col(t).isNotNull() & ~F.isnan(t))
-    return kept.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
