@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.operators.gram import gram_moments
-from gramloom.operators.tiles import CHUNK, MAX_BLOCK, MIN_BLOCK, Tiles, tile_features, tile_samples, tile_shape
+from gramloom.operators.tiles import MAX_BLOCK, MIN_BLOCK, tile_features, tile_samples, tile_shape
 from gramloom.plans.stepwise import GramSource, TiledSource
 
 # The running sums of one block pair stay below this size.
