@@ -5,17 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gramloom.llm import fingerprints, lines, mixing, packing, rules
 from gramloom.llm.common import documents
 from gramloom.llm.jaccard import jaccard_components
 
 
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = fingerprints.edited_pairs(documents(spark, sf))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.hexed(F.col("sketch")).alias("fingerprint"), fingerprints.hexed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(documents(spark, sf), public_tokenizer())
+
+
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf)).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(documents(spark, sf))
 
 
+def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.judge(documents(spark, sf)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
+    "op4_mixing": op4_mixing,
+    "op5_packing": op5_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": mixing.SQL,
+    "op7_line_dedup": lines.SQL,
+    "op10_quality_rules": rules.SQL,
+}
