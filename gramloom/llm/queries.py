@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import fingerprints, lines, mixing, packing, rules
+from gramloom.llm import fingerprints, lines, mixing, packing, quality_votes, rules
 from gramloom.llm.common import documents
 from gramloom.llm.jaccard import jaccard_components
 
@@ -46,6 +46,10 @@ def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(documents(spark, sf))
 
 
+def op9_quality_votes(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_votes.classify(documents(spark, sf), documents(spark, sf, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judge(documents(spark, sf)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_quality_votes": op9_quality_votes,
     "op10_quality_rules": op10_quality_rules,
 }
 
