@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import fingerprints, lines, mixing, packing, quality_votes, rules
+from gramloom.llm import fingerprints, language, licences, lines, mixing, packing, quality_votes, rules
 from gramloom.llm.common import documents
 from gramloom.llm.jaccard import jaccard_components
 
@@ -28,6 +28,15 @@ def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    model = language.text_model(documents(spark, sf))
+    return language.identify(language.from_pages(documents(spark, sf, "pages")), model).withColumnRenamed("id", "page_id")
+
+
+def op3_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan(licences.as_files(documents(spark, sf)))
+
+
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(documents(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,6 +67,8 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_language": op2_language,
+    "op3_licences": op3_licences,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op7_line_dedup": op7_line_dedup,
