@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import fingerprints, language, licences, lines, mixing, packing, quality_votes, rules
+from gramloom.llm import fingerprints, language, licences, lines, mixing, packing, quality_votes, rules, substrings
 from gramloom.llm.common import documents
 from gramloom.llm.jaccard import jaccard_components
 
@@ -45,6 +45,12 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), public_tokenizer())
 
 
+def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.dedup_substrings(documents(spark, sf)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, sf)).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licences": op3_licences,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op6_substrings": op6_substrings,
     "op7_line_dedup": op7_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_votes": op9_quality_votes,
