@@ -165,7 +165,7 @@ sums AS (
 ), part AS (
   SELECT *, zz - zx*zx/xx AS s, zy - zx*xy/xx AS c, yy - xy*xy/xx AS rss, n - 3 AS df FROM sums
 ), scored AS (
-  SELECT ph, a, b, df, c / sqrt(s * (rss - c*c/s) / df) AS t FROM part WHERE s > 1e-8 * zz_raw
+  SELECT ph, a, b, df, c / sqrt(s * (rss - c*c/s) / df) AS t FROM part WHERE s > 1e-8 * zz
 )"""
 SCORED = f"""SELECT ph AS response, printf('e%02d', a) AS a, CASE WHEN b >= 0 THEN printf('e%02d', b) END AS b,
   {rnd('t')} AS t, {rnd(t_tail('t', 'df'), 6)} AS p FROM """
@@ -381,7 +381,7 @@ FROM rows_"""
 MARGINAL = f"""WITH {CALLS}, c AS (
   SELECT name, count(*) AS n, regr_slope(label, value) AS slope, regr_intercept(label, value) AS intercept,
     regr_sxx(label, value) AS sxx, regr_syy(label, value) AS syy, sum(value*value) AS zz FROM calls GROUP BY name
-), e AS (SELECT *, syy - slope*slope*sxx AS rss, n - 2 AS df FROM c WHERE sxx > 1e-8 * zz),
+), e AS (SELECT *, syy - slope*slope*sxx AS rss, n - 2 AS df FROM c WHERE sxx > 1e-20 * zz),
 t AS (SELECT *, slope / sqrt(rss / df / sxx) AS t FROM e)
 SELECT name, n, {rnd('slope')} AS slope, {rnd('intercept')} AS intercept, {rnd('t')} AS t,
   {rnd(t_tail('t', 'df'))} AS p, {sig('rss')} AS rss FROM t"""

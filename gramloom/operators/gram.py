@@ -58,9 +58,8 @@ def _q(name: str) -> Column:
 
 
 def _origin(df: DataFrame, names) -> np.ndarray:
-    """A rough mean per column. Only moves the origin of the sums to limit rounding;
-    the sums themselves cover every row and are exact for any origin."""
-    row = df.limit(1024).agg(*[F.avg(_q(n)).alias(f"c{i}") for i, n in enumerate(names)]).first()
+    """The mean of each column, over all rows: sums around it lose nothing to rounding."""
+    row = df.agg(*[F.avg(_q(n)).alias(f"c{i}") for i, n in enumerate(names)]).first()
     return np.array([0.0 if v is None or not np.isfinite(v) else v for v in row], dtype=float)
 
 

@@ -112,6 +112,17 @@ def require_same_samples(left: DataFrame, right: DataFrame) -> None:
         raise ValueError(f"sample mismatch between genotype and phenotype, for example {bad[0].asDict()}")
 
 
+def require_equal_names(left: DataFrame, right: DataFrame) -> None:
+    """Fail unless both lists name the same samples, each once, in any order."""
+    for side in (left, right):
+        twice = side.groupBy("sample").count().where("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"sample {twice[0]['sample']!r} is listed twice")
+    bad = sample_mismatch(left, right).where("left_idx IS NULL OR right_idx IS NULL").limit(1).collect()
+    if bad:
+        raise ValueError(f"sample mismatch between genotype and phenotype, for example {bad[0].asDict()}")
+
+
 def align_samples(table: DataFrame, order: DataFrame, key: str = "sample") -> DataFrame:
     """Rows of ``table`` with the place ``idx`` that ``order(sample, idx)`` gives them.
 

@@ -31,6 +31,10 @@ from gramloom.operators.tiles import Tiles, as_matrix
 # joined by a shuffle on the chunk, of which there are then many.
 BROADCAST_BYTES = 128 * 1024 * 1024
 KEEP_LAYOUT_BYTES = 16 * 1024**3
+# regr_sxx is centred as it is summed; a constant gives zero up to this part of its square sum.
+CONSTANT = 1e-20
+# Rounding error of a sum of squares, relative to it.
+ROUNDING = 1e-13
 
 Position = tuple  # (pos,) for a single, (pos_a, pos_b) for a pair
 
@@ -51,6 +55,8 @@ class ModelState:
 
 def candidate_t(n, zz, z1, zw, n_responses, state: ModelState):
     """t of each candidate; NaN where it has nothing to add. ``zw`` is (responses + columns) x candidates."""
+    if np.isnan(zz).any():
+        raise ValueError("missing values in a candidate; choose a missing policy")
     squares = zz - z1 * z1 / n
     g = zw[[n_responses + c for c in state.columns]]
     u = state.whitening @ g
@@ -60,8 +66,9 @@ def candidate_t(n, zz, z1, zw, n_responses, state: ModelState):
         gain = c * c / s
         left = np.maximum(state.rss - gain, 0.0)
         t = c / np.sqrt(s * left / state.df)
-    # NaN sums (missing values) fail this comparison and drop out as well
-    return np.where(s > COLLINEAR * zz, t, np.nan)
+    # Both sides are centred: a mean far from zero hides no predictor. Below the rounding error of the sums
+    # themselves a candidate counts as constant.
+    return np.where((s > COLLINEAR * squares) & (squares > ROUNDING * zz), t, np.nan)
 
 
 def _mask(state: ModelState, pos_a, pos_b):
@@ -401,7 +408,7 @@ def marginal_scan(calls: DataFrame, by: list[str], x: str | Column, y: str | Col
         F.sum(x * x).alias("zz"),
     )
     fitted = (
-        sums.where((F.col("sxx") > COLLINEAR * F.col("zz")) & (F.col("n") > 2))
+        sums.where((F.col("sxx") > CONSTANT * F.col("zz")) & (F.col("n") > 2))
         .withColumn("df", F.col("n") - 2)
         .withColumn("rss", F.greatest(F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx"), F.lit(0.0)))
         .withColumn("std_error", F.sqrt(F.col("rss") / F.col("df") / F.col("sxx")))

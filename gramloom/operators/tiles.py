@@ -127,7 +127,9 @@ def tile_slices(slices: DataFrame, block: int, chunk: int) -> DataFrame:
             F.sequence(
                 F.col("block") * block, F.col("block") * block + F.size(F.col("rows")[0]["part"]) - 1
             ).alias("positions"),
-            F.flatten("rows.part").cast("array<double>").alias("values"),
+            F.when(
+                F.forall("rows", lambda r: F.size(r["part"]) == F.size(F.col("rows")[0]["part"])), F.flatten("rows.part")
+            ).otherwise(F.raise_error(F.lit("samples of one tile differ in their number of values"))).cast("array<double>").alias("values"),
         )
     )
 

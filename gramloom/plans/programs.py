@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.operators.matrix import exclude_variables, require_same_samples
+from gramloom.operators.matrix import exclude_variables, require_equal_names, require_same_samples
 from gramloom.operators.ols import Fit, anova_frame, stats_frame, terms_frame
 from gramloom.operators.tiles import tile_features, to_sample_rows
 from gramloom.plans.association import packed_source
@@ -15,7 +15,7 @@ from gramloom.plans.lasso import fit_lasso, lasso_remove, models_frame, refit, w
 from gramloom.plans.stepwise import DEFAULT_THRESHOLD, StepwiseResult, run_stepwise
 from gramloom.sources import Matrix, read_delimited, read_epiq, read_genotypes, read_pedmap
 from gramloom.sources.lines import keep_small
-from gramloom.sources.matrix_files import checked, handle_missing
+from gramloom.sources.matrix_files import checked, drop_incomplete, handle_missing, reorder_samples
 from gramloom.sources.sinks import (
     model_report, require_absent, write_epiq, write_lasso_json, write_report,
 )
@@ -26,20 +26,24 @@ MANIFEST_SCHEMA = (
 )
 
 
-def _load(spark, phenotypes, epiq, ped, map, missing):
-    genotypes = handle_missing(checked(read_genotypes(spark, epiq, ped, map)), missing)
+def _load(spark, phenotypes, epiq, ped, map, missing, align):
+    """Both matrices, of the same samples in the same order, without missing values.
+
+    The sample lists are compared as the files have them, before any sample is dropped. The missing-value policy holds
+    for phenotypes as for genotypes; ``drop_samples`` drops a sample that lacks a value in either file.
+    """
+    if align not in ("fail", "reorder"):
+        raise ValueError("align must be fail or reorder")
+    genotypes = checked(read_genotypes(spark, epiq, ped, map))
     responses = checked(read_epiq(spark, phenotypes))
+    if align == "reorder":
+        require_equal_names(genotypes.samples, responses.samples)
+        responses = reorder_samples(responses, genotypes.samples)
+    else:
+        require_same_samples(genotypes.samples, responses.samples)
     if missing == "drop_samples":
-        # places of the kept samples in the response arrays
-        places = (
-            genotypes.samples.select("sample").join(responses.samples, "sample")
-            .agg(F.sort_array(F.collect_list("idx")).alias("_keep")).withColumn("_one", F.lit(1))
-        )
-        kept = responses.features.withColumn("_one", F.lit(1)).join(F.broadcast(places), "_one").select(
-            "name", "pos", F.transform("_keep", lambda i: F.element_at("values", i.cast("int") + 1)).alias("values")
-        )
-        responses = Matrix(genotypes.samples, kept)
-    return genotypes, responses
+        return tuple(drop_incomplete([genotypes, responses]))
+    return handle_missing(genotypes, missing), handle_missing(responses, missing)
 
 
 def _sample_table(genotypes: Matrix, responses: Matrix) -> tuple[DataFrame, list[str]]:
@@ -110,7 +114,7 @@ def _report_header(spark, seconds, files, phenotype_file, empty, message):
 def run_association(
     spark: SparkSession, out: str, phenotypes: str, epiq: str | None = None, ped: str | None = None,
     map: str | None = None, threshold: float = DEFAULT_THRESHOLD, epistatic: bool = True,
-    lasso: bool = False, solver: str = "exact", missing: str = "fail",
+    lasso: bool = False, solver: str = "exact", missing: str = "fail", align: str = "fail",
 ) -> StepwiseResult:
     """Read, check the sample order, build one model per phenotype, write all results under ``out``.
 
@@ -118,8 +122,7 @@ def run_association(
     """
     require_absent(spark, out)
     start = time.monotonic()
-    genotypes, responses = _load(spark, phenotypes, epiq, ped, map, missing)
-    require_same_samples(genotypes.samples, responses.samples)
+    genotypes, responses = _load(spark, phenotypes, epiq, ped, map, missing, align)
     result = stepwise_from_matrices(genotypes, responses, threshold, epistatic, lasso, solver)
     fits = result.models()
     for name, frame in (
@@ -142,12 +145,11 @@ def run_association(
 
 def run_lasso(
     spark: SparkSession, out: str, phenotypes: str, epiq: str | None = None, ped: str | None = None,
-    map: str | None = None, solver: str = "exact", missing: str = "fail",
+    map: str | None = None, solver: str = "exact", missing: str = "fail", align: str = "fail",
 ) -> list[Fit | None]:
     """Fit one LASSO model per phenotype, save the weights as JSON, then the ANOVA of an OLS refit."""
     require_absent(spark, out)
-    genotypes, responses = _load(spark, phenotypes, epiq, ped, map, missing)
-    require_same_samples(genotypes.samples, responses.samples)
+    genotypes, responses = _load(spark, phenotypes, epiq, ped, map, missing, align)
     table, names = _sample_table(genotypes, responses)
     table = table.persist()  # the fits and the refit read it
     try:

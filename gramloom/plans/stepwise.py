@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +119,9 @@ class GramSource:
                 out[r] = (self.terms[i], float(t[i]))
         return out
 
+    def learn(self, terms) -> None:
+        """All candidates are known from the start."""
+
     def labels(self, terms) -> dict:
         return {t: t for t in terms}
 
@@ -138,6 +143,36 @@ class TiledSource:
         self.n_terms = m + (m * (m - 1) // 2 if epistatic else 0)
         self.cross = CrossProducts(tiles.n_samples, response_means, response_squares)
 
+    def learn(self, terms) -> None:
+        """Means and cross products of terms that no scan has found, by one pass over their columns."""
+        terms = [t for t in dict.fromkeys(terms) if t not in self.cross.mean]
+        if not terms:
+            return
+        p, k = len(self.names), len(terms)
+        width = p + k
+        columns = side_columns(self.tiles, self.responses, self.cross.y_mean, terms, [0.0] * k)
+
+        def products(batches):
+            total = np.zeros((width, width + 1))
+            for pdf in batches:
+                for w in pdf["weights"]:
+                    w = np.asarray(w, dtype=float).reshape(width, -1)
+                    total += np.concatenate([w @ w.T, w.sum(axis=1)[:, None]], axis=1)
+            yield pd.DataFrame({"place": np.arange(total.size), "value": total.ravel()})
+
+        sums = columns.mapInPandas(products, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+        total = np.zeros(width * (width + 1))
+        for row in sums.collect():  # responses and seeds squared
+            total[row["place"]] = row["value"]
+        total = total.reshape(width, width + 1)
+        mean = total[:, -1] / self.tiles.n_samples
+        centred = total[:, :-1] - self.tiles.n_samples * np.outer(mean, mean)
+        for i, term in enumerate(terms):
+            self.cross.learn(
+                term, mean[p + i], centred[p + i, p + i], {r: centred[p + i, r] for r in range(p)},
+                {other: centred[p + i, p + j] for j, other in enumerate(terms[:i])},
+            )
+
     def best(self, requests: dict) -> dict:
         union = list(dict.fromkeys(t for terms, _, _ in requests.values() for t in terms))
         column = {t: i for i, t in enumerate(union)}
@@ -214,7 +249,6 @@ class _Progress:
 def run_stepwise(
     source,
     threshold: float = DEFAULT_THRESHOLD,
-    max_iterations: int = 10_000,
     added: list | None = None,
     skipped: list | None = None,
     candidates: list | None = None,
@@ -229,6 +263,7 @@ def run_stepwise(
     result = StepwiseResult()
     start = time.monotonic()
     n = source.cross.n
+    source.learn([*(added or []), *(skipped or [])])
     todo: dict[int, _Progress] = {}
     for r in range(len(source.names)):
         seeds = (list(added or []), list(skipped or []))
@@ -241,7 +276,7 @@ def run_stepwise(
         result.seconds[source.names[r]] = time.monotonic() - start
         del todo[r]
 
-    for iteration in range(1, max_iterations + 1):
+    for iteration in count(1):  # ends: a state that comes back is a cycle
         for r in [r for r, p in todo.items() if p.left() < 1 or n - len(p.added) - 2 < 1]:
             finish(r)
         if not todo:
@@ -277,9 +312,6 @@ def run_stepwise(
                 finish(r)
                 continue
             p.seen.add(mark)
-    for r in list(todo):
-        finish(r)
-
     used = {term for _, _, _, term, _, _ in events} | {t for f in result.fits.values() if f for t in f.terms}
     label = source.labels(used)
     ordered = {}

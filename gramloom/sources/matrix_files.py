@@ -116,6 +116,41 @@ def checked(matrix: Matrix) -> Matrix:
     return Matrix(matrix.samples, matrix.features.select("name", "pos", values.alias("values")), matrix.count)
 
 
+def _places(matrix: Matrix) -> DataFrame:
+    """Places (idx) at which some feature has no value."""
+    hole = lambda v, i: F.when(F.nanvl(v, F.lit(None).cast("double")).isNull(), i)
+    return matrix.features.select(F.explode(F.array_compact(F.transform("values", hole)).cast("array<int>")).alias("idx")).distinct()
+
+
+def drop_incomplete(matrices: list[Matrix]) -> list[Matrix]:
+    """Matrices of the same samples in the same order, without samples that lack a value in any of them."""
+    holes = _places(matrices[0])
+    for m in matrices[1:]:
+        holes = holes.unionByName(_places(m)).distinct()
+    kept = matrices[0].samples.join(holes, "idx", "left_anti")
+    # One row with the kept places (an int per sample at most) meets every feature.
+    order = kept.agg(F.sort_array(F.collect_list("idx")).alias("_keep"))
+    ranked = order.select(F.posexplode("_keep").alias("new", "idx")).join(matrices[0].samples, "idx")
+    samples = keep_small(ranked.select("sample", F.col("new").cast("int").alias("idx")))
+    return [Matrix(samples, _taken(m.features, order), m.count) for m in matrices]
+
+
+def _taken(features: DataFrame, order: DataFrame) -> DataFrame:
+    """Features with the values at the places of ``order`` (one row, ``_keep``)."""
+    return features.crossJoin(F.broadcast(order)).select(
+        "name", "pos", F.transform("_keep", lambda i: F.element_at("values", i.cast("int") + 1)).alias("values")
+    )
+
+
+def reorder_samples(matrix: Matrix, samples: DataFrame) -> Matrix:
+    """``matrix`` with its values in the order of ``samples`` (sample, idx); both must name the same samples."""
+    order = (
+        samples.select("sample", F.col("idx").alias("new")).join(matrix.samples, "sample")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("new", "idx"))), lambda x: x["idx"]).alias("_keep"))
+    )
+    return Matrix(samples, _taken(matrix.features, order), matrix.count)
+
+
 def handle_missing(matrix: Matrix, policy: str = "fail") -> Matrix:
     """Missing genotypes (null or NaN) under one of: fail, mean_impute, drop_samples."""
     f = matrix.features.select(
@@ -134,18 +169,5 @@ def handle_missing(matrix: Matrix, policy: str = "fail") -> Matrix:
         )
         return Matrix(matrix.samples, filled, matrix.count)
     if policy == "drop_samples":
-        holes = f.select(
-            F.explode(F.filter(F.transform("values", lambda v, i: F.when(v.isNull(), i)), lambda i: i.isNotNull())).alias("idx")
-        ).distinct()
-        kept = matrix.samples.join(holes, "idx", "left_anti")
-        # One row with the kept places (an int per sample at most) meets every feature.
-        places = kept.agg(F.sort_array(F.collect_list("idx")).alias("_keep")).withColumn("_one", F.lit(1))
-        lookup = lambda frame: frame.withColumn("_one", F.lit(1)).join(F.broadcast(places), "_one")
-        features = lookup(f).select(
-            "name", "pos", F.transform("_keep", lambda i: F.element_at("values", i.cast("int") + 1)).alias("values")
-        )
-        ranked = lookup(kept).select(
-            "sample", (F.array_position("_keep", F.col("idx")) - 1).cast("int").alias("idx")
-        )
-        return Matrix(keep_small(ranked), features, matrix.count)
+        return drop_incomplete([matrix])[0]
     raise ValueError("missing must be fail, mean_impute or drop_samples")

@@ -1,7 +1,7 @@
 """PLINK text pairs: .map (one marker per line) and .ped (one sample per line).
 
 Alleles of a sample travel in slices of ``BLOCK`` markers. Counting combines in the map
-stage; recoding works on whole slices, so no shuffle ever carries one row per genotype.
+stage; recoding works on whole slices, so no shuffle of .ped data carries one row per genotype.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from gramloom.sources.lines import keep_small, numbered, text_lines
 from gramloom.sources.matrix_files import Matrix
 
 BLOCK = 256
-# Two short strings per marker: the allele table of this many markers is some 100 MB.
-BROADCAST_MARKERS = 2_000_000
 
 
 def read_map(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:
@@ -53,20 +51,20 @@ def marker_table(ped: DataFrame, markers: DataFrame) -> DataFrame:
     )
 
 
-def encode_blocks(ped: DataFrame, table: DataFrame, n_markers: int, block: int = BLOCK) -> DataFrame:
+def encode_blocks(ped: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
     """(_idx, block, part): 0/1/2 per marker of a slice, null where unknown."""
     by_block = (
         table.groupBy((F.col("pos") / block).cast("int").alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("pos", "major", "minor"))).alias("t"))
         .select("block", F.col("t.major").alias("majors"), F.col("t.minor").alias("minors"))
     )
-    slices = slice_arrays(ped.where(F.size("alleles") > 0), "idx", "alleles", 2 * block)
+    slices = slice_arrays(ped, "idx", "alleles", 2 * block)
     coded = F.transform(
         F.sequence(F.lit(0), (F.size("part") / 2).cast("int") - 1),
         lambda i: recode(F.get("part", 2 * i), F.get("part", 2 * i + 1), F.get("majors", i), F.get("minors", i)),
     )
-    small = n_markers <= BROADCAST_MARKERS
-    return slices.join(F.broadcast(by_block) if small else by_block, "block").select("_idx", "block", coded.alias("part"))
+    # The allele table is broadcast where its measured size allows.
+    return slices.join(by_block, "block").select("_idx", "block", coded.alias("part"))
 
 
 def read_pedmap(
@@ -78,13 +76,21 @@ def read_pedmap(
     make two samples collide; that is an error here.
     """
     ped, markers = read_ped(spark, ped_path, delimiter), read_map(spark, map_path, delimiter)
-    samples = keep_small(ped.select(F.concat_ws(sample_sep, "fid", "iid").alias("sample"), "idx"))
     markers = keep_small(markers)
+    count = markers.agg(F.count(F.lit(1)))
+    n_markers = count.first()[0]
+    # Every line must have two alleles for each marker of the .map file, or places would shift.
+    whole = F.when(F.size("alleles") == 2 * n_markers, F.col("alleles")).otherwise(
+        F.raise_error(F.concat(
+            F.lit(f"expected {2 * n_markers} alleles in the line of "), F.col("iid"), F.lit(", found "), F.size("alleles").cast("string")
+        ))
+    )
+    ped = ped.withColumn("alleles", whole)
+    samples = keep_small(ped.select(F.concat_ws(sample_sep, "fid", "iid").alias("sample"), "idx"))
     twice = samples.groupBy("sample").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"sample name {twice[0]['sample']!r} occurs twice; set sample_sep")
-    count = markers.agg(F.count(F.lit(1)))
-    coded = encode_blocks(ped, marker_table(ped, markers), count.first()[0])
+    coded = encode_blocks(ped, marker_table(ped, markers))
     packed = pack_tiles(tile_slices(coded, BLOCK, CHUNK), sample_major=True)
     features = packed.join(markers.select("pos", F.col("variant").alias("name")), "pos")
     return Matrix(samples, features.select("name", "pos", "values"), count)
