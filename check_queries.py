@@ -7,7 +7,6 @@ lineitem flags and from orders.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +23,7 @@ from gramloom.plans import lasso as lasso_plan
 from gramloom.plans.association import sample_source, tall_source
 from gramloom.plans.stepwise import run_stepwise
 from gramloom.sources import Matrix, read_delimited, read_epiq, read_pedmap
+from gramloom.sources.shared import shared_folder
 from gramloom.sources.sinks import write_epiq, write_lasso_json, write_report
 
 PAIR_THRESHOLD = 0.001
@@ -36,9 +36,8 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A fresh folder: shared where the cluster names one, local only where it does not."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gramloom-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh folder in the one that driver and executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _round(c, digits=7):
@@ -496,13 +495,11 @@ def _run(spark, sf, epistatic=True, threshold=PAIR_THRESHOLD, responses=None):
 
 
 def q_stepwise_terms(spark, sf):
-    one = {"label": _responses()["label"]}
-    return _model_terms(_run(spark, sf, responses=one), spark)
+    return _model_terms(_run(spark, sf), spark)
 
 
 def q_stepwise_trace(spark, sf):
-    one = {"label": _responses()["label"]}
-    return _trace(_run(spark, sf, responses=one), spark)
+    return _trace(_run(spark, sf), spark)
 
 
 def q_stepwise_multi(spark, sf):

@@ -463,8 +463,8 @@ SELECT {sig('ll')} AS log_likelihood, {sig('-2*ll + 10')} AS aic, {sig('-2*ll +
     "forward_scan": f"{FORWARD} {SCORED} scored",
     "best_candidate": f"""{FORWARD} {SCORED} (SELECT *, row_number() OVER (
   PARTITION BY ph ORDER BY CAST(printf('%.9e', abs(t)) AS DOUBLE) DESC, b >= 0, a, b) AS r FROM scored) WHERE r = 1""",
-    "stepwise_terms": f"WITH RECURSIVE {stepwise('true', LABEL_ONLY, PAIR_THRESHOLD)} {STEP_TERMS}",
-    "stepwise_trace": f"WITH RECURSIVE {stepwise('true', LABEL_ONLY, PAIR_THRESHOLD)} {TRACE}",
+    "stepwise_terms": f"WITH RECURSIVE {stepwise('true', 'true', PAIR_THRESHOLD)} {STEP_TERMS}",
+    "stepwise_trace": f"WITH RECURSIVE {stepwise('true', 'true', PAIR_THRESHOLD)} {TRACE}",
     "stepwise_multi": f"WITH RECURSIVE {stepwise('true', 'true', PAIR_THRESHOLD)} {TRACE}",
     "stepwise_additive": f"WITH RECURSIVE {stepwise('b < 0', 'true', SINGLE_THRESHOLD)} {TRACE}",
     "stepwise_tall": _stepwise_tall_sql(),

@@ -60,15 +60,6 @@ def calls_from_features(features: DataFrame) -> DataFrame:
     return features.select("name", "pos", F.posexplode("values").alias("sample_idx", "value"))
 
 
-def features_from_calls(calls: DataFrame) -> DataFrame:
-    """Long to packed; a group is one variable, so its size is the number of samples."""
-    return calls.groupBy("name", "pos").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("sample_idx", "value"))), lambda s: s["value"]
-        ).alias("values")
-    )
-
-
 def transpose_features(features: DataFrame) -> DataFrame:
     """Rows become columns: one packed row per sample, (sample_idx, values) in ``pos`` order."""
     return (
