@@ -22,7 +22,8 @@ Instead a text is cut where its content says, and its parts meet in one shard on
 
 Edge cases: a null text has no words; a text of fewer than ``WINDOW`` words has no window and stays. Rows with the
 same doc_id and text are one document, and lose the same words; rows of one doc_id with other texts follow
-each other by hash; a null doc_id comes first. Words are compared by 64-bit hashes, whole windows by 128 bits.
+each other by hash; a null doc_id comes first. Words are compared by 64-bit hashes, whole runs by 128 bits (their
+anchor and words).
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def _anchors(window: int):
     return run
 
 
-RUNS = "anchor long, w1 long, w2 long, doc_id long, th long, pos int, n int"
+RUNS = "anchor long, words long, doc_id long, th int, pos int, n int"
 
 
 def _runs(window: int, shared):
@@ -97,16 +98,18 @@ def _runs(window: int, shared):
                 if some.any():
                     anchor, first, n = anchor[some], first[some], n[some]
                     w = window_hashes(words, window)
-                    parts.append((anchor.view(np.int64), w[first].view(np.int64), w[first + n - 1].view(np.int64), first, n))
+                    # The first and last window together cover a run.
+                    whole = textkit.mix(textkit.mix(w[first]) + w[first + n - 1] * np.uint64(textkit.BASE) + n.astype(np.uint64))
+                    parts.append((anchor.view(np.int64), whole.view(np.int64), first, n))
                     rows.append(np.full(len(first), row))
             if not parts:
                 continue
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c) for c in columns[:3]), batch.column("doc_id").take(at), batch.column("th").take(at),
-                 *(pa.array(c, pa.int32()) for c in columns[3:])],
-                ["anchor", "w1", "w2", "doc_id", "th", "pos", "n"],
+                [*(pa.array(c) for c in columns[:2]), batch.column("doc_id").take(at), batch.column("th").take(at),
+                 *(pa.array(c, pa.int32()) for c in columns[2:])],
+                ["anchor", "words", "doc_id", "th", "pos", "n"],
             )
 
     return run
@@ -170,7 +173,7 @@ class Automaton:
         return part
 
 
-SPANS = "doc_id long, th long, pos int, n int"
+SPANS = "doc_id long, th int, pos int, n int"
 
 
 def _shard(window: int):
@@ -254,13 +257,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     table = count_table(written(counts))
     shared = docs.sparkSession.sparkContext.broadcast(table)
     runs = written(docs.mapInArrow(_runs(window, shared), RUNS))
-    whole = _later(runs, ["anchor", "w1", "w2", "n"]).select("doc_id", "th", "pos", "n")
-    # First places of different runs, for anchors with several.
+    # Each different run with its first place, found by a partial aggregate.
     place = F.struct("doc_id", "th", "pos")
-    different = runs.groupBy("anchor", "w1", "w2", "n").agg(F.min(place).alias("p")).select("anchor", "p.*", "n")
-    different = written(different)
+    different = written(
+        runs.groupBy("anchor", "words").agg(F.min(place).alias("p"), (F.min(place) < F.max(place)).alias("again"), F.first("n").alias("n"))
+        .select("anchor", "words", "p.*", "n", "again")
+    )
+    first = different.where("again").select("anchor", "words", place.alias("_first"))
+    whole = runs.join(first, ["anchor", "words"]).where(~place.eqNullSafe(F.col("_first"))).select("doc_id", "th", "pos", "n")
+    # Anchors with several different runs.
     several = different.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1")
-    meet = written(different.join(several, "anchor"))
+    meet = written(different.drop("words", "again").join(several, "anchor"))
     total = meet.where(F.col("runs") <= HOT).agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     n_shards = int(total) // SHARD_WORDS + 1
 
@@ -272,12 +279,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         texts = docs.alias("d").join(wanted.alias("w"), _same("d", "w")).select("d.doc_id", "d.th", "d.text", "w.wanted")
         return texts.mapInArrow(_segments(window, single), schema)
 
-    cold = segments(meet.where(F.col("runs") <= HOT), False, "doc_id long, th long, pos int, shard long, words array<long>")
+    cold = segments(meet.where(F.col("runs") <= HOT), False, "doc_id long, th int, pos int, shard long, words array<long>")
     spans = whole.unionByName(cold.groupBy("shard").applyInArrow(_shard(window), SPANS))
     hot = meet.where(F.col("runs") > HOT)
     if not hot.isEmpty():
-        singles = segments(hot, True, "doc_id long, th long, pos int, w1 long, w2 long")
-        spans = spans.unionByName(_later(written(singles), ["w1", "w2"]).select("doc_id", "th", "pos", F.lit(1).alias("n")))
+        singles = segments(hot, True, "doc_id long, th int, pos int, w1 long, w2 long")
+        spans = spans.unionByName(_later(singles, ["w1", "w2"]).select("doc_id", "th", "pos", F.lit(1).alias("n")))
     return spans
 
 
@@ -312,7 +319,7 @@ def _kept(window: int):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words (``text``, single blanks between) of each row of ``docs``."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = docs.select("doc_id", F.hash("text").alias("th"), "text")
     spans = repeated_spans(rows, window).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     joined = rows.alias("d").join(spans.alias("s"), _same("d", "s"), "left").select("d.doc_id", "d.text", "s.spans")
     return joined.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, text string")
