@@ -5,11 +5,13 @@ bitmap signatures, and the bits one set has and another lacks bound their overla
 pairs that pass the bound have their sorted shingle arrays intersected.
 
 Which sets meet in a tile. Under any fixed order of all shingles, two sets with Jaccard >= t share a
-shingle within the first |x| - ceil(2t/(1+t) |x|) + 1 of the smaller and the first
-|y| - ceil(t |y|) + 1 of the larger one (prefix filter). Sets that share such a shingle are tied
+shingle within the first |x| - ceil(t |x|) + 1 of each (prefix filter). Sets that share such a shingle are tied
 to its first holder; the connected pieces of these ties are *families*. Links can only lie within
-a family. The order puts the shingles of most prefixes last (a bounded number of them, broadcast), so
-passages that many documents quote don't tie strangers; any choice of them leaves the result exact.
+a family. The order is by how many documents have a shingle, rare ones first, so texts that share a passage,
+but little else, are not tied. For it the shingles in the lower ``COUNTED`` part of the hash space are counted
+over all documents, and the logarithms of counts above one are kept in a hashed table of fixed size (see
+``counts``). What it mistakes only changes the order, never the result. Shingles that are not
+counted come last. A counted shingle of one document needs no row at all.
 
 A family of up to ``TILE`` sets is one tile. A larger one is cut by size band and a hash: first twice
 by itself (two different cuts), which joins nearly all of a group of near copies; then only sets
@@ -35,26 +37,19 @@ from pyspark.sql import functions as F
 from gramloom.llm import textkit
 from gramloom.llm.common import written
 from gramloom.llm.components import connected_components
+from gramloom.llm.counts import count_table, levels
 
 #: Sets in a tile. Signatures of a tile take TILE * SIGNATURE_BITS / 8 bytes.
 TILE = 512
 SIGNATURE_BITS = 1024
-#: Shingles moved to the end of the order: at most this many, 8 bytes each, broadcast.
-COMMON = 100_000
-#: A shingle in fewer prefixes than this stays where it is.
-COMMON_FROM = 16
+#: Shingles below this part of the hash space are counted; prefixes rarely reach beyond.
+COUNTED = 0.4
 #: Small families are dealt over groups of about this many sets.
 GROUP = 4096
 
 
-def _index_prefix(n: int, t: tuple[int, int]) -> int:
-    """Shingles of a set of n that meet a set of the same size or larger."""
-    p, q = t
-    return n - -(-2 * p * n // (p + q)) + 1
-
-
 def _probe_prefix(n: int, t: tuple[int, int]) -> int:
-    """Shingles of a set of n that meet a smaller set."""
+    """Shingles at the front of a set of n of which a set with Jaccard >= t shares one."""
     p, q = t
     return n - -(-p * n // q) + 1
 
@@ -79,34 +74,39 @@ def _summaries(k: int):
     return run
 
 
-def _ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """A sorted set in the global order: by hash, the common shingles last."""
-    if not len(common):
-        return s
-    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    late = common[at] == s
-    return np.concatenate([s[~late], s[late]]) if late.any() else s
+_LIMIT = np.uint64(int(COUNTED * (1 << 64)))
+
+
+def _counted(k: int):
+    """The shingles that are counted, once for each row that has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in textkit.chunks(batch.column(0)):
+                parts = [s[: np.searchsorted(s, _LIMIT)] for s in textkit.shingle_sets(*textkit.word_hashes(data, offsets, lower=True), k)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["token"])
+
+    return run
 
 
-def _prefixes(k: int, t: tuple[int, int], shared, index_only: bool):
-    """(token, set key, index role) of the prefix of each row's set."""
+def _prefixes(k: int, t: tuple[int, int], shared):
+    """(token, set key) of the prefix of each row's set, without shingles that surely no other set has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
+        table = shared.value
         for batch in batches:
             for _, data, offsets in textkit.chunks(batch.column(0)):
-                tokens, keys, roles = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+                tokens, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
                 for s in textkit.shingle_sets(*textkit.word_hashes(data, offsets, lower=True), k):
-                    if len(s):
-                        index = _index_prefix(len(s), t)
-                        part = _ordered(s, common)[: index if index_only else _probe_prefix(len(s), t)]
+                    level = levels(s, table)
+                    level[np.searchsorted(s, _LIMIT) :] = 255  # not counted: last
+                    order = np.argsort(level, kind="stable")[: _probe_prefix(len(s), t)]
+                    part = s[order][level[order] > 0]
+                    if len(part):
                         tokens.append(part)
                         keys.append(np.full(len(part), s.sum(dtype=np.uint64)))
-                        roles.append(np.arange(len(part)) < index)
-                columns = [np.concatenate(x) for x in (tokens, keys, roles)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0].view(np.int64)), pa.array(columns[1].view(np.int64)), pa.array(columns[2])],
-                    ["token", "key", "index"],
+                    [pa.array(np.concatenate(x).view(np.int64)) for x in (tokens, keys)], ["token", "key"]
                 )
 
     return run
@@ -226,15 +226,12 @@ def _families(docs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
     """(key, family) of the sets that share a prefix shingle with another one."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    sc = spark.sparkContext
-    schema = "token long, key long, index boolean"
-    counted = texts.mapInArrow(_prefixes(k, t, sc.broadcast(np.zeros(0, np.uint64)), True), schema).groupBy("token").count()
-    common = counted.where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "token").limit(COMMON)
-    order = np.sort(np.array([r.token for r in common.select("token").collect()], np.int64).view(np.uint64))
-    prefixes = texts.mapInArrow(_prefixes(k, t, sc.broadcast(order), False), schema)
+    counts = written(texts.mapInArrow(_counted(k), "token long").groupBy("token").count().where("count > 1"))
+    table = count_table(counts)
+    shared = spark.sparkContext.broadcast(table)
     ties = (
-        prefixes.select("token", "key").repartition("token").sortWithinPartitions("token", "key")
-        .mapInArrow(_ties, "a long, b long")
+        texts.mapInArrow(_prefixes(k, t, shared), "token long, key long").repartition("token")
+        .sortWithinPartitions("token", "key").mapInArrow(_ties, "a long, b long")
     )
     return connected_components(ties).select(F.col("node").alias("key"), F.col("component").alias("family"))
 
