@@ -114,21 +114,25 @@ def edited_pairs(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     descending doc_id. Rows with the same doc_id and text are one place of that order; rows with
     the same doc_id and other texts follow each other by hash; a null doc_id comes last.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.select(
-        "*", F.coalesce("doc_id", F.lit(LOWEST)).alias("_key"), F.xxhash64("text").alias("_th"), F.char_length("text").cast("long").alias("n_chars")
+    base = docs.select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LOWEST)).alias("_key"),
+        F.xxhash64("text").alias("_th"),
     )
-    base = with_sketch(base, "text", "sketch", fraction)
-    following = _successors(base.select("_key", "_th", "n_chars"))
-    # To each document's predecessor goes only as much text as that one replaces.
-    heads = (
-        base.join(following.select(F.col("_nkey").alias("_key"), F.col("_nth").alias("_th"), F.col("_key").alias("_pkey"), F.col("_th").alias("_pth"), "_n"), ["_key", "_th"])
-        .groupBy(F.col("_pkey").alias("_key"), F.col("_pth").alias("_th"))
-        .agg(F.max(F.expr("substring(text, 1, int(_n div 3))")).alias("_tail"), F.max("sketch").alias("next_sketch"))
+    following = _successors(base.select("_key", "_th", F.char_length("text").cast("long").alias("n_chars")))
+    # Both joins read one shuffle of the texts (hence ``next_id``, which gives them the same columns), and
+    # sketches are made after it. To each document's predecessor goes only as much text as that one replaces.
+    heads = with_sketch(
+        base.join(following.select(F.col("_nkey").alias("_key"), F.col("_nth").alias("_th"), F.col("_key").alias("_pkey"), F.col("_th").alias("_pth"), "_n"), ["_key", "_th"]),
+        "text", "sketch", fraction,
     )
-    out = base.join(heads, ["_key", "_th"]).withColumn(
+    heads = heads.groupBy(F.col("_pkey").alias("_key"), F.col("_pth").alias("_th")).agg(
+        F.max(F.expr("substring(text, 1, int(_n div 3))")).alias("_tail"), F.max("sketch").alias("next_sketch"),
+        F.max("doc_id").alias("next_id"),
+    )
+    out = with_sketch(base.join(heads, ["_key", "_th"]), "text", "sketch", fraction)
+    out = out.withColumn("n_chars", F.char_length("text").cast("long")).withColumn(
         "edited", F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 3))"), F.col("_tail"))
     )
     return with_sketch(out, "edited", "edited_sketch", fraction).select(
-        "doc_id", "n_chars", "edited", "sketch", "edited_sketch", "next_sketch"
+        "doc_id", "n_chars", "edited", "sketch", "edited_sketch", "next_sketch", "next_id"
     )

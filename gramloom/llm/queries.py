@@ -25,6 +25,7 @@ def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         fingerprints.hexed(F.col("sketch")).alias("fingerprint"), fingerprints.hexed(F.col("edited_sketch")).alias("edited_fingerprint"),
         fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         fingerprints.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "next_id",
     )
 
 
