@@ -29,7 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages of lines; documents with nothing left go."""
     columns = docs.columns
-    out = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(SPACES)) != ""))
+    keep = F.when((F.col("n_removed") == 0) | (F.btrim("text", F.lit(SPACES)) != ""), F.array(F.lit(1)))
+    # A plain filter would be pushed below the columns it reads, and split a text anew for each of its lines.
+    out = lines.dedup_lines(docs).select("*", F.explode_outer(keep).alias("_keep")).where(F.col("_keep").isNotNull()).drop("_keep")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns)
