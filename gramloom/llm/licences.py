@@ -1,9 +1,13 @@
 """Licence scan: which licence template a file's header speaks of, and what a directory's licence file grants.
 
-Method. Header lines that mention a licence, and all lines of licence files, are split into terms; a term's weight
-is its frequency times its inverse document frequency over all such lines. The cosine of
-each line with each template is a join of the line's terms with the templates' terms (a fixed, small table) and
-a sum over equal terms. A file's own licence is its best template from ``LIKE`` on.
+Method. Templates are notices, titles, SPDX ids, standard headers and full texts (``licence_forms``). They are compared with
+*pieces* of the files: each header line that mentions a licence; the blocks of up to ``BLOCK`` lines with words around
+such a line, so that a wrapped notice is one piece; each id of an SPDX line; and of licence files every line and the whole text.
+A block begins and ends with lines half of whose terms are in notices, titles or headers; others would only dilute it.
+A term's weight is its frequency times its inverse document frequency over all such lines. The cosine of
+each piece with each template is a join of the piece's terms with the templates' terms (a fixed, small table) and
+a sum over equal terms. A title or id needs all its terms in the piece, a header or full text half of them, as
+common words alone must not make a match. A file's own licence is its best template from ``LIKE`` on.
 
 A file without one inherits from the nearest directory above that has a licence file. Directories, not
 files, are joined: each distinct directory meets its ancestors' licences, and the nearest one wins.
@@ -18,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import SPACES, written
+from gramloom.llm.common import written
+from gramloom.llm.licence_forms import forms
 
 #: Notices by which files declare licences. Fixed values.
 TEMPLATES = {
@@ -34,44 +39,98 @@ TEMPLATES = {
 }
 MENTION = r"(?i)licen[sc]e|copyright|copying|permission is hereby|spdx"
 LIKE = 0.6
-#: A line with more terms is no notice; all lines of licence files count.
+BLOCK = 8
+SPDX_TAG = r"(?i)spdx-license-identifier\s*:?\s*"
+WORDY = r"[\p{L}\p{N}]"
+#: All lines of licence files count.
 FILE_NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 
 
 def _terms(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}.+-]+|\.(?=\s|$)"), lambda t: t != "")
+    # An SPDX id is a term of its own: "spdx+mit".
+    tagged = F.regexp_replace(F.lower(line), SPDX_TAG, "spdx+")
+    return F.filter(F.split(tagged, r"[^\p{L}\p{N}.+-]+|\.(?=\s|$)"), lambda t: t.rlike(WORDY))
 
 
 def _template_terms(spark) -> DataFrame:
-    rows = spark.createDataFrame(sorted(TEMPLATES.items()), "licence string, notice string")
-    return rows.select("licence", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
+    """licence, form, kind, term, tf and the number of terms a piece must have (``need``)."""
+    rows = spark.createDataFrame([(i, *f) for i, f in enumerate(forms(TEMPLATES))], "form int, licence string, kind string, notice string")
+    rows = rows.withColumn("terms", _terms(F.col("notice")))
+    size = F.size(F.array_distinct("terms"))
+    need = F.when(F.col("kind") == "title", size).when(F.col("kind") == "notice", 0).otherwise(F.ceil(size / 2))
+    return rows.select("licence", "form", "kind", need.cast("long").alias("need"), F.explode("terms").alias("term")).groupBy("licence", "form", "kind", "need", "term").agg(F.count("*").alias("tf"))
+
+
+def _pieces(files: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """_key, line, single: what is compared of each file; ``single`` ones are lines that count for the frequencies."""
+    is_file = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
+    split = files.where(F.col("text").isNotNull() & (is_file | F.col("text").rlike(MENTION))).select(
+        "_key", is_file.alias("_is_file"), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORDY)).alias("_lines")
+    )
+    last = F.size("_lines") - 1
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    known = F.array(*[F.lit(t) for t in vocabulary])
+
+    def legal(line: Column) -> Column:
+        terms = F.array_distinct(_terms(line))
+        return 2 * F.size(F.array_intersect(terms, known)) >= F.size(terms)
+
+    split = split.withColumn("_at", F.filter(places, lambda i: F.col("_lines")[i].rlike(MENTION)))
+    split = split.withColumn("_legal", F.when(F.size("_at") > 0, F.transform("_lines", legal)))
+    spans = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b in range(BLOCK) for a in range(BLOCK - b) if a + b])
+    blocks = F.flatten(F.transform("_at", lambda i: F.transform(
+        F.filter(spans, lambda s: F.when((i - s["b"] >= 0) & (i + s["a"] <= last), F.get("_legal", i - s["b"]) & F.get("_legal", i + s["a"])).otherwise(False)),
+        lambda s: F.array_join(F.slice("_lines", i - s["b"] + 1, s["a"] + s["b"] + 1), "\n"),
+    )))
+    ids = F.flatten(F.transform(
+        F.filter("_lines", lambda x: x.rlike(SPDX_TAG)),
+        lambda x: F.filter(
+            F.split(F.regexp_extract(x, SPDX_TAG + r"([A-Za-z0-9.+() -]+)", 1), "[^A-Za-z0-9.+-]+"),
+            lambda t: t.rlike(WORDY) & ~F.lower(t).isin("and", "or", "with"),
+        ),
+    ))
+    ids = F.transform(ids, lambda t: F.concat(F.lit("SPDX-License-Identifier: "), F.regexp_replace(t, "-+$", "")))
+    whole = F.when(F.col("_is_file") & (last > 0), F.array(F.array_join("_lines", "\n"))).otherwise(F.array().cast("array<string>"))
+    singles = F.filter("_lines", lambda x: F.col("_is_file") | x.rlike(MENTION))
+    pair = lambda a, single: F.transform(a, lambda x: F.struct(x.alias("line"), F.lit(single).alias("single")))
+    return split.select("_key", F.explode(F.concat(pair(singles, True), pair(blocks, False), pair(ids, False), pair(whole, False))).alias("p")).select("_key", "p.*")
 
 
 def own_licences(files: DataFrame) -> DataFrame:
     """_key, licence, cosine: the best template of each of ``files`` (_key, path, text) that has one."""
     spark = files.sparkSession
-    is_file = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.btrim(x, F.lit(SPACES)) != "") & (is_file | x.rlike(MENTION)))
-    lines = files.where(F.col("text").isNotNull() & (is_file | F.col("text").rlike(MENTION))).select("_key", F.explode(lines).alias("line"))
-    # Equal lines are matched once, however many files have them.
-    uses = written(lines.groupBy("line", "_key").agg(F.lit(1).alias("_one")).drop("_one"))
-    unique = uses.groupBy("line").agg(F.count("*").alias("files"))
-    counts = written(unique.select("line", "files", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "files", "term").agg(F.count("*").alias("tf")))
-    templates = _template_terms(spark)
-    n = unique.agg(F.sum("files")).first()[0] or 0
-    df = counts.join(F.broadcast(templates.select("term").distinct()), "term").groupBy("term").agg(F.sum("files").alias("df"))
+    templates = _template_terms(spark).persist()
+    vocabulary = sorted(r.term for r in templates.where("kind <> 'full'").select("term").distinct().collect())
+    # Equal pieces are matched once, however many files have them.
+    uses = written(_pieces(files, vocabulary).groupBy("line", "single", "_key").agg(F.lit(1).alias("_one")).drop("_one"))
+    uses = uses.withColumn("p1", F.xxhash64("line", "single")).withColumn("p2", F.xxhash64(F.lit(1), F.reverse("line"), "single"))
+    unique = uses.groupBy("line", "single", "p1", "p2").agg(F.count("*").alias("files"))
+    # Hashes stand for pieces from here on: a whole text for each of its terms would be too much.
+    piece = ["p1", "p2"]
+    counts = written(
+        unique.select(*piece, "single", "files", F.explode(_terms(F.col("line"))).alias("term"))
+        .groupBy(*piece, "single", "files", "term").agg(F.count("*").alias("tf"))
+    )
+    n = unique.where("single").agg(F.sum("files")).first()[0] or 0
+    df = counts.where("single").join(F.broadcast(templates.select("term").distinct()), "term").groupBy("term").agg(F.sum("files").alias("df"))
+    df = written(df)
     idf = lambda d: F.log((F.lit(n) + 1) / (d + 1)) + 1
-    weights = templates.join(F.broadcast(df), "term", "left").select("licence", "term", (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("tw"))
-    weights = weights.join(weights.groupBy("licence").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn")), "licence")
+    weights = templates.join(F.broadcast(df), "term", "left").select("licence", "form", "need", "term", (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("tw"))
+    weights = weights.join(weights.groupBy("form").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn")), "form")
+    known = templates.select("term").distinct().join(F.broadcast(df), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
     # Terms that no template has weigh as if in one line.
-    line_terms = counts.join(F.broadcast(df), "term", "left").withColumn("lw", F.col("tf") * idf(F.coalesce("df", F.lit(1))))
-    norms = line_terms.groupBy("line").agg(F.sqrt(F.sum(F.col("lw") * F.col("lw"))).alias("ln"))
-    dots = line_terms.join(F.broadcast(weights), "term").groupBy("line", "licence").agg(F.sum(F.col("lw") * F.col("tw")).alias("dot"), F.max("tn").alias("tn"))
+    line_terms = counts.join(F.broadcast(known), "term", "left").withColumn("lw", F.col("tf") * idf(F.coalesce("df", F.lit(1))))
+    norms = line_terms.groupBy(*piece).agg(F.sqrt(F.sum(F.col("lw") * F.col("lw"))).alias("ln"))
+    dots = (
+        line_terms.join(F.broadcast(weights), "term").groupBy(*piece, "licence", "form")
+        .agg(F.sum(F.col("lw") * F.col("tw")).alias("dot"), F.max("tn").alias("tn"), F.count("*").alias("met"), F.max("need").alias("need"))
+        .where("met >= need")
+    )
     cosine = F.round(F.col("dot") / (F.col("ln") * F.col("tn")), 6)
     # Best first: the highest cosine, then the first name.
-    best = dots.join(norms, "line").select("line", "licence", cosine.alias("cosine")).where(F.col("cosine") >= LIKE)
-    best = best.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
-    return uses.join(best, "line").groupBy("_key").agg(F.min("b").alias("b")).select("_key", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
+    best = dots.join(norms, piece).select(*piece, "licence", cosine.alias("cosine")).where(F.col("cosine") >= LIKE)
+    best = best.groupBy(*piece).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
+    return uses.select("_key", *piece).join(best, piece).groupBy("_key").agg(F.min("b").alias("b")).select("_key", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
 def _directory(path: Column) -> Column:

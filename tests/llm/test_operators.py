@@ -409,3 +409,51 @@ def test_licence_lines_of_documents(spark):
         at = [i for i, t in d.text.items() if notice in (t or "").split("\n")]
         assert all(frame.own_licence[i] is not None for i in at) and sum(frame.own_licence[i] == name for i in at) >= 0.9 * len(at)
     assert len(frame) == len(d)
+
+
+def test_licence_forms(spark):
+    """Wrapped headers, SPDX ids, titles and full texts, and the directories below; words alone are no licence."""
+    from gramloom.llm.licence_forms import HEADERS, full_texts
+
+    def wrapped(text, mark, width):
+        lines, line = [], ""
+        for w in text.split():
+            if len(line) + len(w) > width:
+                lines.append(line)
+                line = ""
+            line = f"{line} {w}".strip()
+        return "\n".join(f"{mark} {x}".rstrip() for x in [*lines, line])
+
+    full, cases = full_texts(), []
+    for mark, width in (("#", 70), (" *", 52), ("--", 60)):
+        cases += [(k, f"{prose(1, 12)}\n" + wrapped(HEADERS[k][0], mark, width) + f"\n{mark}\n{prose(2, 12)}") for k in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "Apache-2.0")]
+    cases += [("MIT", "// SPDX-License-Identifier: MIT\n" + prose(3, 9)), ("Apache-2.0", "/* SPDX-License-Identifier: Apache-2.0 */"), ("GPL-3.0", "# SPDX-License-Identifier: (GPL-3.0-or-later OR Zlib)")]
+    cases += [("MIT", wrapped("Copyright (c) 2020 Someone " + full["MIT"], "#", 72) + "\n" + prose(4, 30))]
+    cases += [(None, "# SPDX-License-Identifier: Zlib\n" + prose(5, 9)), (None, "License"), (None, "copyright 2020 someone\n" + prose(6, 40)), (None, prose(7, 50))]
+    files = [(f"s/{i}.c", t, i) for i, (_, t) in enumerate(cases)]
+    expect = {i: (k, k) for i, (k, _) in enumerate(cases)}
+    heads = [("BSD-3-Clause", "BSD 3-Clause License\n\n" + prose(8, 30)), ("Apache-2.0", "Apache License\nVersion 2.0, January 2004"), *full.items(), (None, prose(9, 300)), (None, "License\n" + prose(10, 20))]
+    for i, (k, t) in enumerate(heads):
+        files += [(f"d{i}/LICENSE", t, 100 + 2 * i), (f"d{i}/x/y.c", prose(20 + i, 9), 101 + 2 * i)]
+        expect |= {100 + 2 * i: (k, k), 101 + 2 * i: (None, k)}
+    got = licences.scan(spark.createDataFrame(files, "path string, text string, id int")).collect()
+    assert {r.id: (r.own_licence, r.licence) for r in got} == expect
+
+
+def test_licence_block_cosine(spark):
+    """The cosine of a wrapped notice, by hand."""
+    from gramloom.llm.licence_forms import forms
+
+    def terms(text):
+        text = re.sub(r"spdx-license-identifier\s*:?\s*", "spdx+", text.lower())
+        return Counter(t for t in re.split(r"[^\w.+-]+|\.(?=\s|$)", text) if re.search(r"[^\W_]", t))
+
+    lines = ["# Copyright someone; this file is subject to the", "# terms of the Mozilla Public License, version 2.0."]
+    templates = [terms(t) for k, kind, t in forms(licences.TEMPLATES) if k == "MPL-2.0" and kind == "notice"]
+    known = set().union(*(terms(t) for _, _, t in forms(licences.TEMPLATES)))
+    df = Counter(t for x in lines for t in terms(x))
+    w = lambda c: {t: f * (np.log((len(lines) + 1) / ((df[t] if t in known else 1) + 1)) + 1) for t, f in c.items()}
+    cos = lambda a, b: sum(a[t] * b.get(t, 0) for t in a) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    got = licences.scan(spark.createDataFrame([("a.c", "\n".join(lines))], "path string, text string")).first()
+    best = max(cos(w(terms("\n".join(x))), w(templates[0])) for x in (lines, lines[:1], lines[1:]))
+    assert got.own_licence == "MPL-2.0" and got.cosine == pytest.approx(best, abs=2e-6) and best > cos(w(terms(lines[1])), w(templates[0])) + 0.05
