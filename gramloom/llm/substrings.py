@@ -251,8 +251,19 @@ def _same(a: str, b: str):
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` with equal rows given once; only texts of repeated rows are shuffled."""
+    repeated = written(docs.groupBy("doc_id", "th").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "th"))
+    if repeated.isEmpty():
+        return docs
+    d, r = docs.alias("d"), repeated.alias("r")
+    return d.join(r, _same("d", "r"), "left_anti").unionByName(written(d.join(r, _same("d", "r"), "left_semi").dropDuplicates()))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, th, pos, n: stretches of repeated windows (n of them, from word pos); ``docs``: doc_id, th, text."""
+    # A second copy of a row would meet the first in its shard's automaton, and both would lose the words.
+    docs = _once(docs)
     counts = docs.select("text").mapInArrow(_anchors(window), "token long").groupBy("token").count().where("count > 1")
     table = count_table(written(counts))
     shared = docs.sparkSession.sparkContext.broadcast(table)

@@ -170,6 +170,19 @@ def test_substring_edges(spark, nothing):
     assert sorted((str(r.doc_id), r.n_removed) for r in substrings.dedup_substrings(d).collect()) == [("3", 25), ("3", 25), ("None", 0)]
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_substrings_of_repeated_rows(spark, hot, monkeypatch):
+    """A row given twice loses nothing to itself, whatever shares a passage with it."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    passage = prose(200, 45)
+    rows = [(i, prose(210 + i, 30) + " " + passage + " " + prose(220 + i, 30)) for i in (1, 2, 5)]
+    rows += [(None, prose(230, 25) + " " + prose(231, 45)), (7, prose(231, 45) + " " + prose(232, 25))]
+    d = spark.createDataFrame(rows + [rows[0], rows[0], rows[3]], "doc_id long, text string").repartition(3)
+    want = removed([(-1 if i is None else i, t) for i, t in rows])
+    got = substrings.dedup_substrings(d).collect()
+    assert len(got) == 8 and all((r.n_words, r.n_removed, r.text) == want[-1 if r.doc_id is None else r.doc_id] for r in got)
+
+
 def test_automaton_matches_all_substrings():
     r = random.Random(4)
     texts = [[r.randint(0, 2) for _ in range(r.randint(1, 30))] for _ in range(40)]

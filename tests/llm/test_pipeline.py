@@ -1,5 +1,7 @@
 """The pipeline's stages on awkward rows and on a given table."""
 
+import random
+
 import pytest
 
 import __spark_entry__ as driver
@@ -46,3 +48,21 @@ def test_stages_of_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, SF)
     assert docs.count() >= 1
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    r = random.Random(5)
+    a, b, c, d = (" ".join(str(r.randint(0, 999)) for _ in range(60)) for _ in range(4))
+    rows = [
+        (1, a, "en", "x", 1), (1, a, "en", "x", 1), (1, a, "en", "w", 1),  # given three times
+        (2, a + " end", "en", "x", 1), (2, b, "en", "x", 1),  # one text near document 1, one of its own
+        (3, b, "en", "x", 1), (4, c, "en", "x", 1),
+        (None, c, "en", "x", 1), (None, d, "en", "x", 1), (None, d, "en", "x", 1), (None, d + " end", "en", "x", 1), (None, None, "en", "x", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [tuple(x) for x in out.collect()]
+    near = [x for x in got if x[0] is None and x[1] is not None]
+    assert sorted((x for x in got if x not in near), key=str) == sorted([(1, a, "en", "w", 1), (2, b, "en", "x", 1), (4, c, "en", "x", 1), (None, None, "en", "x", 1)], key=str)
+    assert len(near) == 1 and near[0][1] in (d, d + " end")
