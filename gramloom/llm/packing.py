@@ -31,6 +31,8 @@ from gramloom.llm.tokens import batch_tokenizer
 
 LENGTH = 2048
 END = 0
+#: Pieces in a batch of rows.
+ROWS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -45,27 +47,30 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a fixed vocabulary
 
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = batch_tokenizer(shared.value)
+        rows: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            out = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(out, names)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows, kept = [], []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    ids = np.append(ids, end).astype("<u4")
-                    for n, (a, b) in enumerate(pieces_of(ids, length)):
-                        rows.append((doc_id, n, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-                        if with_ids:
-                            kept.append(ids[a:b].astype(np.int32))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    arrays.append(pa.array(kept, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+            # One text at a time leaves the batch; pieces go on as soon as there are ROWS of them.
+            texts = (t.as_py() or "" for t in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                ids = np.append(ids, end).astype("<u4")
+                for n, (a, b) in enumerate(pieces_of(ids, length)):
+                    own = (ids[a:b].astype(np.int32),) if with_ids else ()
+                    rows.append((doc_id, n, a, b - a, zlib.crc32(ids[a:b].tobytes()), *own))
+                    if len(rows) >= ROWS:
+                        yield packed()
+        if rows:
+            yield packed()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
