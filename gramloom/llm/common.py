@@ -33,10 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here, and lost executors cost nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    path = f"{new_path(spark)}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
