@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import fingerprints, language, licences, lines, mixing, packing, quality_votes, rules, substrings
-from gramloom.llm.common import documents
+from gramloom.llm import (
+    divergence, filter_audit, fingerprints, language, licences, lines, mixing, packing, quality_votes, rules, substrings, token_files,
+)
+from gramloom.llm.common import documents, new_path
 from gramloom.llm.jaccard import jaccard_components
 
 
@@ -72,6 +74,20 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark)
+    token_files.write_tokens(documents(spark, sf), public_tokenizer(), path)
+    return token_files.read_documents(spark, path)
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_documents(documents(spark, sf), documents(spark, sf, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit_sources(documents(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language": op2_language,
@@ -83,10 +99,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_votes": op9_quality_votes,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_files": op11_token_files,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.SQL,
     "op7_line_dedup": lines.SQL,
     "op10_quality_rules": rules.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
