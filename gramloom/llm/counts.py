@@ -1,55 +1,80 @@
-"""How often hashed items occur, roughly, in a table of fixed size that every task may hold."""
+"""How often hashed items occur, roughly, in a table of bounded size that every task may hold.
+
+The table is made by tasks, a part each, and broadcast; it has some ``SPARE`` cells for each item, at most ``MOST_CELLS``
+bytes. Few cells for many items only make counts less exact, upwards.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the table, a byte each; an item has two, and the lower one holds.
-CELL_BITS = 25
-CELLS = 1 << CELL_BITS
+#: Cells of the table, a byte each, as powers of two; an item has two, and the lower one holds.
+LEAST_BITS, MOST_BITS = 16, 25
+SPARE = 8
+#: Cells of a part, as a power of two.
 PART_BITS = 19
 
-_MASK = np.uint64(CELLS - 1)
+
+def _parts(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells and levels as parts of the table."""
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cell, level = (batch.column(i).to_numpy() for i in (0, 1))
+            number = cell >> bits
+            for part in np.unique(number).tolist():
+                own = number == part
+                room = parts.setdefault(part, np.zeros(1 << bits, np.uint8))
+                np.maximum.at(room, cell[own] & ((1 << bits) - 1), level[own].astype(np.uint8))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(parts), pa.int64()), pa.array([b.tobytes() for b in parts.values()], pa.binary())], ["part", "levels"]
+        )
+
+    return run
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells and levels as parts of the table, 2**PART_BITS cells each."""
-    parts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        cell, level = (batch.column(i).to_numpy() for i in (0, 1))
-        number = cell >> PART_BITS
-        for part in np.unique(number).tolist():
-            own = number == part
-            room = parts.setdefault(part, np.zeros(1 << PART_BITS, np.uint8))
-            np.maximum.at(room, cell[own] & ((1 << PART_BITS) - 1), level[own].astype(np.uint8))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(parts), pa.int64()), pa.array([b.tobytes() for b in parts.values()], pa.binary())], ["part", "levels"]
-    )
+def _halves(tokens: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(cells - 1)
+    return (tokens & mask).astype(np.int64), (tokens >> np.uint64(MOST_BITS) & mask).astype(np.int64)
 
 
 def count_table(counts: DataFrame) -> np.ndarray:
-    """The table for ``counts`` (token, count), which leaves out tokens that occur once.
+    """The table for ``counts`` (token, count), a written table that leaves out tokens that occur once.
 
     A cell holds four times the binary logarithm of the largest count that falls to it, so a level is never too
     low, and 0 means that a token occurs once at most.
     """
+    bits = min(max((counts.count() * SPARE).bit_length(), LEAST_BITS), MOST_BITS)
+    cells, part_bits = 1 << bits, min(bits, PART_BITS)
     level = F.least(F.floor(F.log2("count") * 4), F.lit(255)).cast("int")
-    cell = lambda shift: F.shiftrightunsigned("token", shift).bitwiseAND(CELLS - 1)
-    cells = counts.select(F.explode(F.array(cell(0), cell(CELL_BITS))).alias("cell"), level.alias("level"))
-    parts = cells.repartition(F.shiftrightunsigned("cell", PART_BITS)).mapInArrow(_parts, "part long, levels binary")
-    table = np.zeros(CELLS, np.uint8)
+    cell = lambda shift: F.shiftrightunsigned("token", shift).bitwiseAND(cells - 1)
+    rows = counts.select(F.explode(F.array(cell(0), cell(MOST_BITS))).alias("cell"), level.alias("level"))
+    parts = rows.repartition(F.shiftrightunsigned("cell", part_bits)).mapInArrow(_parts(part_bits), "part long, levels binary")
+    table = np.zeros(cells, np.uint8)
     for r in parts.toLocalIterator():  # parts of 512 KB
-        own = table[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS]
+        own = table[r["part"] << part_bits : (r["part"] + 1) << part_bits]
         np.maximum(own, np.frombuffer(r["levels"], np.uint8), out=own)
     return table
 
 
+@contextmanager
+def shared_table(counts: DataFrame) -> Iterator[Broadcast]:
+    """The table as a broadcast that ends with the block: what uses it is to be written within."""
+    shared = counts.sparkSession.sparkContext.broadcast(count_table(counts))
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
 def levels(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The levels of tokens (unsigned 64-bit hashes)."""
-    low, high = (table[x.astype(np.int64)] for x in (tokens & _MASK, (tokens >> np.uint64(CELL_BITS)) & _MASK))
+    low, high = (table[x] for x in _halves(tokens, len(table)))
     return np.minimum(low, high)

@@ -19,9 +19,16 @@ outside a family's largest component meet the rest, tile by tile. Two sets alrea
 connected are not compared again, so a tile of n copies takes some n comparisons and gives at most
 n - 1 links.
 
+Rows with equal sets form a *class*, which has a number of its own and one text; everything after the first pass is about
+classes. Rows that share a doc_id are tied by links between their classes, so a doc_id with several texts is one node
+however its texts are compared.
+
+Memory: texts are hashed in stretches of rows of about ``textkit.CHUNK_BYTES``, a longer one alone (some 60 bytes for each of its own); a
+tile holds up to ``TILE`` sets and ``TILE_BYTES`` of text, or one longer text.
+
 Edge cases: a null or empty text has an empty set and is linked with nothing. Rows of one text form
 one class with each other (except empty ones). Rows that share a doc_id are one node. A row
-without doc_id is returned with its set size and without component.
+without doc_id is returned with its set size and without component. Other columns are not read. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -31,21 +38,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm import textkit
 from gramloom.llm.common import written
 from gramloom.llm.components import connected_components
-from gramloom.llm.counts import count_table, levels
+from gramloom.llm.counts import levels, shared_table
 
 #: Sets in a tile. Signatures of a tile take TILE * SIGNATURE_BITS / 8 bytes.
 TILE = 512
 SIGNATURE_BITS = 1024
 #: Shingles below this part of the hash space are counted; prefixes rarely reach beyond.
 COUNTED = 0.4
-#: Small families are dealt over groups of about this many sets.
-GROUP = 4096
+#: Bytes of text in a tile, and in a group of small families.
+TILE_BYTES, GROUP_BYTES = 16 << 20, 8 << 20
 
 
 def _probe_prefix(n: int, t: tuple[int, int]) -> int:
@@ -57,18 +64,19 @@ def _probe_prefix(n: int, t: tuple[int, int]) -> int:
 def _summaries(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2 = [], [], []
-            for _, data, offsets in textkit.chunks(batch.column(1)):
+            n, k1, k2, size = [], [], [], [np.zeros(0, np.int64)]
+            for _, data, offsets in textkit.chunks(batch.column(2)):
+                size.append(np.diff(offsets))
                 for s in textkit.shingle_sets(*textkit.word_hashes(data, offsets, lower=True), k):
                     n.append(len(s))
                     k1.append(int(s.sum(dtype=np.uint64)))
                     k2.append(int(textkit.mix(s).sum(dtype=np.uint64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n, pa.int64()),
+                    batch.column(0), batch.column(1), pa.array(np.concatenate(size)), pa.array(n, pa.int64()),
                     *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (k1, k2)),
                 ],
-                ["doc_id", "n_shingles", "k1", "k2"],
+                ["doc_id", "th", "size", "n_shingles", "k1", "k2"],
             )
 
     return run
@@ -224,26 +232,36 @@ def _band(n, t: tuple[int, int], shift: float = 0.0):
 
 def _families(docs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
     """(key, family) of the sets that share a prefix shingle with another one."""
-    spark = docs.sparkSession
     texts = docs.select("text")
     counts = written(texts.mapInArrow(_counted(k), "token long").groupBy("token").count().where("count > 1"))
-    table = count_table(counts)
-    shared = spark.sparkContext.broadcast(table)
-    ties = (
-        texts.mapInArrow(_prefixes(k, t, shared), "token long, key long").repartition("token")
-        .sortWithinPartitions("token", "key").mapInArrow(_ties, "a long, b long")
-    )
-    return connected_components(ties).select(F.col("node").alias("key"), F.col("component").alias("family"))
+    with shared_table(counts) as shared:
+        ties = (
+            texts.mapInArrow(_prefixes(k, t, shared), "token long, key long").repartition("token")
+            .sortWithinPartitions("token", "key").mapInArrow(_ties, "a long, b long")
+        )
+        families = connected_components(ties)
+    return families.select(F.col("node").alias("key"), F.col("component").alias("family"))
+
+
+def _tiles(sets: Column, size: Column, part: int = 1) -> Column:
+    """How many tiles (or parts of one) so many sets and bytes of text fill."""
+    return F.ceil(F.greatest(sets / (TILE // part), size / max(TILE_BYTES // part, 1)))
+
+
+def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The text of each class."""
+    return docs.join(sets.select("rep", "doc_id", "th"), ["doc_id", "th"]).select("rep", "text")
 
 
 def _large_families(docs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
-    """Links within families of more than a tile; ``sets``: rep, n_shingles, family."""
-    texts = written(docs.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"))
+    """Links within families of more than a tile; ``sets``: rep, doc_id, th, size, n_shingles, family."""
+    texts = written(_texts(docs, sets).dropDuplicates(["rep"]))
+    sets = sets.select("rep", "size", "n_shingles", "family")
     job = _tile_job(k, t, None)
     known, links = sets.withColumn("joined", F.col("rep")), None
     for turn in (0, 1):
         cell = known.withColumn("band", _band(F.col("n_shingles"), t, turn / 2))
-        tiles = cell.groupBy("family", "band").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+        tiles = cell.groupBy("family", "band").agg(_tiles(F.count("*"), F.sum("size")).alias("tiles"))
         cell = cell.join(tiles, ["family", "band"]).withColumn(
             "part", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("tiles")).cast("long")
         )
@@ -261,8 +279,9 @@ def _large_families(docs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int]
     cell = known.join(open_, "family").withColumn("band", _band(F.col("n_shingles"), t)).withColumn(
         "rest", F.col("joined") != F.col("main")
     )
+    rest_of = lambda c: F.sum(F.when(F.col("rest"), c).otherwise(0))
     tiles = cell.groupBy("family", "band").agg(
-        F.ceil(F.sum(F.col("rest").cast("long")) / (TILE // 2)).alias("rests"), F.ceil(F.count("*") / (TILE // 2)).alias("alls")
+        _tiles(rest_of(F.lit(1)), rest_of(F.col("size")), 2).alias("rests"), _tiles(F.count("*"), F.sum("size"), 2).alias("alls")
     )
     cell = written(cell.join(tiles, ["family", "band"]))
     near = tiles.select("family", F.col("band").alias("other"), "rests", "alls")
@@ -288,6 +307,30 @@ def _large_families(docs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int]
     return links.unionByName(found)
 
 
+def _links(docs: DataFrame, classes: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """(a, b): links between classes that connect all classes which links connect."""
+    families = _families(docs, k, t).withColumnRenamed("key", "k1")
+    members = written(classes.join(families, "k1").select("rep", "doc_id", "th", "size", "n_shingles", "family"))
+    sizes = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("size").alias("bytes"))
+    big = written(sizes.where((F.col("sets") > TILE) | (F.col("bytes") > TILE_BYTES)).select("family"))
+    small = members.join(big, "family", "left_anti")
+    n_groups = int(small.agg(F.sum("size")).first()[0] or 0) // GROUP_BYTES + 1
+    links = (
+        docs.join(small.select("doc_id", "th", "rep", "family"), ["doc_id", "th"])
+        .select("rep", F.col("rep").alias("joined"), "family", F.lit(0).alias("side"), "text", F.pmod(F.xxhash64("family"), F.lit(n_groups)).alias("part"))
+        .groupBy("part").applyInArrow(_tile_job(k, t, "family"), "a long, b long")
+    )
+    if not big.isEmpty():
+        links = links.unionByName(_large_families(docs, members.join(big, "family", "left_semi"), k, t))
+    return links
+
+
+def _shared_ids(own: DataFrame) -> DataFrame:
+    """(a, b): links between the classes that rows of one doc_id are in; ``own``: doc_id, rep."""
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    return own.join(several, "doc_id").where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id long, text string).
 
@@ -295,28 +338,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     shingles (letters A-Z lowered) is at least that. ``component_id`` is the smallest doc_id
     that links reach.
     """
-    docs = docs.select("doc_id", "text")
-    base = written(docs.mapInArrow(_summaries(k), "doc_id long, n_shingles long, k1 long, k2 long"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    base = written(docs.mapInArrow(_summaries(k), "doc_id long, th long, size long, n_shingles long, k1 long, k2 long"))
     filled = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    families = _families(docs.where("doc_id IS NOT NULL"), k, threshold)
-    members = written(
-        classes.join(families.withColumnRenamed("key", "k1"), "k1").select("rep", "n_shingles", "family").distinct()
-    )
-    sizes = members.groupBy("family").count()
-    big = sizes.where(F.col("count") > TILE)
-    small = members.join(big, "family", "left_anti")
-    n_groups = max(1, small.count() // GROUP + 1)
-    links = (
-        docs.join(small.select(F.col("rep").alias("doc_id"), F.col("rep"), F.col("rep").alias("joined"), "family"), "doc_id")
-        .select("rep", "joined", "family", F.lit(0).alias("side"), "text", F.pmod(F.xxhash64("family"), F.lit(n_groups)).alias("part"))
-        .groupBy("part").applyInArrow(_tile_job(k, threshold, "family"), "a long, b long")
-    )
-    if not big.isEmpty():
-        links = links.unionByName(_large_families(docs, members.join(big.select("family"), "family", "left_semi"), k, threshold))
-    comp = connected_components(links).select(F.col("node").alias("rep"), "component")
-    of_class = classes.join(comp, "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = base.join(of_class, ["k1", "k2", "n_shingles"], "left")
-    return out.select(
+    key = ["k1", "k2", "n_shingles"]
+    classes = filled.groupBy(*key).agg(F.min(F.struct("doc_id", "th", "size")).alias("first")).select(*key, "first.*")
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
+    # A class is found by what makes it one; rows without doc_id or words are in none.
+    of_row = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep")
+    own = written(base.join(classes.select(*key, "rep"), key, "left").select("doc_id", "n_shingles", of_row))
+    links = _links(docs.where("doc_id IS NOT NULL"), classes, k, threshold)
+    links = links.unionByName(_shared_ids(own.where("rep IS NOT NULL").select("doc_id", "rep")))
+    comp = connected_components(links).withColumnRenamed("node", "rep")
+    ids = classes.select("rep", F.col("doc_id").alias("id"))
+    named = comp.join(ids, "rep").groupBy("component").agg(F.min("id").alias("component_id"))
+    of_class = written(ids.join(comp.join(named, "component"), "rep", "left").select("rep", F.coalesce("component_id", "id").alias("component_id")))
+    return own.join(of_class, "rep", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )

@@ -62,7 +62,7 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         shape = kind[data[starts]] * 64 + kind[data[np.minimum(starts + 1, ends - 1)]] * 16 + kind[data[ends - 1]] * 4
         shape += np.minimum(ends - starts, 16) // 5
         np.add.at(out, own * TERMS + room + shape, 1)
-        words = textkit.span_hashes(data, starts, ends)
+        words = textkit.byte_hashes(data, starts, ends)
         again = np.flatnonzero((words[1:] == words[:-1]) & (own[1:] == own[:-1])) + 1
         np.add.at(out, own[again] * TERMS + room + SHAPES, 1)
         for i, s in enumerate(textkit.shingle_sets(words, first)):

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from gramloom.llm import textkit
 from gramloom.llm.common import written
-from gramloom.llm.counts import count_table, levels
+from gramloom.llm.counts import levels, shared_table
 
 WINDOW = 20
 ANCHOR = 5
@@ -265,9 +265,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # A second copy of a row would meet the first in its shard's automaton, and both would lose the words.
     docs = _once(docs)
     counts = docs.select("text").mapInArrow(_anchors(window), "token long").groupBy("token").count().where("count > 1")
-    table = count_table(written(counts))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    runs = written(docs.mapInArrow(_runs(window, shared), RUNS))
+    with shared_table(written(counts)) as shared:
+        runs = written(docs.mapInArrow(_runs(window, shared), RUNS))
     # Each different run with its first place, found by a partial aggregate.
     place = F.struct("doc_id", "th", "pos")
     different = written(

@@ -1,12 +1,13 @@
 """Words and shingles of a batch of texts as arrays of 64-bit hashes, without a loop over words.
 
-A text's bytes are hashed by prefix sums: with C[i] the sum of (byte + 1) * B**i, the word in
-[s, e) has the hash (C[e] - C[s]) * B**-s in 64-bit arithmetic, whatever its place. All words of a
-batch thus cost a handful of array operations.
+A word is hashed by its length and then eight bytes at a time, each step a bijection of those bytes: words of equal
+length up to eight bytes never have equal hashes. All words of a batch go through a step together, so they cost
+a handful of array operations; words beyond ``LONG_WORD`` bytes are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,11 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes hashed at once; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+LONG_WORD = 256
 
 _powers: list[np.ndarray] = []
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i for i <= n."""
     if not _powers or len(_powers[0]) <= n:
-        size = max(n, CHUNK_BYTES) + 1
+        size = max(n, CHUNK_BYTES >> 3) + 1
         _powers[:] = [_geometric(b, size) for b in (BASE, BASE_INVERSE)]
     return _powers[0], _powers[1]
 
@@ -43,13 +46,37 @@ def _geometric(b: int, size: int) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the spans [start, end) of an array of small integers."""
+    """Hashes of the spans [start, end) of an array, by prefix sums: with C[i] the sum of (value + 1) * B**i, a span
+    has the hash (C[e] - C[s]) * B**-s in 64-bit arithmetic, whatever its place.
+
+    Only for spans of fewer than 1024 values, or where equal hashes are checked: there are longer ones that have equal
+    hashes whatever B is.
+    """
     up, down = powers(len(values))
     sums = np.zeros(len(values) + 1, U)
     np.cumsum((values.astype(U) + U(1)) * up[: len(values)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [start, end) of an array of bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    lengths = ends - starts
+    out = mix(lengths.astype(U) * U(BASE) + U(1))
+    left = np.flatnonzero(lengths <= LONG_WORD)
+    at = 0
+    while len(left):
+        own = eight[starts[left] + at].reshape(-1).view("<u8") & _KEEP[np.minimum(lengths[left] - at, 8)]
+        out[left] = mix((out[left] ^ own) * U(0xFF51AFD7ED558CCD) + U(BASE))
+        at += 8
+        left = left[lengths[left] > at]
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) of stretches of a string column, each of about ``limit`` bytes."""
     if column.null_count:
@@ -89,7 +116,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the number of words before each row."""
     starts, ends, first = word_spans(data, offsets)
-    return span_hashes(_lower[data] if lower else data, starts, ends), first
+    return byte_hashes(_lower[data] if lower else data, starts, ends), first
 
 
 def chain(words: np.ndarray, k: int) -> np.ndarray:
