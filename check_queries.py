@@ -27,6 +27,8 @@ from gramloom.sources.shared import shared_folder
 from gramloom.sources.sinks import write_epiq, write_lasso_json, write_report
 
 PAIR_THRESHOLD = 0.001
+#: The term that the scans' model holds.
+MODEL_TERM = (3,)
 SINGLE_THRESHOLD = 0.2
 LASSO_PENALTY = 0.01
 
@@ -115,10 +117,46 @@ def _named(df):
 
 
 def _wide_source(spark, sf, epistatic=True, responses=None):
-    n, m = _wide_size(spark, sf)
-    return sample_source(
-        _wide(spark, sf), "vec_id", "embedding", m, n, responses or _responses(), _wide_index(spark, sf), epistatic
-    )
+    return _source_of(_wide(spark, sf), responses or _responses(), epistatic)
+
+
+def _source_of(wide, responses, epistatic, collinear="exclude"):
+    """Source of a wide matrix (vec_id, embedding); variables are named by their place."""
+    n, m = wide.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    index = wide.sparkSession.range(m).select(F.col("id").cast("int").alias("pos"), F.format_string("e%02d", "id").alias("name"))
+    return sample_source(wide, "vec_id", "embedding", m, n, responses, index, epistatic, collinear=collinear)
+
+
+def _e(i: int):
+    return F.col("embedding")[i].cast("double")
+
+
+#: Of the removal queries: variables whose sum, with another variable, stands in for them until they enter, and the response.
+STAND_IN, NOISE, COPIED = 21, 11, 1
+
+
+def _removal(spark, sf) -> DataFrame:
+    """The wide matrix with a variable that stands in for others (e21), a copy (e11 of e01) and a response ``y``.
+
+    The stand-in enters first, leaves when what it stands for has entered, sits out a scan and comes back once e15 has taken
+    enough of the error.
+    """
+    stand_in = _e(5) + _e(10) + _e(STAND_IN)
+    y = _e(5) + _e(10) + 0.012 * _e(STAND_IN) + 0.25 * _e(15) + 0.1 * _e(NOISE)
+    made = {STAND_IN: stand_in, NOISE: _e(COPIED)}
+    wide = _wide(spark, sf)
+    n = wide.agg(F.max(F.size("embedding"))).first()[0]
+    return wide.select("vec_id", F.array(*[made.get(i, _e(i)) for i in range(n)]).alias("embedding"), y.alias("y"))
+
+
+#: Variables of the query with pairs at the default threshold.
+PAIRED = 12
+
+
+def _dependent(spark, sf) -> DataFrame:
+    """The wide matrix with two more variables: a constant and a copy of e03."""
+    more = F.array(F.lit(2.5), _e(MODEL_TERM[0]))
+    return _wide(spark, sf).withColumn("embedding", F.concat(F.transform("embedding", lambda v: v.cast("double")), more))
 
 
 def _wide_names(spark, sf):
@@ -396,6 +434,16 @@ def q_ols_terms(spark, sf):
     )
 
 
+def q_ols_terms_pinv(spark, sf):
+    """The same model with a copied and a constant column, by the pseudo-inverse of X'X."""
+    more = {"quantity_again": F.col("l_quantity"), "two": F.lit(2.0)}
+    m = gram_moments(_tall(spark, sf), {**_tall_columns(), **more, "price": F.col("l_extendedprice")})
+    rows = ols.terms_frame(spark, [ols.fit_moments(m, "price", [*TALL_X, *more], "pinv")])
+    return rows.select(
+        "term", *[significant(F.col(c), 7).alias(c) for c in ("estimate", "std_error", "t")], _round("p").alias("p")
+    )
+
+
 def q_ols_fit_stats(spark, sf):
     rows = ols.stats_frame(spark, [_tall_fit(spark, sf)])
     cols = ["ss_model", "rss", "sst", "ms_model", "ms_error", "rse", "r2", "adj_r2", "f"]
@@ -438,12 +486,8 @@ def q_marginal_scan(spark, sf):
 
 # ---- scans and models ----------------------------------------------------------------
 
-MODEL_TERM = (3,)
-
-
-def _scan_next_to_one_term(spark, sf, best_only):
+def _scan_next_to_one_term(source, best_only):
     """All terms next to a model that holds variable e03 already."""
-    source = _wide_source(spark, sf)
     seed = {"best": source.best({r: ([], set(), {MODEL_TERM}) for r in range(2)})}  # learn the sums of e03
     assert all(t == MODEL_TERM for t, _ in seed["best"].values())
     cross = source.cross
@@ -465,11 +509,16 @@ def _scan_next_to_one_term(spark, sf, best_only):
 
 
 def q_forward_scan(spark, sf):
-    return _scan_next_to_one_term(spark, sf, False)
+    return _scan_next_to_one_term(_wide_source(spark, sf), False)
 
 
 def q_best_candidate(spark, sf):
-    return _scan_next_to_one_term(spark, sf, True)
+    return _scan_next_to_one_term(_wide_source(spark, sf), True)
+
+
+def q_scan_pinv(spark, sf):
+    """Singles next to e03 under the pseudo-inverse rule: e64 is constant, e65 is e03 again."""
+    return _scan_next_to_one_term(_source_of(_dependent(spark, sf), _responses(), False, "pinv"), False).drop("b")
 
 
 def _trace(result, spark):
@@ -518,6 +567,39 @@ def q_stepwise_tall(spark, sf):
     )
 
 
+def _run_on(source, spark):
+    try:
+        return _trace(run_stepwise(source), spark)
+    finally:
+        source.close()
+
+
+def q_stepwise_removal(spark, sf):
+    """A term enters, leaves, sits out a scan and comes back: tiles, default threshold."""
+    return _run_on(_source_of(_removal(spark, sf), {"y": F.col("y")}, False), spark)
+
+
+def q_stepwise_removal_tall(spark, sf):
+    """The same from one aggregation over the rows."""
+    made = _removal(spark, sf)
+    n = made.agg(F.max(F.size("embedding"))).first()[0]
+    return _run_on(tall_source(made, {f"e{i:02d}": F.col("embedding")[i] for i in range(n)}, {"y": F.col("y")}, epistatic=False), spark)
+
+
+def q_stepwise_default_pairs(spark, sf):
+    """Singles and pairs of the first variables at the default threshold, for both responses."""
+    few = _wide(spark, sf).select("vec_id", "label", F.slice("embedding", 1, PAIRED).alias("embedding"))
+    return _run_on(_source_of(few, _responses(), True), spark)
+
+
+def q_stepwise_shifted(spark, sf):
+    """A predictor a thousand million from zero, which a sum of its squares would hide."""
+    far = {"quantity": F.col("l_quantity").cast("double") + 1e9, "discount": F.col("l_discount"), "tax": F.col("l_tax")}
+    y = {"price": F.col("l_extendedprice") + 1000 * F.col("l_quantity")}
+    trace = _run_on(tall_source(_tall(spark, sf), far, y, epistatic=False), spark)
+    return trace.withColumn("t", significant(F.col("t"), 6))
+
+
 def _weights(spark, sf, solver):
     models = _lasso(spark, sf, solver)
     return lasso_plan.weights_frame(spark, models, _wide_index(spark, sf))

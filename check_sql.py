@@ -6,7 +6,7 @@ inverses by cofactors, the stepwise loop by a sweep operator in a recursive quer
 
 from __future__ import annotations
 
-from check_queries import LASSO_PENALTY, PAIR_THRESHOLD, SINGLE_THRESHOLD
+from check_queries import COPIED, LASSO_PENALTY, MODEL_TERM, NOISE, PAIR_THRESHOLD, PAIRED, SINGLE_THRESHOLD, STAND_IN
 
 POINTS = 2000
 LABEL_ONLY = "ph = 'label'"
@@ -405,6 +405,68 @@ best AS (SELECT * FROM t ORDER BY abs(t) DESC, k LIMIT 1)
 SELECT 'price' AS phenotype, 1 AS iteration, 'stop' AS event, term, {sig('t')} AS t, {rnd(t_tail('t', 'df'))} AS p FROM best"""
 
 
+def stepwise_on(made: str, keep: str, responses: str, threshold: float = 0.05) -> str:
+    """The loop on another wide matrix (vec_id, label, embedding)."""
+    return f"made AS ({made}), " + stepwise(keep, responses, threshold).replace("FROM embeddings", "FROM made")
+
+
+def _removal_sql(name: str) -> str:
+    def e(i: int) -> str:
+        return f"embedding[{i + 1}]::DOUBLE"
+
+    stand_in = f"{e(5)} + {e(10)} + {e(STAND_IN)}"
+    y = f"{e(5)} + {e(10)} + 0.012::DOUBLE * {e(STAND_IN)} + 0.25::DOUBLE * {e(15)} + 0.1::DOUBLE * {e(NOISE)}"
+    made = {STAND_IN: stand_in, NOISE: e(COPIED)}
+    columns = ", ".join(made.get(i, e(i)) for i in range(WIDTH))
+    trace = TRACE.replace("ph AS phenotype", f"'{name}' AS phenotype")
+    return f"WITH RECURSIVE {stepwise_on(f'SELECT vec_id, {y} AS label, [{columns}] AS embedding FROM embeddings', 'b < 0', LABEL_ONLY)} {trace}"
+
+
+# Next to e03: columns that e03 and the intercept span share their direction by the least-norm solution.
+SCAN_PINV = f"""WITH made AS (
+  SELECT vec_id, label, list_concat(embedding::DOUBLE[], [2.5::DOUBLE, embedding[{MODEL_TERM[0] + 1}]::DOUBLE]) AS embedding FROM embeddings
+), {WIDE_LISTS.format(keep='b < 0').replace('FROM embeddings', 'FROM made')}, held AS (SELECT v AS x, mean AS mx FROM num WHERE a = {MODEL_TERM[0]}),
+sums AS (
+  SELECT ph, a, zz AS raw, mean, mx, my, len(v) AS n, list_dot_product(v, v) AS zz, list_dot_product(v, x) AS zx,
+    list_dot_product(x, x) AS xx, list_dot_product(v, y) AS zy, list_dot_product(x, y) AS xy, list_dot_product(y, y) AS yy
+  FROM num, held, respc WHERE a <> {MODEL_TERM[0]}
+), part AS (
+  SELECT *, zz - zx*zx/xx AS s, zy - zx*xy/xx AS c, yy - xy*xy/xx AS rss, n - 3 AS df, zx/xx AS w, mean - zx/xx*mx AS b, xy/xx AS b1, my - xy/xx*mx AS b0 FROM sums
+), scored AS (
+  SELECT *, CASE WHEN s > 1e-8 * zz AND zz > 1e-13 * raw THEN c / sqrt(s * (rss - c*c/s) / df)
+    ELSE (w*b1 + b*b0) / sqrt(rss / df * (w*w/xx - 2*w*b*mx/xx + b*b*(1.0/n + mx*mx/xx))) END AS t FROM part
+)
+SELECT ph AS response, printf('e%02d', a) AS a, {rnd('t')} AS t, {rnd(t_tail('t', 'df'), 6)} AS p FROM scored"""
+
+# Quantity as it is: what is added to it may change nothing.
+SHIFTED = f"""WITH d AS (
+  SELECT l_quantity::DOUBLE AS q, l_discount::DOUBLE AS dc, l_tax::DOUBLE AS x, (l_extendedprice + 1000 * l_quantity)::DOUBLE AS y FROM lineitem
+), m AS (SELECT count(*) AS n, avg(q) AS mq, avg(dc) AS md, avg(x) AS mx, avg(y) AS my FROM d
+), s AS (
+  SELECT any_value(n) AS n, sum((q-mq)*(q-mq)) AS qq, sum((q-mq)*(y-my)) AS qy, sum((y-my)*(y-my)) AS yy, sum((dc-md)*(dc-md)) AS dd,
+    sum((dc-md)*(q-mq)) AS dq, sum((dc-md)*(y-my)) AS dy, sum((x-mx)*(x-mx)) AS xx, sum((x-mx)*(q-mq)) AS xq, sum((x-mx)*(y-my)) AS xy FROM d, m
+), a AS (
+  SELECT 1 AS iteration, 'enter' AS event, 'quantity' AS term, qy / sqrt(qq * (yy - qy*qy/qq) / (n - 2)) AS t, n - 2 AS df FROM s
+), z AS (
+  SELECT 'discount' AS term, n, dd - dq*dq/qq AS s, dy - dq*qy/qq AS c, yy - qy*qy/qq AS rss FROM s
+  UNION ALL SELECT 'tax', n, xx - xq*xq/qq, xy - xq*qy/qq, yy - qy*qy/qq FROM s
+), b AS (SELECT 2 AS iteration, 'stop' AS event, term, c / sqrt(s * (rss - c*c/s) / (n - 3)) AS t, n - 3 AS df FROM z ORDER BY abs(t) DESC LIMIT 1
+), r AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+SELECT 'price' AS phenotype, iteration, event, term, {sig('t', 6)} AS t, {rnd(t_tail('t', 'df'))} AS p FROM r"""
+
+# A copy takes half of the estimate, the constant 2 shares with the intercept as 2 to 1; two more degrees of freedom are gone.
+OLS_PINV = f"""WITH {TALL}, {OLS3}, more AS (
+  SELECT {TALL_NAME} AS term, est, se * sqrt(dfe / (dfe - 2.0)) AS se, dfe - 2 AS df FROM terms
+), shared AS (
+  SELECT term, est * CASE term WHEN 'quantity' THEN 0.5 WHEN '(Intercept)' THEN 0.2 ELSE 1 END AS est,
+    se * CASE term WHEN 'quantity' THEN 0.5 WHEN '(Intercept)' THEN 0.2 ELSE 1 END AS se, df FROM more
+  UNION ALL SELECT 'quantity_again', est * 0.5, se * 0.5, df FROM more WHERE term = 'quantity'
+  UNION ALL SELECT 'two', est * 0.4, se * 0.4, df FROM more WHERE term = '(Intercept)'
+)
+SELECT term, {sig('est', 7)} AS estimate, {sig('se', 7)} AS std_error, {sig('est / se', 7)} AS t, {rnd(t_tail('(est / se)', 'df'))} AS p FROM shared"""
+
+DEFAULT_PAIRS = stepwise_on(f"SELECT vec_id, label, embedding[1:{PAIRED}] AS embedding FROM embeddings", "true", "true")
+
 ORACLES = {
     "scan_epiq": f"WITH {CALLS} {LONG}",
     "scan_pheno": PHENO_LONG,
@@ -450,6 +512,12 @@ FROM calls x JOIN calls y ON x.vec_id = y.vec_id AND x.pos < y.pos GROUP BY ALL"
     "ols_coefficients": f"WITH {TALL}, {OLS3} SELECT {TALL_NAME} AS term, {sig('est')} AS estimate FROM terms",
     "ols_terms": f"WITH {TALL}, {OLS3} SELECT {TALL_NAME} AS term, {sig('est')} AS estimate, {sig('se')} AS std_error, "
     f"{sig('est/se')} AS t, {rnd(t_tail('(est/se)', 'dfe'))} AS p FROM terms",
+    "ols_terms_pinv": OLS_PINV,
+    "scan_pinv": SCAN_PINV,
+    "stepwise_removal": _removal_sql("y"),
+    "stepwise_removal_tall": _removal_sql("y"),
+    "stepwise_default_pairs": f"WITH RECURSIVE {DEFAULT_PAIRS} {TRACE}",
+    "stepwise_shifted": SHIFTED,
     "ols_fit_stats": f"""WITH {TALL}, {OLS3} SELECT n, 3::BIGINT AS df_model, dfe AS df_error, {sig('ssm')} AS ss_model, {sig('rss')} AS rss,
   {sig('rss+ssm')} AS sst, {sig('msm')} AS ms_model, {sig('mse')} AS ms_error, {sig('sqrt(mse)')} AS rse, {sig('ssm/(rss+ssm)')} AS r2,
   {sig('1 - mse/((rss+ssm)/(n-1))')} AS adj_r2, {sig('msm/mse')} AS f, {rnd(f_tail('(msm/mse)', '3.0', 'dfe'))} AS p FROM fit""",

@@ -21,6 +21,11 @@ ZERO_ERROR = 1e-6
 # square sum carries no information of its own.
 COLLINEAR = 1e-8
 RANK_CUTOFF = 1e-12
+# Square sums about the mean that rounding leaves of a constant, as a share of n * mean**2: of centred moments, and of raw sums.
+CENTRED_NOISE, RAW_NOISE = 1e-28, 1e-13
+# exclude: a dependent candidate is no candidate. pinv: it shares its direction with what it depends on, as the pseudo-inverse
+# of X'X has it (the solution of least norm).
+COLLINEAR_RULES = ("exclude", "pinv")
 
 TERM_SCHEMA = (
     "phenotype string, row int, term string, a string, b string, estimate double, "
@@ -68,9 +73,84 @@ def _explained(corr, xy, keep) -> float:
     return float(part @ np.linalg.pinv(corr[np.ix_(keep, keep)], rcond=RANK_CUTOFF, hermitian=True) @ part)
 
 
-def fit_cross(response, terms, n, mean_x, mean_y, sxx, sxy, syy) -> Fit:
+@dataclass(frozen=True)
+class NormalInverse:
+    """The pseudo-inverse of X'X, X with a last column of ones, by its independent columns.
+
+    ``whitening`` (rank x k): whitening' whitening inverts the centred products of the independent columns, zero elsewhere.
+    ``projector``: onto the directions that X'X has. ``inverse``: the pseudo-inverse, (k + 1) x (k + 1).
+    """
+
+    independent: np.ndarray
+    whitening: np.ndarray
+    projector: np.ndarray
+    inverse: np.ndarray
+
+
+def normal_inverse(n: int, mean: np.ndarray, sxx: np.ndarray, noise: float = CENTRED_NOISE) -> NormalInverse:
+    """Pivoted Cholesky factorisation of the centred products, scaled to unit diagonal.
+
+    A column is independent while the part of it outside those before it, and outside the constant, is more than ``COLLINEAR`` of
+    its square sum. Each other column gives one null vector of X'X; the pseudo-inverse is any inverse on the independent
+    columns, projected off the null vectors on both sides.
+    """
+    k = len(mean)
+    squares = np.diag(sxx).copy()
+    varies = squares > noise * (squares + n * mean * mean)
+    scale = np.where(varies, np.sqrt(np.maximum(squares, 0.0)), 1.0)
+    corr = sxx / np.outer(scale, scale)
+    left, rows, order = np.where(varies, 1.0, 0.0), np.zeros((0, k)), []
+    while k and left.max() > COLLINEAR:
+        j = int(np.argmax(left > left.max() - 1e-12))  # of equal ones the first
+        row = (corr[j] - rows[:, j] @ rows) / math.sqrt(left[j])
+        rows = np.vstack([rows, row])
+        left = np.where(varies, left - row * row, 0.0)
+        order.append(j)
+        left[order] = 0.0
+    order = np.array(order, dtype=int)
+    whitening = np.zeros((len(order), k))
+    if len(order):
+        whitening[:, order] = np.linalg.solve(rows[:, order].T, np.diag(1.0 / scale[order]))
+    inner = whitening.T @ whitening
+    plain = np.zeros((k + 1, k + 1))
+    plain[:k, :k] = inner
+    plain[:k, k] = plain[k, :k] = -inner @ mean
+    plain[k, k] = 1.0 / n + mean @ inner @ mean
+    dependent = np.setdiff1d(np.arange(k), order)
+    share = inner @ sxx[:, dependent]  # of the independent columns in each dependent one
+    nulls = np.vstack([-share, mean @ share - mean[dependent]])
+    nulls[dependent, np.arange(len(dependent))] += 1.0
+    q, _ = np.linalg.qr(nulls) if len(dependent) else (np.zeros((k + 1, 0)), None)
+    projector = np.eye(k + 1) - q @ q.T
+    return NormalInverse(order, whitening, projector, projector @ plain @ projector)
+
+
+def _fit_pinv(response, terms, n, mean_x, mean_y, sxx, sxy, syy, noise) -> Fit:
+    k = len(terms)
+    solved = normal_inverse(n, mean_x, sxx, noise)
+    inner = solved.whitening.T @ solved.whitening
+    slopes = inner @ sxy
+    ss_model = float(slopes @ sxy)
+    rss, df = max(float(syy) - ss_model, 0.0), n - k - 1
+    beta = solved.projector @ np.concatenate([slopes, [mean_y - slopes @ mean_x]])
+    se = np.sqrt(np.maximum(np.diag(solved.inverse), 0.0) * (rss / df if df > 0 else math.nan))
+    se = np.where(se == 0.0, ZERO_ERROR, se)
+    t = beta / se
+    type3 = np.zeros(k)
+    for j in range(k):
+        keep = np.arange(k) != j
+        w = normal_inverse(n, mean_x[keep], sxx[np.ix_(keep, keep)], noise).whitening @ sxy[keep]
+        type3[j] = max(ss_model - float(w @ w), 0.0)
+    return Fit(response, tuple(terms), int(n), beta, se, t, t_tail(t, df), rss, ss_model, type3)
+
+
+def fit_cross(response, terms, n, mean_x, mean_y, sxx, sxy, syy, collinear: str = "exclude", noise: float = CENTRED_NOISE) -> Fit:
     """Fit from centred cross products. A rank-deficient design goes through the
-    pseudo-inverse of the scaled normal equations."""
+    pseudo-inverse: of the scaled centred products, or (``collinear="pinv"``) of X'X itself, ones included."""
+    if collinear not in COLLINEAR_RULES:
+        raise ValueError(f"collinear must be one of {COLLINEAR_RULES}")
+    if collinear == "pinv":
+        return _fit_pinv(response, terms, n, mean_x, mean_y, sxx, sxy, syy, noise)
     k = len(terms)
     scale = np.sqrt(np.diag(sxx)) if k else np.zeros(0)
     scale = np.where(scale > 0, scale, 1.0)
@@ -96,12 +176,12 @@ def fit_cross(response, terms, n, mean_x, mean_y, sxx, sxy, syy) -> Fit:
     return Fit(response, tuple(terms), int(n), full, se, t, t_tail(t, df), rss, ss_model, type3)
 
 
-def fit_moments(m: Moments, response, terms) -> Fit:
+def fit_moments(m: Moments, response, terms, collinear: str = "exclude") -> Fit:
     """Fit ``response`` on ``terms`` from a Gram pass that holds them all."""
     idx = [m.position(t) for t in terms]
     y = m.position(response)
     return fit_cross(
-        response, terms, m.n, m.mean[idx], m.mean[y], m.cross[np.ix_(idx, idx)], m.cross[idx, y], m.cross[y, y]
+        response, terms, m.n, m.mean[idx], m.mean[y], m.cross[np.ix_(idx, idx)], m.cross[idx, y], m.cross[y, y], collinear
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gramloom.functions.numeric import rank_key
 from gramloom.functions.tails import t_pvalue
-from gramloom.operators.ols import COLLINEAR
+from gramloom.operators.ols import COLLINEAR, RAW_NOISE, ZERO_ERROR
 from gramloom.operators.tiles import Tiles, as_matrix
 
 # Side data (responses and model columns) up to this size is broadcast; above it, it is
@@ -33,8 +33,6 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 KEEP_LAYOUT_BYTES = 16 * 1024**3
 # regr_sxx is centred as it is summed; a constant gives zero up to this part of its square sum.
 CONSTANT = 1e-20
-# Rounding error of a sum of squares, relative to it.
-ROUNDING = 1e-13
 
 Position = tuple  # (pos,) for a single, (pos_a, pos_b) for a pair
 
@@ -51,13 +49,33 @@ class ModelState:
     df: int
     blocked: frozenset = field(default_factory=frozenset)
     allowed: frozenset | None = None
+    # With the pseudo-inverse rule: the model's means, its coefficients (intercept last) and the pseudo-inverse of its X'X.
+    means: np.ndarray | None = None
+    beta: np.ndarray | None = None
+    inverse: np.ndarray | None = None
+
+
+def _dependent_t(mean, u, state: ModelState):
+    """t of candidates that the model and the intercept already span.
+
+    Such a column is X v for a v over the model's columns and the intercept. The least-norm solution gives it the share v.beta / (1 + v.v) with
+    the error sqrt(mse * v' inverse v) / (1 + v.v), where the divisors cancel.
+    """
+    v = state.whitening.T @ u
+    v = np.vstack([v, mean - state.means @ v])
+    error = np.sqrt(np.maximum(np.einsum("ij,ij->j", v, state.inverse @ v), 0.0) * state.rss / state.df)
+    return (state.beta @ v) / np.where(error == 0.0, ZERO_ERROR, error)
 
 
 def candidate_t(n, zz, z1, zw, n_responses, state: ModelState):
-    """t of each candidate; NaN where it has nothing to add. ``zw`` is (responses + columns) x candidates."""
+    """t of each candidate from raw sums; NaN where it has nothing to add. ``zw`` is (responses + columns) x candidates."""
     if np.isnan(zz).any():
         raise ValueError("missing values in a candidate; choose a missing policy")
-    squares = zz - z1 * z1 / n
+    return centred_t(zz - z1 * z1 / n, RAW_NOISE * zz, z1 / n, zw, n_responses, state)
+
+
+def centred_t(squares, noise, mean, zw, n_responses, state: ModelState):
+    """The same from square sums about the mean; up to ``noise`` a candidate is constant."""
     g = zw[[n_responses + c for c in state.columns]]
     u = state.whitening @ g
     s = squares - np.einsum("ij,ij->j", u, u)
@@ -66,9 +84,9 @@ def candidate_t(n, zz, z1, zw, n_responses, state: ModelState):
         gain = c * c / s
         left = np.maximum(state.rss - gain, 0.0)
         t = c / np.sqrt(s * left / state.df)
-    # Both sides are centred: a mean far from zero hides no predictor. Below the rounding error of the sums
-    # themselves a candidate counts as constant.
-    return np.where((s > COLLINEAR * squares) & (squares > ROUNDING * zz), t, np.nan)
+    # Both sides are centred: a mean far from zero hides no predictor.
+    free = (s > COLLINEAR * squares) & (squares > noise)
+    return np.where(free, t, np.nan if state.inverse is None else _dependent_t(mean, u, state))
 
 
 def _mask(state: ModelState, pos_a, pos_b):

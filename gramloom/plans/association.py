@@ -18,13 +18,13 @@ SUMS_BYTES = 384 * 1024 * 1024
 
 def tall_source(
     df: DataFrame, predictors: dict[str, Column], responses: dict[str, Column],
-    epistatic: bool = True, missing: str = "fail",
+    epistatic: bool = True, missing: str = "fail", collinear: str = "exclude",
 ) -> GramSource:
     """Many samples, few variables: one pass over ``df``, then no further job."""
     names = list(predictors)
     pairs = list(itertools.combinations(names, 2)) if epistatic else []
     moments = gram_moments(df, {**predictors, **responses}, pairs, missing)
-    return GramSource(moments, names + pairs, list(responses))
+    return GramSource(moments, names + pairs, list(responses), collinear)
 
 
 def response_moments(responses: DataFrame) -> tuple[list, list, list]:
@@ -52,7 +52,7 @@ def _block_limit(n_responses: int) -> int:
 
 def packed_source(
     features: DataFrame, responses: DataFrame, n_features: int, n_samples: int,
-    epistatic: bool = True, block: int | None = None, chunk: int | None = None,
+    epistatic: bool = True, block: int | None = None, chunk: int | None = None, collinear: str = "exclude",
 ) -> TiledSource:
     """Packed variables and packed responses (name, pos, values), samples in the same order.
 
@@ -64,12 +64,12 @@ def packed_source(
     chunk = chunk or auto_chunk
     tiles = tile_features(features, n_features, n_samples, block, chunk).persist()
     y = tile_features(responses, len(names), n_samples, max(1, len(names)), chunk).persist()
-    return TiledSource(tiles, y, None, names, means, squares, epistatic)
+    return TiledSource(tiles, y, None, names, means, squares, epistatic, collinear=collinear)
 
 
 def sample_source(
     df: DataFrame, idx: str, array: str, n_features: int, n_samples: int, responses: dict[str, Column],
-    index: DataFrame, epistatic: bool = True, block: int | None = None, chunk: int | None = None,
+    index: DataFrame, epistatic: bool = True, block: int | None = None, chunk: int | None = None, collinear: str = "exclude",
 ) -> TiledSource:
     """One array of all variables per sample row, with responses in the same row."""
     names = list(responses)
@@ -83,4 +83,4 @@ def sample_source(
         df.select(idx, F.array(*cols).alias("_y")), idx, "_y", len(names), n_samples, len(names), chunk
     ).persist()
     squares = [moments.cross[i, i] for i in range(len(names))]
-    return TiledSource(tiles, y, index, names, moments.mean, squares, epistatic)
+    return TiledSource(tiles, y, index, names, moments.mean, squares, epistatic, collinear=collinear)

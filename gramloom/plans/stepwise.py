@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from gramloom.functions.numeric import rank_key
 from gramloom.functions.tails import t_tail
 from gramloom.operators.gram import Moments
-from gramloom.operators.ols import Fit, fit_cross, term_label
-from gramloom.operators.scan import KEEP_LAYOUT_BYTES, Layout, ModelState, best_candidate, candidate_t, scan, side_columns
+from gramloom.operators.ols import CENTRED_NOISE, COLLINEAR_RULES, RAW_NOISE, Fit, fit_cross, normal_inverse, term_label
+from gramloom.operators.scan import KEEP_LAYOUT_BYTES, Layout, ModelState, best_candidate, centred_t, scan, side_columns
 from gramloom.operators.tiles import Tiles
 
 DEFAULT_THRESHOLD = 0.05
@@ -30,8 +30,10 @@ TRACE_SCHEMA = "phenotype string, iteration int, event string, term string, a st
 class CrossProducts:
     """Means and centred cross products of the responses and of every term met so far."""
 
-    def __init__(self, n: int, response_means, response_squares):
-        self.n = n
+    def __init__(self, n: int, response_means, response_squares, collinear: str = "exclude", noise: float = CENTRED_NOISE):
+        if collinear not in COLLINEAR_RULES:
+            raise ValueError(f"collinear must be one of {COLLINEAR_RULES}")
+        self.n, self.collinear, self.noise = n, collinear, noise
         self.y_mean = list(response_means)
         self.y_square = list(response_squares)
         self.mean: dict = {}
@@ -53,11 +55,18 @@ class CrossProducts:
 
     def fit(self, response: int, name: str, terms) -> Fit:
         mean, sxx, sxy = self.blocks(response, terms)
-        return fit_cross(name, terms, self.n, mean, self.y_mean[response], sxx, sxy, self.y_square[response])
+        return fit_cross(name, terms, self.n, mean, self.y_mean[response], sxx, sxy, self.y_square[response], self.collinear, self.noise)
 
     def state(self, response: int, terms, columns, blocked, allowed) -> ModelState:
-        _, sxx, sxy = self.blocks(response, terms)
-        if terms:
+        mean, sxx, sxy = self.blocks(response, terms)
+        rule = {}
+        if self.collinear == "pinv":
+            solved = normal_inverse(self.n, mean, sxx, self.noise)
+            whitening = solved.whitening
+            slopes = whitening.T @ (whitening @ sxy)
+            beta = solved.projector @ np.concatenate([slopes, [self.y_mean[response] - slopes @ mean]])
+            rule = {"means": mean, "beta": beta, "inverse": solved.inverse}
+        elif terms:
             scale = np.sqrt(np.diag(sxx))
             lower = np.linalg.cholesky(sxx / np.outer(scale, scale))
             whitening = np.linalg.solve(lower, np.diag(1.0 / scale))
@@ -67,14 +76,14 @@ class CrossProducts:
         rss = max(self.y_square[response] - float(coefficients @ sxy), 0.0)
         return ModelState(
             response, tuple(columns), whitening, coefficients, rss, self.n - len(terms) - 2,
-            frozenset(blocked), None if allowed is None else frozenset(allowed),
+            frozenset(blocked), None if allowed is None else frozenset(allowed), **rule,
         )
 
 
 class GramSource:
     """Candidates are rows of a Gram matrix on the driver (size checked where it is built)."""
 
-    def __init__(self, moments: Moments, predictors: list, responses: list):
+    def __init__(self, moments: Moments, predictors: list, responses: list, collinear: str = "exclude"):
         self.m = moments
         self.names = list(responses)
         self.terms = list(predictors)
@@ -83,7 +92,7 @@ class GramSource:
         self.at = {t: moments.position(t) for t in self.terms}
         order = {name: i for i, name in enumerate(dict.fromkeys(n for t in self.terms for n in self._parts(t)))}
         self.rank = {t: (len(self._parts(t)) - 1, *[order[p] for p in self._parts(t)]) for t in self.terms}
-        self.cross = CrossProducts(moments.n, moments.mean[y], np.diag(moments.cross)[y])
+        self.cross = CrossProducts(moments.n, moments.mean[y], np.diag(moments.cross)[y], collinear)
         for t in self.terms:
             self._learn(t)
 
@@ -104,13 +113,12 @@ class GramSource:
         out = {}
         idx = np.array([self.at[t] for t in self.terms])
         y = [self.m.position(name) for name in self.names]
-        zz_centred = np.diag(self.m.cross)[idx]
-        sums = self.m.mean[idx] * self.m.n
-        zz = zz_centred + sums * sums / self.m.n
+        squares, mean = np.diag(self.m.cross)[idx], self.m.mean[idx]
+        noise = CENTRED_NOISE * self.m.n * mean * mean
         for r, (terms, blocked, allowed) in requests.items():
             state = self.cross.state(r, terms, range(len(terms)), (), None)
             zw = np.concatenate([self.m.cross[np.ix_(y, idx)], self.m.cross[np.ix_([self.at[t] for t in terms], idx)]])
-            t = candidate_t(self.m.n, zz, sums, zw, len(y), state)
+            t = centred_t(squares, noise, mean, zw, len(y), state)
             usable = np.array([c not in blocked and (allowed is None or c in allowed) for c in self.terms])
             ok = usable & ~np.isnan(t)
             if ok.any():
@@ -135,13 +143,14 @@ class TiledSource:
     def __init__(
         self, tiles: Tiles, responses: Tiles, index: DataFrame | None, response_names: list[str],
         response_means, response_squares, epistatic: bool = True, keep_bytes: int = KEEP_LAYOUT_BYTES,
+        collinear: str = "exclude",
     ):
         self.tiles, self.responses, self.index = tiles, responses, index
         self.layout = Layout(tiles, epistatic, keep_bytes=keep_bytes)
         self.names = list(response_names)
         m = tiles.n_features
         self.n_terms = m + (m * (m - 1) // 2 if epistatic else 0)
-        self.cross = CrossProducts(tiles.n_samples, response_means, response_squares)
+        self.cross = CrossProducts(tiles.n_samples, response_means, response_squares, collinear, RAW_NOISE)
 
     def learn(self, terms) -> None:
         """Means and cross products of terms that no scan has found, by one pass over their columns."""
