@@ -488,7 +488,7 @@ def q_marginal_scan(spark, sf):
 
 def _scan_next_to_one_term(source, best_only):
     """All terms next to a model that holds variable e03 already."""
-    seed = {"best": source.best({r: ([], set(), {MODEL_TERM}) for r in range(2)})}  # learn the sums of e03
+    seed = {"best": source.best({r: ([], set(), {MODEL_TERM}, None) for r in range(2)})}  # learn the sums of e03
     assert all(t == MODEL_TERM for t, _ in seed["best"].values())
     cross = source.cross
     states = [cross.state(r, [MODEL_TERM], [0], {MODEL_TERM}, None) for r in range(2)]

@@ -125,15 +125,16 @@ def gram_moments(
     columns: dict[str, Column],
     pairs: list[tuple[str, str]] | None = None,
     missing: str = "fail",
+    limit: int = MAX_COLUMNS,
 ) -> Moments:
     """Moments of ``columns`` and of the products of ``pairs``; pair names are tuples (a, b)."""
     pairs = list(pairs or [])
     base, check = apply_missing_policy(df, columns, missing)
     names = list(columns)
     keys = names + pairs
-    if len(keys) > MAX_COLUMNS:
+    if len(keys) > limit:
         raise ValueError(
-            f"{len(keys)} terms do not fit the one-pass Gram form (limit {MAX_COLUMNS}); use the tiled scan"
+            f"{len(keys)} terms do not fit the one-pass Gram form (limit {limit}); use the tiled scan"
         )
     if len(keys) <= SQL_FORM_LIMIT:
         wide = base.select(

@@ -49,6 +49,8 @@ class ModelState:
     df: int
     blocked: frozenset = field(default_factory=frozenset)
     allowed: frozenset | None = None
+    # Places of the variables whose terms may be taken; None for all.
+    variables: tuple | None = None
     # With the pseudo-inverse rule: the model's means, its coefficients (intercept last) and the pseudo-inverse of its X'X.
     means: np.ndarray | None = None
     beta: np.ndarray | None = None
@@ -95,6 +97,11 @@ def _mask(state: ModelState, pos_a, pos_b):
     for term in state.blocked:
         a, b = term if len(term) == 2 else (term[0], -1)
         ok &= ~((pos_a == a) & (pos_b == b))
+    if state.variables is not None:
+        # Both sides of a pair have to be among them; -1 stands for no second side.
+        may = np.zeros(max(int(pos_a.max(initial=0)), int(pos_b.max(initial=0)), max(state.variables, default=0)) + 2, dtype=bool)
+        may[[-1, *state.variables]] = True
+        ok &= may[pos_a] & may[pos_b]
     if state.allowed is not None:
         listed = np.zeros(len(pos_a), dtype=bool)
         for term in state.allowed:

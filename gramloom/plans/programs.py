@@ -7,11 +7,11 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.operators.matrix import exclude_variables, require_equal_names, require_same_samples
+from gramloom.operators.matrix import require_equal_names, require_same_samples
 from gramloom.operators.ols import Fit, anova_frame, stats_frame, terms_frame
 from gramloom.operators.tiles import tile_features, to_sample_rows
 from gramloom.plans.association import packed_source
-from gramloom.plans.lasso import fit_lasso, lasso_remove, models_frame, refit, weights_frame
+from gramloom.plans.lasso import fit_lasso, kept_places, models_frame, refit, weights_frame
 from gramloom.plans.stepwise import DEFAULT_THRESHOLD, StepwiseResult, run_stepwise
 from gramloom.sources import Matrix, read_delimited, read_epiq, read_genotypes, read_pedmap
 from gramloom.sources.lines import keep_small
@@ -75,28 +75,18 @@ def stepwise_from_matrices(
     spark = genotypes.features.sparkSession
     table, names = _sample_table(genotypes, responses)
     index = keep_small(genotypes.index)
-    total = StepwiseResult()
-    for model in fit_lasso(table, "x", _response_columns(names), solver):
-        kept = model.kept()
-        if not kept:
-            total.fits[model.phenotype] = None
-            continue
-        dense = spark.createDataFrame([(p, i) for i, p in enumerate(kept)], "pos int, dense int")
-        removed = lasso_remove(weights_frame(spark, [model], index)).select("name")
-        features = (
-            exclude_variables(genotypes.features, removed).join(dense, "pos")
-            .select("name", F.col("dense").alias("pos"), "values")
-        )
-        one_response = responses.features.where(F.col("name") == model.phenotype).withColumn("pos", F.lit(0))
-        source = packed_source(features, one_response, len(kept), n, epistatic)
-        try:
-            one = run_stepwise(source, threshold)
-        finally:
-            source.close()
-        total.fits.update(one.fits)
-        total.trace += one.trace
-        total.seconds.update(one.seconds)
-    return total
+    models = fit_lasso(table, "x", _response_columns(names), solver)
+    union = sorted({i for m in models for i in m.kept()})
+    if not union:
+        return StepwiseResult({m.phenotype: None for m in models})
+    # One scan serves all phenotypes: the variables that any of them keeps, and for each which are its own.
+    dense = spark.createDataFrame([(p, i) for i, p in enumerate(union)], "pos int, dense int")
+    features = genotypes.features.join(F.broadcast(dense), "pos").select("name", F.col("dense").alias("pos"), "values")
+    source = packed_source(features, responses.features, len(union), n, epistatic)
+    try:
+        return run_stepwise(source, threshold, variables=kept_places(models, union))
+    finally:
+        source.close()
 
 
 def _report_header(spark, seconds, files, phenotype_file, empty, message):

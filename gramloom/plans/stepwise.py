@@ -57,7 +57,7 @@ class CrossProducts:
         mean, sxx, sxy = self.blocks(response, terms)
         return fit_cross(name, terms, self.n, mean, self.y_mean[response], sxx, sxy, self.y_square[response], self.collinear, self.noise)
 
-    def state(self, response: int, terms, columns, blocked, allowed) -> ModelState:
+    def state(self, response: int, terms, columns, blocked, allowed, variables=None) -> ModelState:
         mean, sxx, sxy = self.blocks(response, terms)
         rule = {}
         if self.collinear == "pinv":
@@ -76,7 +76,8 @@ class CrossProducts:
         rss = max(self.y_square[response] - float(coefficients @ sxy), 0.0)
         return ModelState(
             response, tuple(columns), whitening, coefficients, rss, self.n - len(terms) - 2,
-            frozenset(blocked), None if allowed is None else frozenset(allowed), **rule,
+            frozenset(blocked), None if allowed is None else frozenset(allowed),
+            None if variables is None else tuple(variables), **rule,
         )
 
 
@@ -96,6 +97,10 @@ class GramSource:
         for t in self.terms:
             self._learn(t)
 
+    def terms_of(self, k: int) -> int:
+        """At most so many terms have k variables."""
+        return k * (k + 1) // 2
+
     @staticmethod
     def _parts(term):
         return term if isinstance(term, tuple) else (term,)
@@ -115,11 +120,14 @@ class GramSource:
         y = [self.m.position(name) for name in self.names]
         squares, mean = np.diag(self.m.cross)[idx], self.m.mean[idx]
         noise = CENTRED_NOISE * self.m.n * mean * mean
-        for r, (terms, blocked, allowed) in requests.items():
+        for r, (terms, blocked, allowed, variables) in requests.items():
             state = self.cross.state(r, terms, range(len(terms)), (), None)
             zw = np.concatenate([self.m.cross[np.ix_(y, idx)], self.m.cross[np.ix_([self.at[t] for t in terms], idx)]])
             t = centred_t(squares, noise, mean, zw, len(y), state)
-            usable = np.array([c not in blocked and (allowed is None or c in allowed) for c in self.terms])
+            own = None if variables is None else set(variables)
+            usable = np.array([
+                c not in blocked and (allowed is None or c in allowed) and (own is None or own.issuperset(self._parts(c))) for c in self.terms
+            ])
             ok = usable & ~np.isnan(t)
             if ok.any():
                 key = np.where(ok, rank_key(t), -1.0)
@@ -148,10 +156,13 @@ class TiledSource:
         self.tiles, self.responses, self.index = tiles, responses, index
         self.layout = Layout(tiles, epistatic, keep_bytes=keep_bytes)
         self.names = list(response_names)
-        m = tiles.n_features
-        self.n_terms = m + (m * (m - 1) // 2 if epistatic else 0)
+        self.epistatic = epistatic
+        self.n_terms = self.terms_of(tiles.n_features)
         self.cross = CrossProducts(tiles.n_samples, response_means, response_squares, collinear, RAW_NOISE)
 
+    def terms_of(self, k: int) -> int:
+        return k + (k * (k - 1) // 2 if self.epistatic else 0)
+
     def learn(self, terms) -> None:
         """Means and cross products of terms that no scan has found, by one pass over their columns."""
         terms = [t for t in dict.fromkeys(terms) if t not in self.cross.mean]
@@ -183,11 +194,10 @@ class TiledSource:
             )
 
     def best(self, requests: dict) -> dict:
-        union = list(dict.fromkeys(t for terms, _, _ in requests.values() for t in terms))
+        union = list(dict.fromkeys(t for terms, *_ in requests.values() for t in terms))
         column = {t: i for i, t in enumerate(union)}
         states = [
-            self.cross.state(r, terms, [column[t] for t in terms], blocked, allowed)
-            for r, (terms, blocked, allowed) in requests.items()
+            self.cross.state(r, terms, [column[t] for t in terms], *rest) for r, (terms, *rest) in requests.items()
         ]
         weights = side_columns(
             self.tiles, self.responses, self.cross.y_mean, union, [self.cross.mean[t] for t in union]
@@ -250,6 +260,7 @@ class _Progress:
     n_terms: int
     best: Fit | None = None
     seen: set = field(default_factory=set)
+    variables: list | None = None
 
     def left(self) -> int:
         return self.n_terms - len(self.added) - len(self.skipped)
@@ -261,13 +272,15 @@ def run_stepwise(
     added: list | None = None,
     skipped: list | None = None,
     candidates: list | None = None,
+    variables: dict | None = None,
 ) -> StepwiseResult:
     """Build one model per response.
 
     Per iteration: the candidate with the smallest p-value next to the model enters if
     p < threshold, else the previous model is final. Only after that gate do terms skipped
     before become candidates again. Terms of the new model with p >= threshold then leave
-    together and sit out one scan. ``added``/``skipped``/``candidates`` seed the start.
+    together and sit out one scan. ``added``/``skipped``/``candidates`` seed the start. ``variables``: of each
+    response, those whose terms it may take (places of a tiled source, names of a tall one); all share one scan an iteration.
     """
     result = StepwiseResult()
     start = time.monotonic()
@@ -277,7 +290,9 @@ def run_stepwise(
     for r in range(len(source.names)):
         seeds = (list(added or []), list(skipped or []))
         allowed = None if candidates is None else set(candidates) | set(seeds[0]) | set(seeds[1])
-        todo[r] = _Progress(*seeds, allowed, source.n_terms if allowed is None else len(allowed))
+        own = None if variables is None else list(variables[source.names[r]])
+        n_terms = source.terms_of(len(own)) if own is not None else source.n_terms
+        todo[r] = _Progress(*seeds, allowed, n_terms if allowed is None else min(n_terms, len(allowed)), variables=own)
     events = []
 
     def finish(r):
@@ -290,7 +305,7 @@ def run_stepwise(
             finish(r)
         if not todo:
             break
-        winners = source.best({r: (p.added, set(p.added) | set(p.skipped), p.allowed) for r, p in todo.items()})
+        winners = source.best({r: (p.added, set(p.added) | set(p.skipped), p.allowed, p.variables) for r, p in todo.items()})
         for r in list(todo):
             p = todo[r]
             if r not in winners:
