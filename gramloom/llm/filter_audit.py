@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramloom.llm.common import written
+
 FILTERS = "ABCDE"
 LEAST_WORDS = 200
 #: Percent of words that must differ, and of characters that may be capitals.
@@ -167,7 +169,7 @@ def document_masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # Rows without doc_id meet no label; a number of their own keeps them from meeting in one task.
     lone = F.when(F.col("doc_id").isNull(), F.xxhash64("hash", "part")).alias("_lone")
     zero = F.lit(0).cast("long")
-    d = flags.select("*", lone).groupBy("doc_id", "_lone", "part", "hash", "mask").agg(F.count("*").alias("n"))
+    d = written(flags.select("*", lone).groupBy("doc_id", "_lone", "part", "hash", "mask").agg(F.count("*").alias("n")))
     d = d.where("doc_id IS NOT NULL").join(known, "doc_id", "left").select(
         "doc_id", "part", "hash", "mask", "n", F.coalesce("good", zero).alias("good"), F.coalesce("toxic", zero).alias("toxic")
     ).unionByName(d.where("doc_id IS NULL").select("doc_id", "part", "hash", "mask", "n", zero.alias("good"), zero.alias("toxic")))
