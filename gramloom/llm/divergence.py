@@ -2,15 +2,14 @@
 
 With p = 1 + floor(SCALE * (count + 1) / (N + V)) for a term of a group (lang, source), V kept terms of the language and N
 occurrences of them in the group, and q the same of another group or of the whole language, the divergence of a term is
-f = floor((p - q)**2 / q). All numbers are integers: p by 38-digit decimals, f by 64 bits ((p - q)**2 is below 2**63).
+f = floor((p - q)**2 / q). All numbers are integers: p by 64 bits or, for counts beyond nine thousand million, by decimals of 38 digits, f by 64 bits ((p - q)**2 is below 2**63).
 
 Method, part ``term`` (the ``TOP`` most divergent terms of each group): *dominance skyband*. f rises with a term's count in the
 group and falls with its count in the language, as long as p > q; equal values go by UTF-8. So a term comes before another one
 for sure if its group count isn't lower, its language count isn't higher and its UTF-8 is earlier: it
 dominates it. A term that ``TOP`` others dominate can't be listed. Each partition sorts its counts by group and keeps
-only the terms that fewer than ``TOP`` others dominate; these skybands are merged the same way in two rounds (a
-group's rows are first dealt over ``SALT`` tasks), as a dominated term stays dominated in any union, and only what is left is ranked
-by exact values. No values are sorted for whole vocabularies, and a group of a third of all rows is cut down where it lies.
+only the terms that fewer than ``TOP`` others dominate; these skybands are merged the same way (a group of more than ``MERGED`` terms is
+dealt over tasks first), as a dominated term stays dominated in any union, and only what is left is ranked by exact values. No values are sorted for whole vocabularies, and a group of a third of all rows is cut down where it lies.
 
 Part ``pair``: the sum of f over all kept terms for each ordered pair of sources of a language. A term's counts in all sources are one
 row; tasks add matrices of f for square tiles of ``TILE`` sources, over the terms that occur in either side, and count all others by the one value
@@ -23,11 +22,13 @@ their own. Other columns are not read. An empty table gives no row. Long texts a
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,11 @@ TOP = 200
 TILE = 128
 SALT = 32
 #: Different (group, term) counts gathered in a task before they go on.
-GATHERED = 200_000
+GATHERED = 400_000
+#: Terms of a group that one task merges.
+MERGED = 250_000
+#: Terms that are held against the skyband so far at once.
+BLOCK = 4096
 STRETCH = 1 << 20
 #: Every byte that is no part of a term becomes a blank, capitals become small letters.
 _TERM_BYTES = bytes(
@@ -99,7 +104,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _probability(count: Column, total: Column, kept: Column) -> Column:
     """p of a count, exactly: SCALE * (count + 1) has up to 29 digits."""
     wide = (count + F.lit(1)).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return F.lit(1).cast("long") + F.floor(_quotient(wide, (total + kept).cast("decimal(20,0)"))).cast("long")
+    wide = F.floor(_quotient(wide, (total + kept).cast("decimal(20,0)"))).cast("long")
+    short = _quotient((count + F.lit(1)) * F.lit(SCALE).cast("long"), total + kept)
+    return F.lit(1).cast("long") + F.when(count < (1 << 63) // SCALE - 1, short).otherwise(wide)
 
 
 def _quotient(a: Column, b: Column) -> Column:
@@ -122,24 +129,44 @@ class _Skyband:
         self.k = k
         self.n = self.lang_n = np.zeros(0, np.int64)
         self.terms: list[bytes] = []
-        self.rank = np.zeros(0, np.int64)
 
     def feed(self, n: np.ndarray, lang_n: np.ndarray, terms: list[bytes]) -> None:
         # What dominates a term came before it. If k do, k that are kept do, as those dropped are dominated by k themselves.
         every = self.terms + terms
-        rank = np.empty(len(every), np.int64)
-        rank[sorted(range(len(every)), key=every.__getitem__)] = np.arange(len(every))
-        old = len(self.terms)
-        l_all, r_all, n_all = np.append(self.lang_n, lang_n), rank, np.append(self.n, n)
+        rank = np.empty(len(every), np.int32)
+        rank[pc.sort_indices(pa.array(every, pa.binary())).to_numpy()] = np.arange(len(every), dtype=np.int32)
+        old, lang_n = len(self.terms), np.append(self.lang_n, lang_n)
+        _, level = np.unique(lang_n, return_inverse=True)
+        level = level.astype(np.int32)
         kept = np.arange(old)
-        for at in range(old, len(every), 256):
-            block = np.arange(at, min(at + 256, len(every)))
-            before = np.concatenate([kept, block])
-            less = (l_all[before][:, None] <= l_all[block]) & (r_all[before][:, None] < r_all[block]) & (before[:, None] < block)
-            kept = np.concatenate([kept, block[less.sum(0) < self.k]])
-        self.n, self.lang_n = n_all[kept], l_all[kept]
+        for at in range(old, len(every), BLOCK):
+            block = np.arange(at, min(at + BLOCK, len(every)))
+            if len(kept) >= self.k:
+                levels, limit = self._staircase(level[kept], rank[kept])
+                place = np.searchsorted(levels, level[block], "right") - 1
+                block = block[(place < 0) | (rank[block] <= limit[place])]
+            for part in np.split(block, range(256, len(block), 256)):
+                own_level, own_rank = level[part][:, None], rank[part][:, None]
+                number = np.count_nonzero((level[kept] <= own_level) & (rank[kept] < own_rank), axis=1)
+                among = (level[part] <= own_level) & (rank[part] < own_rank) & (part < part[:, None])
+                kept = np.concatenate([kept, part[number + np.count_nonzero(among, axis=1) < self.k]])
+        self.n, self.lang_n = np.append(self.n, n)[kept], lang_n[kept]
         self.terms = [every[i] for i in kept.tolist()]
 
+    def _staircase(self, lang_n: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language counts in order, and the k-th smallest rank among the terms up to each: a later one that ranks higher is dominated by k."""
+        order = np.argsort(lang_n, kind="stable")
+        least: list[int] = []
+        limit = np.full(len(order), np.iinfo(np.int64).max)
+        for i, r in enumerate(rank[order].tolist()):
+            if len(least) < self.k:
+                heapq.heappush(least, -r)
+            else:
+                heapq.heappushpop(least, -r)
+            if len(least) == self.k:
+                limit[i] = -least[0]
+        return lang_n[order], limit
+
 
 def _skybands(k: int):
     """Rows sorted by (lang, source, n down, lang_n up, term): those of each group's skyband."""
@@ -178,10 +205,17 @@ def skyband(counts: DataFrame, top: int = TOP) -> DataFrame:
     columns = ["lang", "source", "n", "lang_n", "term"]
     order = ["lang", "source", F.col("n").desc(), "lang_n", "term"]
     keep = lambda rows: rows.sortWithinPartitions(*order).mapInArrow(_skybands(top), SKYBAND)
-    local = keep(counts.select(*columns))
-    part = F.pmod(F.xxhash64("term"), F.lit(SALT))
-    some = keep(local.repartition("lang", "source", part))
-    return keep(some.repartition("lang", "source"))
+    some = written(keep(counts.select(*columns)))
+    while True:
+        most = some.groupBy("lang", "source").count().agg(F.max("count")).first()[0] or 0
+        if most <= MERGED:
+            return keep(some.repartition("lang", "source"))
+        # More than one task should merge: the group is dealt over as many as it fills. Each round's skybands are far smaller.
+        part = F.pmod(F.xxhash64("term"), F.lit(-(-most // MERGED) + 1))
+        merged = written(keep(some.repartition("lang", "source", part)))
+        if merged.count() > 0.9 * some.count():  # few are dominated: the last round takes them as they are, in blocks
+            return keep(merged.repartition("lang", "source"))
+        some = merged
 
 
 # ---- sums over pairs of sources
@@ -251,19 +285,15 @@ def pair_sums(kept: DataFrame, groups: DataFrame) -> DataFrame:
     a, b = (tiles.select("lang", F.col("t").alias(f"t{s}"), F.col("x.at").alias(f"at_{s}"), F.col("x.p").alias(f"p_{s}")) for s in "ab")
     names = ["lang", "ta", "tb", "slice", "head", "at_a", "p_a", "at_b", "p_b"]
     heads = a.join(b, "lang").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumn("head", F.lit(0))
-    # A term's counts in the sources of one tile are one row, which meets every tile on either side.
-    terms = kept.groupBy("lang", "term", tile("place").alias("t")).agg(F.collect_list(F.struct(inside("place").alias("at"), "p")).alias("x"))
-    terms = written(terms.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(SALT)).cast("int")))
-    left = terms.select("lang", "term", "slice", F.col("t").alias("ta"), F.col("x").alias("xa"))
-    right = terms.select("lang", "term", "slice", F.col("t").alias("tb"), F.col("x").alias("xb"))
+    # A term's counts in all sources are one row, cut for each pair of tiles of which either has the term.
+    terms = kept.groupBy("lang", "term").agg(F.collect_list(F.struct("place", "p")).alias("x"))
     of_lang = tiles.groupBy("lang").agg(F.collect_list("t").alias("tiles"))
-    every = lambda d, c: d.join(of_lang, "lang").withColumn(c, F.explode("tiles")).drop("tiles")
-    # Both sides that have the term; then either side alone.
-    ends = ["lang", "term", "slice", "ta", "tb"]
-    met = every(left, "tb").join(every(right, "ta"), ends, "full")
-    none = lambda c: F.coalesce(c, F.array().cast("array<struct<at:int,p:bigint>>"))
-    met = met.select("lang", "ta", "tb", "slice", F.lit(1).alias("head"), none(F.col("xa")).alias("xa"), none(F.col("xb")).alias("xb"))
-    met = met.select("lang", "ta", "tb", "slice", "head", F.col("xa.at").alias("at_a"), F.col("xa.p").alias("p_a"), F.col("xb.at").alias("at_b"), F.col("xb.p").alias("p_b"))
+    met = terms.join(of_lang, "lang").withColumn("ta", F.explode("tiles")).withColumn("tb", F.explode("tiles"))
+    cut = lambda t: F.filter("x", lambda y: F.floor(y["place"] / TILE) == F.col(t))
+    met = met.select("lang", "ta", "tb", F.pmod(F.xxhash64("term"), F.lit(SALT)).cast("int").alias("slice"), cut("ta").alias("xa"), cut("tb").alias("xb"))
+    met = met.where((F.size("xa") > 0) | (F.size("xb") > 0))
+    places = lambda c, s: [F.transform(f"{c}.place", lambda i: (i % TILE).cast("int")).alias(f"at_{s}"), F.col(f"{c}.p").alias(f"p_{s}")]
+    met = met.select("lang", "ta", "tb", "slice", F.lit(1).alias("head"), *places("xa", "a"), *places("xb", "b"))
     rows = heads.select(*names).unionByName(met.select(*names)).repartition("lang", "ta", "tb", "slice")
     sums = rows.sortWithinPartitions("lang", "ta", "tb", "slice", "head").mapInArrow(_tiles, "lang string, a int, b int, value long")
     return sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))

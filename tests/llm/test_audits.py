@@ -96,8 +96,10 @@ def test_terms_of_stretches(monkeypatch):
             assert [t for part in divergence._terms(data) for t in part] == data.translate(divergence._TERM_BYTES).split()
 
 
-@pytest.mark.parametrize("k", [1, 2, 5])
-def test_skyband_keeps_what_few_dominate(spark, k):
+@pytest.mark.parametrize(("k", "block", "merged"), [(1, 4096, 250_000), (2, 30, 250_000), (5, 7, 20), (2, 4096, 1)])
+def test_skyband_keeps_what_few_dominate(spark, monkeypatch, k, block, merged):
+    monkeypatch.setattr(divergence, "BLOCK", block)
+    monkeypatch.setattr(divergence, "MERGED", merged)
     r = random.Random(k)
     rows = [(r.choice(["x", "y"]), "s", r.randint(1, 4), r.randint(1, 6), f"t{i:03d}".encode()) for i in range(400)]
     rows = [(a, s, n, max(n, m), t) for a, s, n, m, t in rows]
