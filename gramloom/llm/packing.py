@@ -69,6 +69,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int
                     rows.append((doc_id, n, a, b - a, zlib.crc32(ids[a:b].tobytes()), *own))
                     if len(rows) >= ROWS:
                         yield packed()
+            batch = texts = None  # before the next batch is read
         if rows:
             yield packed()
 

@@ -1,25 +1,25 @@
 """Token ids in binary files: bit or byte planes of fixed-size blocks, each plane compressed, with a chunk index.
 
-Method. The ids of all documents, in ascending doc_id order and each with its end id, are one stream. It is cut into
-blocks of ``BLOCK`` ids and blocks into files of ``shard_ids`` ids, whatever document an id belongs to; so id i lies in
-file i // shard_ids at a place that follows from i alone, and all files but the last are equally large. A
+Method. The ids of all documents, in ascending doc_id order and each with its end id, are one stream, cut into files
+and these into blocks of ``BLOCK`` ids (a file's last one may be shorter), whatever document an id belongs to. A
 block's ids are transposed: byte plane k holds byte k of every id, bit plane k its bit k. Each plane is compressed by
 zstandard by itself; high planes are nearly all zeros and shrink to nothing.
 
 A file, all numbers little-endian::
 
-    b"GLTOKEN1", u32 planes, u32 ids in a block, u64 number of its first id
+    b"GLTOKEN1", u32 planes, u32 ids in a block
     for each block: documents, plane 0, plane 1, ...      each compressed
     for each block: u64 offset, u32 ids, u32 documents, u32 bytes of the documents and of each plane
     u64 offset of that index, u32 blocks, b"GLTOKEN1"
 
 ``documents`` are those with ids in the block, as four i64 columns one after the other: doc_id, 1 if doc_id is null,
-number of the document's first id, number of its ids. Beside the files, ``index`` is the same index of all files as a Parquet table.
+number within the file of the document's first id, number of its ids. Beside the files, ``index`` is the index of all files as a
+Parquet table, which says where in the stream each block begins.
 
-Texts are range-sorted and tokenized in that order, so only the totals of partitions are needed to number all ids. Then
-the ids go to their files: a task writes one file, block by block, to a name of its own and renames it when whole,
-so a lost or repeated task leaves nothing half written and the same bytes. Files are written and read by byte range
-through ``pyarrow.fs``, so a path may be a shared folder or a store's address.
+Texts are range-sorted by doc_id, which is the only shuffle; the task that gets a range tokenizes it text by text and writes its file
+block by block. Only the files' totals are added up afterwards, to number the blocks. A file is written to a name of its
+own and renamed when whole, so a lost or repeated task leaves nothing half written, and the same bytes. Files are
+written and read by byte range through ``pyarrow.fs``, so a path may be a shared folder or a store's address.
 
 Documents are read back in parts, one for each block; the crc32 of a whole document is the sum (xor) of the parts' crc32,
 each shifted by the bytes that follow it, so a document of any length needs no task of its own.
@@ -41,7 +41,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramloom.llm.common import written
@@ -49,16 +49,13 @@ from gramloom.llm.tokens import batch_tokenizer
 
 MAGIC = b"GLTOKEN1"
 BLOCK = 1 << 16
-#: Ids of a row on the way to its file.
-PIECE = 1 << 14
-#: Ids in a file: at least, and at most.
-SHARD_IDS = (1 << 20, 1 << 28)
+#: A task begins another file when one has this many ids.
+FILE_IDS = 1 << 28
 LEVEL = 3
 PLANES = {"byte": 4, "bit": 32}
 ID = np.dtype("<u4")
 
-TOKENS = "part int, at long, doc_id long, doc_n long, pos long, n long, ids binary"
-INDEX = "shard int, file string, block int, first_id long, n_ids int, n_documents int, offset long, sizes array<int>"
+INDEX = "file string, block int, first_id long, n_ids int, n_documents int, offset long, sizes array<int>"
 
 
 # ---- planes
@@ -124,148 +121,94 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
 class _File:
     """One file, written block by block."""
 
-    def __init__(self, path: str, shard: int, first_id: int, block: int, planes: int):
+    def __init__(self, path: str, name: str, block: int, planes: int):
         self.store, folder = _place(path)
-        self.name, self.shard, self.block, self.planes = f"{shard:08d}.tokens", shard, block, planes
-        self.folder, self.own = folder, f"{folder}/_{uuid.uuid4().hex}"
+        self.block, self.planes = block, planes
+        self.name, self.whole, self.own = name, f"{folder}/{name}", f"{folder}/_{uuid.uuid4().hex}"
         self.out = self.store.open_output_stream(self.own)
-        self.next, self.ids, self.documents, self.index = first_id, bytearray(), [], []
+        self.n_ids, self.ids, self.documents, self.index = 0, bytearray(), [], []
         self.squeeze = zstandard.ZstdCompressor(level=LEVEL)
-        self.out.write(MAGIC + struct.pack("<IIQ", planes, block, first_id))
+        self.out.write(MAGIC + struct.pack("<II", planes, block))
 
-    def add(self, ids: bytes, document: tuple[int, int, int, int]) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        document = (doc_id or 0, int(doc_id is None), self.n_ids, len(ids) // 4)
         at = 0
         while at < len(ids):
             part = ids[at : at + self.block * 4 - len(self.ids)]
-            if not self.documents or self.documents[-1] != document:
-                self.documents.append(document)
+            self.documents.append(document)
             self.ids += part
             at += len(part)
             if len(self.ids) == self.block * 4:
                 self._flush()
+        self.n_ids += document[3]
 
     def _flush(self) -> None:
-        n = len(self.ids) // 4
-        chunks = [np.array(self.documents, "<i8").T.tobytes(), *to_planes(np.frombuffer(bytes(self.ids), ID), self.planes)]
+        ids = np.frombuffer(bytes(self.ids), ID)
+        chunks = [np.array(self.documents, "<i8").T.tobytes(), *to_planes(ids, self.planes)]
         chunks = [self.squeeze.compress(c) for c in chunks]
-        offset = self.out.tell()
+        self.index.append((self.out.tell(), len(ids), len(self.documents), [len(c) for c in chunks]))
         for c in chunks:
             self.out.write(c)
-        self.index.append((self.next, n, len(self.documents), offset, [len(c) for c in chunks]))
-        self.next += n
         self.ids.clear()
         self.documents = []
 
     def close(self) -> pa.RecordBatch:
-        """Ends the file and returns its part of the index."""
+        """Ends the file and returns its part of the index; its first id has the number 0."""
         if self.ids:
             self._flush()
         end = self.out.tell()
-        for _, n, docs, offset, sizes in self.index:
+        for offset, n, docs, sizes in self.index:
             self.out.write(struct.pack(f"<QII{len(sizes)}I", offset, n, docs, *sizes))
         self.out.write(struct.pack("<QI", end, len(self.index)) + MAGIC)
         self.out.close()
-        self.store.move(self.own, f"{self.folder}/{self.name}")
-        first, n, docs, offset, sizes = zip(*self.index, strict=True)
-        k = len(first)
+        self.store.move(self.own, self.whole)
+        offset, n, docs, sizes = zip(*self.index, strict=True)
+        k = len(n)
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.shard] * k, pa.int32()), pa.array([self.name] * k), pa.array(range(k), pa.int32()), pa.array(first, pa.int64()),
+            [pa.array([self.name] * k), pa.array(range(k), pa.int32()), pa.array([self.block * i for i in range(k)], pa.int64()),
              pa.array(n, pa.int32()), pa.array(docs, pa.int32()), pa.array(offset, pa.int64()), pa.array(sizes, pa.list_(pa.int32()))],
-            ["shard", "file", "block", "first_id", "n_ids", "n_documents", "offset", "sizes"],
+            ["file", "block", "first_id", "n_ids", "n_documents", "offset", "sizes"],
         )
 
 
-def numbered_tokens(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """TOKENS rows: the ids of every document in stretches, in order within each ``part``."""
-    with open(tokenizer, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a fixed vocabulary
-    names = [c.split(" ")[0] for c in TOKENS.split(", ")]
-    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = batch_tokenizer(shared.value), TaskContext.get().partitionId(), 0
-        rows: list[tuple] = []
-
-        def packed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-            rows.clear()
-            return out
-
-        size = 0
-        for batch in batches:
-            texts = (t.as_py() or "" for t in batch.column(1))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                n = len(ids) + 1
-                for pos in range(0, n, PIECE):
-                    own = ids[pos : pos + PIECE].astype(ID).tobytes()
-                    if pos + PIECE >= n:
-                        own += ID.type(end).tobytes()
-                    rows.append((part, at + pos, doc_id, n, pos, len(own) // 4, own))
-                    size += len(own)
-                    if size > BLOCK * 16 or len(rows) > BLOCK // 8:
-                        yield packed()
-                        size = 0
-                at += n
-        if rows:
-            yield packed()
-
-    # The last key tells rows apart whose other keys are equal: their order is of no account, but they may be many.
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_t"), F.rand(11).alias("_r"))
-    ordered = ordered.repartitionByRange("doc_id", "_t", "_r").sortWithinPartitions("doc_id", "_t")
-    return ordered.select("doc_id", "text").mapInArrow(run, TOKENS)
-
-
 def write_tokens(
-    docs: DataFrame, tokenizer: str, path: str, end: int = 0, planes: str = "byte", block: int = BLOCK, shard_ids: int | None = None
+    docs: DataFrame, tokenizer: str, path: str, end: int = 0, planes: str = "byte", block: int = BLOCK, file_ids: int = FILE_IDS
 ) -> DataFrame:
-    """Writes the ids of all ``docs`` (doc_id, text) into files under ``path``, and returns the chunk index.
-
-    ``shard_ids``: ids in a file; if not given, as many as make four files for each shuffle partition, within ``SHARD_IDS``.
-    """
+    """Writes the ids of all ``docs`` (doc_id, text) into files under ``path``, and returns the chunk index."""
     spark = docs.sparkSession
-    tokens = written(numbered_tokens(docs, tokenizer, end))
-    # One row for each partition of the range sort.
-    totals = sorted((r["part"], r["n"]) for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    before = np.cumsum([0, *[n for _, n in totals]]).tolist()
-    total = before[-1]
-    if shard_ids is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        shard_ids = min(max(total // (4 * partitions), SHARD_IDS[0]), SHARD_IDS[1])
-    shard_ids = -(-shard_ids // block) * block
-    n_shards = max(1, -(-total // shard_ids))
-    base = spark.createDataFrame([(p, b) for (p, _), b in zip(totals, before, strict=False)], "part int, base long")
-    start = F.col("at") + F.col("base")
-    of_file = lambda i: F.call_function("div", i, F.lit(shard_ids).cast("long")).cast("int")
-    rows = tokens.join(F.broadcast(base), "part").select(
-        "doc_id", (start - F.col("pos")).alias("doc_start"), "doc_n", start.alias("start"), "n", "ids",
-        F.explode(F.sequence(of_file(start), of_file(start + F.col("n") - 1))).alias("shard"),
-    )
-    # A row that lies in two files gives each its ids.
-    low = F.greatest(F.col("shard").cast("long") * shard_ids - F.col("start"), F.lit(0).cast("long"))
-    high = F.least((F.col("shard").cast("long") + 1) * shard_ids - F.col("start"), F.col("n"))
-    rows = rows.select(
-        "shard", (F.col("start") + low).alias("start"), "doc_id", "doc_start", "doc_n",
-        F.substring("ids", (low * 4 + 1).cast("int"), ((high - low) * 4).cast("int")).alias("ids"),
-    )
+    with open(tokenizer, encoding="utf-8") as f:
+        shared = spark.sparkContext.broadcast(f.read())  # a fixed vocabulary
     store, folder = _place(path)
     store.create_dir(folder, recursive=True)
     n_planes = PLANES[planes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = None
+        encoder, part, number, file, ids = batch_tokenizer(shared.value), TaskContext.get().partitionId(), 0, None, None
         for batch in batches:
-            numbers = [batch.column(c).to_pylist() for c in ("shard", "doc_id", "doc_start", "doc_n")]
-            for shard, doc_id, doc_start, doc_n, ids in zip(*numbers, batch.column("ids"), strict=True):
-                if file is None or shard != file.shard:
-                    if file is not None:
-                        yield file.close()
-                    file = _File(path, shard, shard * shard_ids, block, n_planes)
-                file.add(ids.as_py(), (doc_id or 0, int(doc_id is None), doc_start, doc_n))
+            texts = (t.as_py() or "" for t in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                if file is None:
+                    file = _File(path, f"{part:08d}-{number:04d}.tokens", block, n_planes)
+                file.add(doc_id, np.append(ids, end).astype(ID).tobytes())
+                if file.n_ids >= file_ids:
+                    yield file.close()
+                    file, number = None, number + 1
+            batch = texts = ids = None  # before the next batch is read
         if file is not None:
             yield file.close()
 
-    index = rows.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "start").mapInArrow(run, INDEX)
-    index.write.parquet(f"{path.rstrip('/')}/index")
+    # The last key tells rows apart whose other keys are equal: their order is of no account, but they may be many.
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_t"), F.rand(11).alias("_r"))
+    ordered = ordered.repartitionByRange("doc_id", "_t", "_r").sortWithinPartitions("doc_id", "_t")
+    # The index is small: a few files hold it, not one for each task.
+    few = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    index = written(ordered.select("doc_id", "text").mapInArrow(run, INDEX).repartition(few))
+    shared.destroy()
+    # A row for each file, in the order of their names: as many as the range sort has partitions, or one for ``file_ids`` ids.
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    base = index.groupBy("file").agg(F.sum("n_ids").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    index = index.join(F.broadcast(base), "file").withColumn("first_id", F.col("first_id") + F.col("base"))
+    index.select(*[c.split(" ")[0] for c in INDEX.split(", ")]).write.parquet(f"{path.rstrip('/')}/index")
     return read_index(spark, path)
 
 
@@ -276,6 +219,14 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{path.rstrip('/')}/index")
 
 
+def _head(file) -> tuple[int, int]:
+    """Planes, and ids in a block."""
+    head = file.read_at(16, 0)
+    if head[:8] != MAGIC:
+        raise ValueError("no file of token ids")
+    return struct.unpack("<II", head[8:])
+
+
 def _block(file, offset: int, n_ids: int, n_documents: int, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """A block's ids and its documents (four rows)."""
     raw, open_ = memoryview(file.read_at(sum(sizes), offset)), zstandard.ZstdDecompressor()
@@ -299,7 +250,9 @@ def read_parts(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
         for batch in batches:
             for r in batch.to_pylist():
                 with store.open_input_file(f"{folder}/{r['file']}") as file:
+                    _, block_ids = _head(file)
                     ids, (doc_id, null, start, n_tokens) = _block(file, r["offset"], r["n_ids"], r["n_documents"], r["sizes"])
+                start = start + (r["first_id"] - r["block"] * block_ids)  # from the file's numbers to the stream's
                 a = np.maximum(start, r["first_id"]) - r["first_id"]
                 b = np.minimum(start + n_tokens, r["first_id"] + r["n_ids"]) - r["first_id"]
                 raw = ids.tobytes()
@@ -312,7 +265,7 @@ def read_parts(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
     # A number of its own, as the index is small and what it stands for is not.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return read_index(spark, path).repartition(tasks, "shard", "block").mapInArrow(run, PARTS + (", ids binary" if with_ids else ""))
+    return read_index(spark, path).repartition(tasks, "file", "block").mapInArrow(run, PARTS + (", ids binary" if with_ids else ""))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -328,18 +281,18 @@ class TokenFile:
     def __init__(self, path: str):
         store, place = _place(path)
         self.file = store.open_input_file(place)
-        head, size = self.file.read_at(24, 0), self.file.size()
-        planes, self.block, self.first_id = struct.unpack("<IIQ", head[8:])
+        planes, self.block = _head(self.file)
+        size = self.file.size()
         at, blocks = struct.unpack("<QI", self.file.read_at(12, size - 20))
-        if head[:8] != MAGIC or self.file.read_at(8, size - 8) != MAGIC:
-            raise ValueError(f"{path} is no file of token ids, or not whole")
+        if self.file.read_at(8, size - 8) != MAGIC:
+            raise ValueError(f"{path} is not whole")
         row = struct.Struct(f"<QII{planes + 1}I")
         self.index = list(row.iter_unpack(self.file.read_at(row.size * blocks, at)))
         self.n_ids = sum(r[1] for r in self.index)
 
     def read(self, start: int, n: int) -> np.ndarray:
-        """Ids ``start`` to ``start + n`` of the whole stream, as far as they lie in this file."""
-        low, high = max(start - self.first_id, 0), min(start + n - self.first_id, self.n_ids)
+        """Ids ``start`` to ``start + n`` of the file, as far as it has them."""
+        low, high = max(start, 0), min(start + n, self.n_ids)
         out = [np.zeros(0, ID)]
         for k in range(low // self.block, -(-high // self.block)) if low < high else ():
             offset, n_ids, n_documents, *sizes = self.index[k]
