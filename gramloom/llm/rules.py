@@ -4,8 +4,9 @@ Method. Each document's statistics are whole numbers, put in the bins of a merge
 bins, then 16 bins for each power of two (relative error 1/16). A sketch is a table of bin counts, so
 sketches merge by adding counts, in any order, with the same result. There is one per language and
 source; where a pair has fewer than ``LEAST_DOCS`` documents, those of its language are merged,
-and where these are too few, all. Limits are the quartiles plus (or minus) a multiple of the distance between
-them, joined back to the documents. A document that fails the base rules is dropped
+and where these are too few, all. A rule's limit lies beyond a tail quantile of the group by a multiple of that quantile's distance from the
+median, and a few bins: a group whose values scatter accepts more than one whose values lie close, and what is
+usual in one source is dropped in another. The limits are joined back to the documents. A document that fails the base rules is dropped
 and not counted in a sketch.
 
 Edge cases: a null text has no words and fails. Null languages and sources are groups of their own. Other
@@ -25,14 +26,14 @@ MOST_REPEATED = 20
 K = 5
 SYMBOLS = "#*$%&|<>"
 LEAST_DOCS = 100
-#: Distances between the quartiles that a value may lie beyond them.
-REACH = 3
-#: Statistic: (least distance between the quartiles that is assumed, whether low values are outliers too).
+#: Statistic: (tail quantile in thousandths, tenths of its distance from the median that a value may lie beyond it, slack,
+#: whether low values are outliers too). Rates that are zero nearly everywhere have their tail further out, but symbols: there
+#: the outliers themselves are a twentieth of the documents.
 RULES = {
-    "word_length": (100, True),  # code points of words per 100 words
-    "symbol_rate": (100, False),  # symbols per 1000 words
-    "dup_line_rate": (100, False),  # repeated lines per 1000 lines with words
-    "repeat_rate": (70, False),  # words in repeated windows per 1000 words
+    "word_length": (900, 40, 16, True),  # code points of words per 100 words
+    "symbol_rate": (900, 40, 30, False),  # symbols per 1000 words
+    "dup_line_rate": (990, 5, 8, False),  # repeated lines per 1000 lines with words
+    "repeat_rate": (990, 5, 8, False),  # words in repeated windows per 1000 words
 }
 
 
@@ -139,11 +140,15 @@ def limits(rated: DataFrame) -> DataFrame:
     up = Window.partitionBy(*key).orderBy("bin")
     total = Window.partitionBy(*key)
     ranked = bins.select(*key, "bin", F.sum("n").over(up).alias("upto"), F.sum("n").over(total).alias("total"))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= q * F.col("total"), top_of(F.col("bin"))))
-    quartiles = ranked.groupBy(*key).agg(at(1).alias("q1"), at(3).alias("q3"))
-    slack = F.coalesce(*[F.when(F.col("rule") == r, F.lit(s)) for r, (s, _) in RULES.items()])
-    span = REACH * F.greatest(F.col("q3") - F.col("q1"), slack)
-    spread = quartiles.select("level", "lang", "source", "rule", (F.col("q1") - span).alias("low"), (F.col("q3") + span).alias("high"))
+    of_rule = lambda i: F.coalesce(*[F.when(F.col("rule") == r, F.lit(v[i])) for r, v in RULES.items()])
+    at = lambda q: F.min(F.when(F.col("upto") * 1000 >= q * F.col("total"), top_of(F.col("bin"))))
+    tail, reach, slack = (of_rule(i) for i in range(3))
+    quantiles = ranked.groupBy(*key).agg(at(1000 - tail).alias("q1"), at(F.lit(500)).alias("q2"), at(tail).alias("q3"))
+    beyond = lambda gap: F.floor(gap * reach / 10) + slack
+    spread = quantiles.select(
+        "level", "lang", "source", "rule", (F.col("q1") - beyond(F.col("q2") - F.col("q1"))).alias("low"),
+        (F.col("q3") + beyond(F.col("q3") - F.col("q2"))).alias("high"),
+    )
     wide = spread.groupBy("level", "lang", "source").agg(
         *[F.max(F.when(F.col("rule") == r, F.col(c))).alias(f"{r}_{c}") for r in RULES for c in ("low", "high")]
     )
@@ -162,7 +167,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rated = written(with_rates(statistics(docs)))
     bound = limits(rated)
     inside = F.lit(True)
-    for r, (_, both) in RULES.items():
+    for r, (*_, both) in RULES.items():
         inside &= F.coalesce(F.col(r) <= F.col(f"{r}_high"), F.lit(True))
         if both:
             inside &= F.coalesce(F.col(r) >= F.col(f"{r}_low"), F.lit(True))
@@ -214,17 +219,20 @@ WITH t AS (
 ), c AS (
   SELECT lang, source, rule, bin, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto,
          sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM b
+), u AS (
+  SELECT c.*, tail, reach, slack FROM c JOIN (VALUES {', '.join(f"('{k}', {t}, {x}, {y})" for k, (t, x, y, _) in RULES.items())}) AS v(rule, tail, reach, slack) USING (rule)
 ), q AS (
-  SELECT lang, source, rule, min(CASE WHEN upto * 4 >= total THEN {_TOP} END) AS q1,
-         min(CASE WHEN upto * 4 >= 3 * total THEN {_TOP} END) AS q3 FROM c GROUP BY ALL
+  SELECT lang, source, rule, any_value(reach) AS reach, any_value(slack) AS slack, min(CASE WHEN upto * 1000 >= (1000 - tail) * total THEN {_TOP} END) AS q1,
+         min(CASE WHEN upto * 1000 >= 500 * total THEN {_TOP} END) AS q2, min(CASE WHEN upto * 1000 >= tail * total THEN {_TOP} END) AS q3
+  FROM u GROUP BY lang, source, rule
 ), lim AS (
   SELECT lang, source, {', '.join(
-      f"max(CASE WHEN rule = '{k}' THEN q1 - {REACH} * greatest(q3 - q1, {a}) END) AS {k}_low, "
-      f"max(CASE WHEN rule = '{k}' THEN q3 + {REACH} * greatest(q3 - q1, {a}) END) AS {k}_high" for k, (a, _) in RULES.items())}
+      f"max(CASE WHEN rule = '{k}' THEN q1 - (q2 - q1) * reach // 10 - slack END) AS {k}_low, "
+      f"max(CASE WHEN rule = '{k}' THEN q3 + (q3 - q2) * reach // 10 + slack END) AS {k}_high" for k in RULES)}
   FROM q GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {' AND '.join(
-           f"coalesce({k} <= {k}_high, true)" + (f" AND coalesce({k} >= {k}_low, true)" if both else '') for k, (_, both) in RULES.items())} AS kept
+           f"coalesce({k} <= {k}_high, true)" + (f" AND coalesce({k} >= {k}_low, true)" if both else '') for k, (*_, both) in RULES.items())} AS kept
 FROM r LEFT JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source
 """
