@@ -117,6 +117,12 @@ def top_of(b: Column) -> Column:
     return F.when(b < 32, b).otherwise((b - shift * 16 + 1) * F.pow(F.lit(2.0), shift) - 1).cast("long")
 
 
+def bottom_of(b: Column) -> Column:
+    """The smallest value of a bin."""
+    shift = F.floor(b / 16) - 1
+    return F.when(b < 32, b).otherwise((b - shift * 16) * F.pow(F.lit(2.0), shift)).cast("long")
+
+
 def limits(rated: DataFrame) -> DataFrame:
     """_lang, _source and for each statistic its lowest and highest accepted value."""
     sketch = (
@@ -141,13 +147,15 @@ def limits(rated: DataFrame) -> DataFrame:
     total = Window.partitionBy(*key)
     ranked = bins.select(*key, "bin", F.sum("n").over(up).alias("upto"), F.sum("n").over(total).alias("total"))
     of_rule = lambda i: F.coalesce(*[F.when(F.col("rule") == r, F.lit(v[i])) for r, v in RULES.items()])
-    at = lambda q: F.min(F.when(F.col("upto") * 1000 >= q * F.col("total"), top_of(F.col("bin"))))
+    at = lambda q: F.min(F.when(F.col("upto") * 1000 >= q * F.col("total"), F.col("bin")))
     tail, reach, slack = (of_rule(i) for i in range(3))
     quantiles = ranked.groupBy(*key).agg(at(1000 - tail).alias("q1"), at(F.lit(500)).alias("q2"), at(tail).alias("q3"))
     beyond = lambda gap: F.floor(gap * reach / 10) + slack
+    # Upper edges of bins above, lower edges below: a bin is never cut.
+    low, high = bottom_of(F.col("q1")), top_of(F.col("q3"))
     spread = quantiles.select(
-        "level", "lang", "source", "rule", (F.col("q1") - beyond(F.col("q2") - F.col("q1"))).alias("low"),
-        (F.col("q3") + beyond(F.col("q3") - F.col("q2"))).alias("high"),
+        "level", "lang", "source", "rule", (low - beyond(bottom_of(F.col("q2")) - low)).alias("low"),
+        (high + beyond(high - top_of(F.col("q2")))).alias("high"),
     )
     wide = spread.groupBy("level", "lang", "source").agg(
         *[F.max(F.when(F.col("rule") == r, F.col(c))).alias(f"{r}_{c}") for r in RULES for c in ("low", "high")]
@@ -182,6 +190,7 @@ _RATES = {
 }
 _BIN = "CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)) END"
 _TOP = "CASE WHEN bin < 32 THEN bin ELSE ((bin - (bin // 16 - 1) * 16 + 1) << (bin // 16 - 1)) - 1 END"
+_BOTTOM = "CASE WHEN bin < 32 THEN bin ELSE (bin - (bin // 16 - 1) * 16) << (bin // 16 - 1) END"
 _TRIM = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
 SQL = f"""
@@ -222,12 +231,13 @@ WITH t AS (
 ), u AS (
   SELECT c.*, tail, reach, slack FROM c JOIN (VALUES {', '.join(f"('{k}', {t}, {x}, {y})" for k, (t, x, y, _) in RULES.items())}) AS v(rule, tail, reach, slack) USING (rule)
 ), q AS (
-  SELECT lang, source, rule, any_value(reach) AS reach, any_value(slack) AS slack, min(CASE WHEN upto * 1000 >= (1000 - tail) * total THEN {_TOP} END) AS q1,
+  SELECT lang, source, rule, any_value(reach) AS reach, any_value(slack) AS slack, min(CASE WHEN upto * 1000 >= (1000 - tail) * total THEN {_BOTTOM} END) AS q1,
+         min(CASE WHEN upto * 1000 >= 500 * total THEN {_BOTTOM} END) AS q2low,
          min(CASE WHEN upto * 1000 >= 500 * total THEN {_TOP} END) AS q2, min(CASE WHEN upto * 1000 >= tail * total THEN {_TOP} END) AS q3
   FROM u GROUP BY lang, source, rule
 ), lim AS (
   SELECT lang, source, {', '.join(
-      f"max(CASE WHEN rule = '{k}' THEN q1 - (q2 - q1) * reach // 10 - slack END) AS {k}_low, "
+      f"max(CASE WHEN rule = '{k}' THEN q1 - (q2low - q1) * reach // 10 - slack END) AS {k}_low, "
       f"max(CASE WHEN rule = '{k}' THEN q3 + (q3 - q2) * reach // 10 + slack END) AS {k}_high" for k in RULES)}
   FROM q GROUP BY ALL
 )
