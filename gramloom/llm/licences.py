@@ -3,11 +3,12 @@
 Method. Templates are notices, titles, SPDX ids, standard headers and full texts (``licence_forms``). They are compared with
 *pieces* of the files: each header line that mentions a licence; the blocks of up to ``BLOCK`` lines with words around
 such a line, so that a wrapped notice is one piece; each id of an SPDX line; and of licence files every line and the whole text.
-A block begins and ends with lines half of whose terms are in notices, titles or headers; others would only dilute it.
+A block or run is of lines half of whose terms are in notices, titles, headers or short full texts; others would only dilute it.
 A term's weight is its frequency times its inverse document frequency over all such lines. The cosine of
 each piece with each template is a join of the piece's terms with the templates' terms (a fixed, small table) and
-a sum over equal terms. A title or id needs all its terms in the piece, a header or full text half of them, as
-common words alone must not make a match. A file's own licence is its best template from ``LIKE`` on.
+a sum over equal terms. A title or id needs all its terms in the piece, a header or full text half of them, and any but titles all that are decisive (name and
+version), as common words alone must not make a match. Texts of one family are alike up to their names, so a piece whose head (of a piece of more than ``RUN`` lines its first
+``HEAD``, else all of it) has a word of another one's name is none of the licence. A file's own licence is its best template from ``LIKE`` on.
 
 A file without one inherits from the nearest directory above that has a licence file. Directories, not
 files, are joined: each distinct directory meets its ancestors' licences, and the nearest one wins.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm.common import written
-from gramloom.llm.licence_forms import forms
+from gramloom.llm.licence_forms import BARRED, DECISIVE, forms
 
 #: Notices by which files declare licences. Fixed values.
 TEMPLATES = {
@@ -40,6 +41,11 @@ TEMPLATES = {
 MENTION = r"(?i)licen[sc]e|copyright|copying|permission is hereby|spdx"
 LIKE = 0.6
 BLOCK = 8
+HEAD = 3
+#: Pieces of more lines are judged by their head.
+RUN = 40
+#: Full texts of so many words may stand whole in a file's header.
+SHORT = 400
 SPDX_TAG = r"(?i)spdx-license-identifier\s*:?\s*"
 WORDY = r"[\p{L}\p{N}]"
 #: All lines of licence files count.
@@ -53,12 +59,15 @@ def _terms(line: Column) -> Column:
 
 
 def _template_terms(spark) -> DataFrame:
-    """licence, form, kind, term, tf and the number of terms a piece must have (``need``)."""
+    """licence, form, kind, term, tf, whether the term is ``decisive``, and the numbers of terms and decisive terms a piece must have."""
     rows = spark.createDataFrame([(i, *f) for i, f in enumerate(forms(TEMPLATES))], "form int, licence string, kind string, notice string")
     rows = rows.withColumn("terms", _terms(F.col("notice")))
     size = F.size(F.array_distinct("terms"))
     need = F.when(F.col("kind") == "title", size).when(F.col("kind") == "notice", 0).otherwise(F.ceil(size / 2))
-    return rows.select("licence", "form", "kind", need.cast("long").alias("need"), F.explode("terms").alias("term")).groupBy("licence", "form", "kind", "need", "term").agg(F.count("*").alias("tf"))
+    names = F.coalesce(*[F.when(F.col("licence") == k, F.array(*[F.lit(t) for t in v])) for k, v in DECISIVE.items()], F.array().cast("array<string>"))
+    names = F.when(F.col("kind") != "title", F.array_intersect(names, "terms")).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("licence", "form", "kind", need.cast("long").alias("need"), F.size(names).cast("long").alias("names"), names.alias("n"), F.size("terms").alias("words"), F.explode("terms").alias("term"))
+    return rows.groupBy("licence", "form", "kind", "need", "names", "words", "term").agg(F.count("*").alias("tf"), F.max(F.array_contains("n", F.col("term"))).alias("decisive"))
 
 
 def _pieces(files: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -77,6 +86,13 @@ def _pieces(files: DataFrame, vocabulary: list[str]) -> DataFrame:
 
     split = split.withColumn("_at", F.filter(places, lambda i: F.col("_lines")[i].rlike(MENTION)))
     split = split.withColumn("_legal", F.when(F.size("_at") > 0, F.transform("_lines", legal)))
+    other = F.filter(places, lambda i: ~F.get("_legal", i))
+    split = split.withColumn("_other", F.when(F.size("_at") > 0, other))
+    # The run of legal lines that a mention lies in; one of two lines at most is a block already.
+    runs = F.array_distinct(F.transform(F.filter("_at", lambda i: F.get("_legal", i)), lambda i: F.struct(
+        F.coalesce(F.array_max(F.filter("_other", lambda j: j < i)), F.lit(-1)).alias("a"), F.coalesce(F.array_min(F.filter("_other", lambda j: j > i)), last + 1).alias("z"),
+    )))
+    runs = F.transform(F.filter(runs, lambda s: s["z"] - s["a"] > BLOCK + 1), lambda s: F.array_join(F.slice("_lines", s["a"] + 2, s["z"] - s["a"] - 1), "\n"))
     spans = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b in range(BLOCK) for a in range(BLOCK - b) if a + b])
     blocks = F.flatten(F.transform("_at", lambda i: F.transform(
         F.filter(spans, lambda s: F.when((i - s["b"] >= 0) & (i + s["a"] <= last), F.get("_legal", i - s["b"]) & F.get("_legal", i + s["a"])).otherwise(False)),
@@ -93,14 +109,14 @@ def _pieces(files: DataFrame, vocabulary: list[str]) -> DataFrame:
     whole = F.when(F.col("_is_file") & (last > 0), F.array(F.array_join("_lines", "\n"))).otherwise(F.array().cast("array<string>"))
     singles = F.filter("_lines", lambda x: F.col("_is_file") | x.rlike(MENTION))
     pair = lambda a, single: F.transform(a, lambda x: F.struct(x.alias("line"), F.lit(single).alias("single")))
-    return split.select("_key", F.explode(F.concat(pair(singles, True), pair(blocks, False), pair(ids, False), pair(whole, False))).alias("p")).select("_key", "p.*")
+    return split.select("_key", F.explode(F.concat(pair(singles, True), pair(blocks, False), pair(runs, False), pair(ids, False), pair(whole, False))).alias("p")).select("_key", "p.*")
 
 
 def own_licences(files: DataFrame) -> DataFrame:
     """_key, licence, cosine: the best template of each of ``files`` (_key, path, text) that has one."""
     spark = files.sparkSession
     templates = _template_terms(spark).persist()
-    vocabulary = sorted(r.term for r in templates.where("kind <> 'full'").select("term").distinct().collect())
+    vocabulary = sorted(r.term for r in templates.where(f"kind <> 'full' OR words <= {SHORT}").select("term").distinct().collect())
     # Equal pieces are matched once, however many files have them.
     uses = written(_pieces(files, vocabulary).groupBy("line", "single", "_key").agg(F.lit(1).alias("_one")).drop("_one"))
     uses = uses.withColumn("p1", F.xxhash64("line", "single")).withColumn("p2", F.xxhash64(F.lit(1), F.reverse("line"), "single"))
@@ -115,7 +131,7 @@ def own_licences(files: DataFrame) -> DataFrame:
     df = counts.where("single").join(F.broadcast(templates.select("term").distinct()), "term").groupBy("term").agg(F.sum("files").alias("df"))
     df = written(df)
     idf = lambda d: F.log((F.lit(n) + 1) / (d + 1)) + 1
-    weights = templates.join(F.broadcast(df), "term", "left").select("licence", "form", "need", "term", (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("tw"))
+    weights = templates.join(F.broadcast(df), "term", "left").select("licence", "form", "need", "names", "decisive", "term", (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("tw"))
     weights = weights.join(weights.groupBy("form").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn")), "form")
     known = templates.select("term").distinct().join(F.broadcast(df), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
     # Terms that no template has weigh as if in one line.
@@ -123,9 +139,16 @@ def own_licences(files: DataFrame) -> DataFrame:
     norms = line_terms.groupBy(*piece).agg(F.sqrt(F.sum(F.col("lw") * F.col("lw"))).alias("ln"))
     dots = (
         line_terms.join(F.broadcast(weights), "term").groupBy(*piece, "licence", "form")
-        .agg(F.sum(F.col("lw") * F.col("tw")).alias("dot"), F.max("tn").alias("tn"), F.count("*").alias("met"), F.max("need").alias("need"))
-        .where("met >= need")
+        .agg(F.sum(F.col("lw") * F.col("tw")).alias("dot"), F.max("tn").alias("tn"), F.count("*").alias("met"), F.max("need").alias("need"),
+             F.count_if("decisive").alias("named"), F.max("names").alias("names"))
+        .where("met >= need AND named >= names")
     )
+    # The heads of pieces against the names of other licences: a fixed list.
+    barred = spark.createDataFrame([(k, t) for k, ts in BARRED.items() for t in ts], "licence string, term string")
+    whole = F.size(F.split("line", "\n")) > RUN
+    head = F.when(whole, F.substring_index("line", "\n", HEAD)).otherwise(F.col("line"))
+    heads = unique.select(*piece, F.explode(F.array_distinct(_terms(head))).alias("term"))
+    dots = dots.join(heads.join(F.broadcast(barred), "term").select(*piece, "licence").distinct(), [*piece, "licence"], "left_anti")
     cosine = F.round(F.col("dot") / (F.col("ln") * F.col("tn")), 6)
     # Best first: the highest cosine, then the first name.
     best = dots.join(norms, piece).select(*piece, "licence", cosine.alias("cosine")).where(F.col("cosine") >= LIKE)
