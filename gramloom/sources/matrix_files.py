@@ -5,13 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramloom.sources.lines import keep_small, numbered, text_lines
 
 # Accepted texts of the top-left cell; the first is the one written.
 HEADER_LABELS = ("HeaderLine", "Headerline", "Placeholder")
+# Values of an array that move together when samples change places.
+PLACES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -127,28 +129,55 @@ def drop_incomplete(matrices: list[Matrix]) -> list[Matrix]:
     holes = _places(matrices[0])
     for m in matrices[1:]:
         holes = holes.unionByName(_places(m)).distinct()
-    kept = matrices[0].samples.join(holes, "idx", "left_anti")
-    # One row with the kept places (an int per sample at most) meets every feature.
-    order = kept.agg(F.sort_array(F.collect_list("idx")).alias("_keep"))
-    ranked = order.select(F.posexplode("_keep").alias("new", "idx")).join(matrices[0].samples, "idx")
-    samples = keep_small(ranked.select("sample", F.col("new").cast("int").alias("idx")))
-    return [Matrix(samples, _taken(m.features, order), m.count) for m in matrices]
-
-
-def _taken(features: DataFrame, order: DataFrame) -> DataFrame:
-    """Features with the values at the places of ``order`` (one row, ``_keep``)."""
-    return features.crossJoin(F.broadcast(order)).select(
-        "name", "pos", F.transform("_keep", lambda i: F.element_at("values", i.cast("int") + 1)).alias("values")
+    order = _numbered(matrices[0].samples.join(holes, "idx", "left_anti"))
+    samples = keep_small(order.select("sample", F.col("new").alias("idx")))
+    places = samples.select("sample", F.col("idx").alias("new")).join(matrices[0].samples, "sample").select("new", "idx")
+    return [Matrix(samples, _taken(m.features, places), m.count) for m in matrices]
+
+
+def _chunk(place: str) -> Column:
+    return F.call_function("div", F.col(place).cast("long"), F.lit(PLACES).cast("long")).cast("int")
+
+
+def _numbered(samples: DataFrame) -> DataFrame:
+    """``samples`` (sample, idx) with ``new``: their number in the order of idx.
+
+    Numbers within a stretch of places, and a running sum over the stretches' counts (one row for each stretch).
+    """
+    rows = samples.withColumn("_stretch", _chunk("idx"))
+    before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_stretch").orderBy("idx")) - 1
+    return rows.withColumn("_own", own).join(counts, "_stretch").select("sample", "idx", (F.col("_before") + F.col("_own")).cast("int").alias("new"))
+
+
+def _taken(features: DataFrame, places: DataFrame) -> DataFrame:
+    """Features with the value at place ``idx`` moved to place ``new``; ``places`` has a row for each value that stays.
+
+    Arrays are cut into stretches of ``PLACES`` values. A stretch meets the list of its own moves (one for each stretch that values go to), and
+    the pieces are put together by where they go, so no row holds the places of all samples.
+    """
+    moves = places.groupBy(_chunk("idx").alias("old"), _chunk("new").alias("to")).agg(
+        F.collect_list(F.struct((F.col("new") % PLACES).alias("place"), (F.col("idx") % PLACES).alias("at"))).alias("moves")
+    )
+    last = F.greatest(F.ceil(F.size("values") / PLACES).cast("int") - 1, F.lit(0))
+    parts = features.select("name", "pos", F.posexplode(
+        F.transform(F.sequence(F.lit(0), last), lambda c: F.slice("values", c * PLACES + 1, PLACES))
+    ).alias("old", "part"))
+    # A stretch of which nothing stays keeps its feature, with nothing in it.
+    moved = parts.join(moves, "old", "left").select(
+        "name", "pos", "to", F.transform("moves", lambda m: F.struct(m["place"].alias("place"), F.get("part", m["at"]).alias("v"))).alias("x")
     )
+    tiles = moved.groupBy("name", "pos", "to").agg(F.transform(F.sort_array(F.flatten(F.collect_list("x"))), lambda x: x["v"]).alias("part"))
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("to", "part"))), lambda x: x["part"]))
+    return tiles.groupBy("name", "pos").agg(whole.alias("values"))
 
 
 def reorder_samples(matrix: Matrix, samples: DataFrame) -> Matrix:
     """``matrix`` with its values in the order of ``samples`` (sample, idx); both must name the same samples."""
-    order = (
-        samples.select("sample", F.col("idx").alias("new")).join(matrix.samples, "sample")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("new", "idx"))), lambda x: x["idx"]).alias("_keep"))
-    )
-    return Matrix(samples, _taken(matrix.features, order), matrix.count)
+    places = samples.select("sample", F.col("idx").alias("new")).join(matrix.samples, "sample").select("new", "idx")
+    return Matrix(samples, _taken(matrix.features, places), matrix.count)
 
 
 def handle_missing(matrix: Matrix, policy: str = "fail") -> Matrix:
