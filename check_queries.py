@@ -234,8 +234,8 @@ def q_write_epiq(spark, sf):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-def _report_fits(spark, sf):
-    cols = {f"e{i:02d}": F.get("embedding", F.lit(i)).cast("double") for i in range(3)}
+def _report_fits(spark, sf, width=3):
+    cols = {f"e{i:02d}": F.get("embedding", F.lit(i)).cast("double") for i in range(width)}
     m = gram_moments(_wide(spark, sf), {**cols, **_responses()})
     return [ols.fit_moments(m, r, list(cols)) for r in _responses()]
 
@@ -246,6 +246,13 @@ def q_model_report(spark, sf):
     return spark.read.text(path).select("phenotype", F.col("value").alias("line"))
 
 
+def q_model_report_wide(spark, sf):
+    """The report of models of all variables."""
+    path = _scratch(spark)
+    write_report(anova_lines(ols.anova_frame(spark, _report_fits(spark, sf, _wide_size(spark, sf)[1]))), path)
+    return spark.read.text(path).select("phenotype", F.col("value").alias("line"))
+
+
 def q_ols_summary_text(spark, sf):
     lines = coefficient_lines(ols.terms_frame(spark, _report_fits(spark, sf)))
     return lines.select("phenotype", F.col("line_no").cast("int").alias("line_no"), "line")
@@ -282,6 +289,15 @@ def q_column_catalogue(spark, sf):
     return matrix.column_catalogue(_table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"))
 
 
+#: Numeric columns of lineitem.
+LINE_NUMBERS = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def q_column_catalogue_all(spark, sf):
+    """All numeric columns of the largest table."""
+    return matrix.column_catalogue(_tall(spark, sf).select("l_orderkey", *LINE_NUMBERS))
+
+
 def q_transpose_matrix(spark, sf):
     names = _wide_names(spark, sf)
     return matrix.transpose_features(_wide_features(spark, sf)).select(

@@ -6,7 +6,7 @@ inverses by cofactors, the stepwise loop by a sweep operator in a recursive quer
 
 from __future__ import annotations
 
-from check_queries import COPIED, LASSO_PENALTY, MODEL_TERM, NOISE, PAIR_THRESHOLD, PAIRED, SINGLE_THRESHOLD, STAND_IN
+from check_queries import COPIED, LASSO_PENALTY, LINE_NUMBERS, MODEL_TERM, NOISE, PAIR_THRESHOLD, PAIRED, SINGLE_THRESHOLD, STAND_IN
 
 POINTS = 2000
 LABEL_ONLY = "ph = 'label'"
@@ -465,6 +465,18 @@ OLS_PINV = f"""WITH {TALL}, {OLS3}, more AS (
 )
 SELECT term, {sig('est', 7)} AS estimate, {sig('se', 7)} AS std_error, {sig('est / se', 7)} AS t, {rnd(t_tail('(est / se)', 'df'))} AS p FROM shared"""
 
+# OLS on all variables: the same sweeps.
+WIDE_ANOVA = f"""WITH RECURSIVE {WIDE_LISTS.format(keep='b < 0')}, kept AS (
+  SELECT ph, row_number() OVER (PARTITION BY ph ORDER BY pos) AS k, printf('e%02d', pos) AS name, v FROM base, respc
+), {LASSO_ANOVA[LASSO_ANOVA.index("sz AS (SELECT ph"):LASSO_ANOVA.rindex(chr(10) + "SELECT ph AS phenotype")]}"""
+_WIDE_P = f"CASE WHEN tt IS NOT NULL THEN {t_tail('tt', 'dfe')} ELSE {f_tail('f', 'd1', 'dfe')} END"
+WIDE_REPORT = f"""{WIDE_ANOVA}
+SELECT ph AS phenotype, source || chr(9) || df || chr(9) || printf('%.4f', ss) || chr(9) || printf('%.4f', ms) || chr(9) ||
+  CASE WHEN f IS NOT NULL THEN printf('%.5f', f) || chr(9) ELSE '-' || chr(9) END ||
+  CASE WHEN source <> 'Error' THEN printf('%.5f', {_WIDE_P}) || chr(9) ELSE '-' END AS line FROM rows_
+UNION ALL SELECT ph, 'ANOVA table:' FROM respc
+UNION ALL SELECT ph, '-' || chr(9) || 'df' || chr(9) || 'SS' || chr(9) || 'MS' || chr(9) || 'F' FROM respc"""
+
 DEFAULT_PAIRS = stepwise_on(f"SELECT vec_id, label, embedding[1:{PAIRED}] AS embedding FROM embeddings", "true", "true")
 
 ORACLES = {
@@ -477,6 +489,10 @@ ORACLES = {
 UNION ALL SELECT 'label' || chr(9) || string_agg(label::DOUBLE::VARCHAR, chr(9) ORDER BY vec_id) FROM embeddings
 UNION ALL SELECT 'odd' || chr(9) || string_agg((label % 2)::DOUBLE::VARCHAR, chr(9) ORDER BY vec_id) FROM embeddings""",
     "model_report": _report_sql(),
+    "model_report_wide": WIDE_REPORT,
+    "column_catalogue_all": "\nUNION ALL ".join(
+        f"SELECT '{c}' AS name, {i} AS pos, l_orderkey AS sample, {c}::DOUBLE AS value FROM lineitem" for i, c in enumerate(LINE_NUMBERS)
+    ),
     "ols_summary_text": _summary_sql(),
     "lasso_model_json": f"WITH RECURSIVE {SGD} SELECT phenotype, 0.0::DOUBLE AS intercept, name, {rnd('weight')} AS weight FROM weights",
     "delete_columns": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_shipdate FROM lineitem",
