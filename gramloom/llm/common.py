@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keeps_names(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return the other columns of their input: those named like the operator's own columns, with a
+    leading underscore, have other names while it runs, so neither takes the other's place."""
+
+    @functools.wraps(run)
+    def renamed(docs: DataFrame, *args, **options) -> DataFrame:
+        names = {c: uuid.uuid4().hex for c in docs.columns if c.startswith("_")}
+        out = run(docs.withColumnsRenamed(names), *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
+
+    return renamed
+
+
 def words(text: Column) -> Column:
     """The words of a text, unchanged and in order; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

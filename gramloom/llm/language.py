@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm import textkit
-from gramloom.llm.common import written
+from gramloom.llm.common import keeps_names, written
 
 BINS = 1 << 14
 #: Languages told apart; counts of each take BINS * 8 bytes on the driver and in each task.
@@ -204,6 +204,7 @@ def from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+@keeps_names
 def with_language(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose language is found with a confidence of one half at least; others go.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import written
+from gramloom.llm.common import keeps_names, written
 from gramloom.llm.licence_forms import BARRED, DECISIVE, forms
 
 #: Notices by which files declare licences. Fixed values.
@@ -160,6 +160,7 @@ def _directory(path: Column) -> Column:
     return F.regexp_replace(path, "(^|/)[^/]*$", "")
 
 
+@keeps_names
 def scan(files: DataFrame) -> DataFrame:
     """Rows of ``files`` (path, text and others) without text, with own_licence, cosine, licence and licence_dir."""
     keep = [c for c in files.columns if c not in ("text", "own_licence", "cosine", "licence", "licence_dir")]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import SPACES
+from gramloom.llm.common import SPACES, keeps_names
 
 WIDTH = 3
 
@@ -39,6 +39,7 @@ def _windows(lines: Column, filled: Column) -> Column:
     )
 
 
+@keeps_names
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any others) with repeated passages cut from ``text``; adds n_lines, n_removed."""
     columns = docs.columns

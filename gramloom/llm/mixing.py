@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import words, written
+from gramloom.llm.common import keeps_names, words, written
 from gramloom.llm.prefix import prefix_sums
 
 WEIGHTS = (5, 2, 1)
@@ -78,6 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -
     )
 
 
+@keeps_names
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it.
 
