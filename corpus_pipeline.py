@@ -15,9 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import language, lines, mixing, packing
-from gramloom.llm.common import SPACES, documents, written
-from gramloom.llm.jaccard import jaccard_components
+from gramloom.llm import language, lines, mixing, near_duplicates, packing
+from gramloom.llm.common import SPACES, documents, keeps_names, written
 from gramloom.llm.queries import public_tokenizer
 
 
@@ -28,6 +27,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages of lines; documents with nothing left go."""
+    return _new_lines(docs)
+
+
+@keeps_names
+def _new_lines(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     keep = F.when((F.col("n_removed") == 0) | (F.btrim("text", F.lit(SPACES)) != ""), F.array(F.lit(1)))
     # A plain filter would be pushed below the columns it reads, and split a text anew for each of its lines.
@@ -38,35 +42,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates, and one of equal rows of it.
-
-    Rows of one doc_id with other texts, and rows without doc_id, are documents of their own; of a group those without doc_id
-    come last, those of one doc_id follow each other by hash. Of rows with equal doc_id and text the one with the smallest
-    other columns stays.
-    """
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
-    if not odd.isEmpty():
-        return _drop_keyed(docs)
-    classes = jaccard_components(docs)
-    first = classes.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_id"))
-    return docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi")
-
-
-def _drop_keyed(docs: DataFrame) -> DataFrame:
-    """The same for rows that doc_id does not tell apart, by a number for each doc_id and text."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    hashes = {"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), F.reverse("text"))}
-    keys = docs.select("doc_id", *others, *[h.alias(c) for c, h in hashes.items()]).groupBy("doc_id", "_h1", "_h2")
-    keys = keys.agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_rest")).withColumnRenamed("doc_id", "_id")
-    keys = written(keys.withColumn("_key", F.monotonically_increasing_id()))
-    d, k = docs.select("doc_id", "text", *[h.alias(c) for c, h in hashes.items()]).alias("d"), keys.alias("k")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k._id")) & (F.col("d._h1") == F.col("k._h1")) & (F.col("d._h2") == F.col("k._h2"))
-    keyed = written(d.join(k, same).select("_key", "doc_id", "text", "_rest").dropDuplicates(["_key"]))
-    classes = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
-    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_h1", "_h2", "_key")
-    first = classes.join(keys, "_key").groupBy("component_id").agg(F.min(place).alias("p")).select(F.col("p._key").alias("_key"))
-    kept = keyed.join(first, "_key", "left_semi")
-    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.{c}").alias(c) for c in docs.columns])
+    """Keeps one document of each group of near duplicates, and one of equal rows of it."""
+    return near_duplicates.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
