@@ -89,6 +89,7 @@ def stepwise_from_matrices(
         source.close()
 
 
+# The report's lines, here and below ("No variants ..."), are its format.
 def _report_header(spark, seconds, files, phenotype_file, empty, message):
     rows = []
     for name, s in seconds.items():

@@ -29,6 +29,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def cement():
+    # Nine rows of a public data set, to be matched with R's results on them.
     return {
         "x1": [7, 1, 11, 1, 2, 21, 1, 11, 10],
         "x2": [26, 29, 56, 31, 54, 47, 40, 66, 68],

@@ -26,6 +26,7 @@ def fit(df, *names):
 def test_simple_regression_agrees_with_r(thirty):
     f = fit(thirty, "X1")
     s = ols.fit_statistics(f)
+    # R's results, to be matched.
     assert f.beta == pytest.approx([-0.05273, 16.28041], abs=1e-5)
     assert f.se == pytest.approx([0.21663, 3.59851], abs=1e-5)
     assert f.t == pytest.approx([-0.243, 4.524], abs=1e-3)
