@@ -2,12 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm.common import written
 
 
+#: Edges that a task joins at once, and in all.
+PART = 1 << 20
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Each node of some edges with the smallest node that they connect it to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        # Of the two ends' roots the larger one moves to the smaller; then all jump to their root's root.
+        rx, ry = root[x], root[y]
+        if (rx == ry).all():
+            break
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while not np.array_equal(jump := root[root], root):
+            root = jump
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same connections by at most one edge for each node of a stretch of edges."""
+    a, b, n = [], [], 0
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+        n += batch.num_rows
+        if n >= PART:
+            yield _joined(np.concatenate(a), np.concatenate(b))
+            a, b, n = [], [], 0
+    if n:
+        yield _joined(np.concatenate(a), np.concatenate(b))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with what lies in one partition replaced by stars."""
+    return edges.where(F.col("a") != F.col("b")).select("a", "b").mapInArrow(_local, "a long, b long")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step of the alternating stars: a node's neighbours move to its smallest neighbour.
 
@@ -31,17 +75,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); a component is named by its smallest node.
 
-    Alternating large and small stars. Each round's edges are a table in the shared folder, so plans
+    Each partition joins its own edges, which leaves at most one edge for each of its nodes. What is left of up to ``PART`` edges is
+    joined by one task (16 MB); more go through alternating large and small stars. Each round's edges are a table in the shared folder, so plans
     stay short. Ends when a round changes no edge, which is after some log(n)**2 rounds at most.
     """
-    edges = written(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    before = None
-    while True:
-        edges = written(_star(_star(edges, True), False).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+    edges = written(contracted(edges))
+    if edges.count() <= PART:
+        edges = written(contracted(edges.coalesce(1)))
+    else:
+        before = None
+        while True:
+            edges = written(_star(_star(contracted(edges), True), False).distinct())
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -101,18 +101,22 @@ def _prefixes(k: int, t: tuple[int, int], shared):
     """(token, set key) of the prefix of each row's set, without shingles that surely no other set has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, done = shared.value, set()
         for batch in batches:
             for _, data, offsets in textkit.chunks(batch.column(0)):
                 tokens, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
                 for s in textkit.shingle_sets(*textkit.word_hashes(data, offsets, lower=True), k):
+                    key = int(s.sum(dtype=np.uint64))
+                    if key in done:  # a copy of a text of this task
+                        continue
+                    done.add(key)
                     level = levels(s, table)
                     level[np.searchsorted(s, _LIMIT) :] = 255  # not counted: last
                     order = np.argsort(level, kind="stable")[: _probe_prefix(len(s), t)]
                     part = s[order][level[order] > 0]
                     if len(part):
                         tokens.append(part)
-                        keys.append(np.full(len(part), s.sum(dtype=np.uint64)))
+                        keys.append(np.full(len(part), key, np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x).view(np.int64)) for x in (tokens, keys)], ["token", "key"]
                 )
@@ -248,15 +252,29 @@ def _tiles(sets: Column, size: Column, part: int = 1) -> Column:
     return F.ceil(F.greatest(sets / (TILE // part), size / max(TILE_BYTES // part, 1)))
 
 
+def _marked(shared):
+    """Rows whose token is in the table, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = levels(batch.column(0).to_numpy().view(np.uint64), shared.value) > 0
+            yield batch.filter(pa.array(there))
+
+    return run
+
+
 def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The text of each class."""
-    return docs.join(sets.select("rep", "doc_id", "th"), ["doc_id", "th"]).select("rep", "text")
+    """rep and text of each class of ``sets``: the texts that aren't wanted are left out before the join shuffles them."""
+    wanted = sets.select("rep", "doc_id", "th")
+    tokens = written(wanted.select(F.xxhash64("doc_id", "th").alias("token"), F.lit(2).alias("count")))
+    rows = docs.select(F.xxhash64("doc_id", "th").alias("token"), "doc_id", "th", "text")
+    with shared_table(tokens) as shared:
+        some = written(rows.mapInArrow(_marked(shared), "token long, doc_id long, th long, text string"))
+    return written(some.drop("token").join(wanted, ["doc_id", "th"]).select("rep", "text").dropDuplicates(["rep"]))
 
 
-def _large_families(docs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
-    """Links within families of more than a tile; ``sets``: rep, doc_id, th, size, n_shingles, family."""
-    texts = written(_texts(docs, sets).dropDuplicates(["rep"]))
-    sets = sets.select("rep", "size", "n_shingles", "family")
+def _large_families(texts: DataFrame, sets: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """Links within families of more than a tile; ``sets``: rep, size, n_shingles, family."""
     job = _tile_job(k, t, None)
     known, links = sets.withColumn("joined", F.col("rep")), None
     for turn in (0, 1):
@@ -315,13 +333,15 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, t: tuple[int, int]) -> D
     big = written(sizes.where((F.col("sets") > TILE) | (F.col("bytes") > TILE_BYTES)).select("family"))
     small = members.join(big, "family", "left_anti")
     n_groups = int(small.agg(F.sum("size")).first()[0] or 0) // GROUP_BYTES + 1
+    texts = _texts(docs, members)
+    members = members.select("rep", "size", "n_shingles", "family")
     links = (
-        docs.join(small.select("doc_id", "th", "rep", "family"), ["doc_id", "th"])
+        texts.join(small.select("rep", "family"), "rep")
         .select("rep", F.col("rep").alias("joined"), "family", F.lit(0).alias("side"), "text", F.pmod(F.xxhash64("family"), F.lit(n_groups)).alias("part"))
         .groupBy("part").applyInArrow(_tile_job(k, t, "family"), "a long, b long")
     )
     if not big.isEmpty():
-        links = links.unionByName(_large_families(docs, members.join(big, "family", "left_semi"), k, t))
+        links = links.unionByName(_large_families(texts, members.join(big, "family", "left_semi"), k, t))
     return links
 
 

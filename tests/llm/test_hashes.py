@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from gramloom.llm import counts, jaccard, substrings, textkit
+from gramloom.llm import components, counts, jaccard, substrings, textkit
 
 #: Two words of equal polynomial hash modulo 2**64, whatever its base.
 MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
@@ -66,3 +66,24 @@ def test_levels_are_never_too_low(spark, monkeypatch, bits):
     table = counts.count_table(spark.createDataFrame(list(zip(tokens.tolist(), n.tolist())), "token long, count long"))
     assert len(table) <= 1 << 25
     assert (counts.levels(tokens.view(np.uint64), table) >= np.floor(np.log2(n) * 4).astype(int)).all()
+
+
+@pytest.mark.parametrize("part", [1 << 20, 7])
+def test_components(spark, monkeypatch, part):
+    """By one task, and by rounds of stars; chains, stars, repeated edges and loops."""
+    monkeypatch.setattr(components, "PART", part)
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(30)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)] + [(400, 400), (5, 4)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert len(got) == len(want) and {x.node: x.component for x in got} == want

@@ -92,24 +92,28 @@ def want(rows, encoder):
 ROWS = [(5, None, 1), (3, "one two", 2), (9, "", 3), (1, "long words " * 3000, 4), (7, "<|endoftext|>!", 5), (2, MORSE, 6), (4, ESROM, 7)]
 
 
-@pytest.mark.parametrize(("planes", "block", "shard"), [("byte", 16, 64), ("bit", 64, 256), ("byte", 1 << 16, None)])
-def test_files(spark, encoder, tmp_path, planes, block, shard):
+@pytest.mark.parametrize(("planes", "block", "most"), [("byte", 16, 64), ("bit", 64, 256), ("byte", 1 << 16, 1 << 28)])
+def test_files(spark, encoder, tmp_path, planes, block, most):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, part long").repartition(4)
-    index = token_files.write_tokens(docs, PATH, str(tmp_path / "t"), planes=planes, block=block, shard_ids=shard)
+    index = token_files.write_tokens(docs, PATH, str(tmp_path / "t"), planes=planes, block=block, file_ids=most)
     rows = sorted(r[:2] for r in ROWS)
     expected = want(rows, encoder)
     got = sorted(tuple(r) for r in token_files.read_documents(spark, str(tmp_path / "t")).collect())
     assert got == sorted(expected)
-    total = sum(n for _, _, n, _ in expected)
-    blocks = index.orderBy("first_id").collect()
-    assert [b.first_id for b in blocks] == list(range(0, total, block))
-    assert all(b.n_ids == block for b in blocks[:-1])
     stream = [i for _, t in rows for i in [*by_library(encoder, t), 0]]
-    for name in {b.file for b in blocks}:
+    at = 0
+    blocks = index.orderBy("first_id").collect()
+    for name in sorted({b.file for b in blocks}):
+        own = [b for b in blocks if b.file == name]
+        assert [b.first_id for b in own] == list(range(at, at + block * len(own), block))
+        assert all(b.n_ids == block for b in own[:-1])
         file = token_files.TokenFile(str(tmp_path / "t" / name))
-        for start, n in ((0, total), (file.first_id + 5, 40), (file.first_id + file.n_ids - 3, 10)):
-            low, high = max(start, file.first_id), min(start + n, file.first_id + file.n_ids)
-            assert file.read(start, n).tolist() == stream[low:high]
+        assert file.n_ids == sum(b.n_ids for b in own)
+        whole = stream[at : at + file.n_ids]
+        for start, n in ((0, file.n_ids), (5, 40), (file.n_ids - 3, 10), (file.n_ids, 1)):
+            assert file.read(start, n).tolist() == whole[start : start + n]
+        at += file.n_ids
+    assert at == len(stream)
 
 
 def test_files_of_awkward_rows(spark, encoder, tmp_path):
@@ -128,7 +132,7 @@ def test_files_of_awkward_rows(spark, encoder, tmp_path):
 def test_a_lost_block_is_an_error(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some words " * 50)], "doc_id long, text string")
     path = str(tmp_path / "t")
-    token_files.write_tokens(docs, PATH, path, block=16, shard_ids=32)
+    token_files.write_tokens(docs, PATH, path, block=16)
     read_index = token_files.read_index
     try:
         token_files.read_index = lambda s, p: read_index(s, p).where("first_id <> 16")
