@@ -7,8 +7,6 @@ lineitem flags and from orders.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +21,7 @@ from gramloom.plans import lasso as lasso_plan
 from gramloom.plans.association import sample_source, tall_source
 from gramloom.plans.stepwise import run_stepwise
 from gramloom.sources import Matrix, read_delimited, read_epiq, read_pedmap
-from gramloom.sources.shared import shared_folder
+from gramloom.sources.shared import new_path
 from gramloom.sources.sinks import write_epiq, write_lasso_json, write_report
 
 PAIR_THRESHOLD = 0.001
@@ -39,7 +37,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder in the one that driver and executors share."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    return new_path(spark)
 
 
 def _round(c, digits=7):

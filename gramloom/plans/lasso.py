@@ -16,7 +16,6 @@ tables, wide ones take a pass over the rows for each step.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -30,7 +29,7 @@ from gramloom.operators.gram import gram_moments
 from gramloom.operators.ols import Fit, fit_moments
 from gramloom.plans.association import sample_source
 from gramloom.plans.stepwise import DEFAULT_THRESHOLD, StepwiseResult, run_stepwise
-from gramloom.sources.shared import shared_folder
+from gramloom.sources.shared import written
 
 DEFAULT_PENALTY = 0.01
 SGD_ITERATIONS = 100
@@ -254,7 +253,7 @@ def _exact(table, names, n, width, means, penalty, tolerance):
             if places is None and kept <= NARROW * width and kept <= MOST_NARROW:
                 places = sorted(row["pos"] for row in left.select("pos").collect())
                 places = sorted({*places, *(p for s in states for p in s.active), *(p for _, new in wanted for p in new)})
-                narrowed = _written(table.select(_chosen("x", places).alias("x"), *[f"y{i}" for i in range(len(names))]))
+                narrowed = written(table.select(_chosen("x", places).alias("x"), *[f"y{i}" for i in range(len(names))]))
         sums.unpersist()
         if not wanted:
             break
@@ -279,13 +278,6 @@ def _chosen(array: str, places: list) -> Column:
     return F.transform(F.array(*[F.lit(int(p)) for p in places]), lambda i: F.get(array, i))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _safe_test(states, n, rss, squares, top, penalty) -> Column:
     """True for variables that may still be in some response's optimum (or are in its model).
 
