@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import functools
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramloom.sources.shared import file_system, new_path, shared_folder, written
+
+__all__ = [
+    "SPACE", "SPACES", "crc32_of_id", "documents", "file_system", "keeps_names", "new_path", "shared_folder", "words", "written",
+]
+
 #: A word is a run of characters other than blank, tab, line feed, vertical tab, form feed and return.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,34 +24,6 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local master, where one machine holds everything, may go without the setting.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = os.path.join(tempfile.gettempdir(), "gramloom-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def new_path(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here, and lost executors cost nothing of it."""
-    spark = df.sparkSession
-    path = f"{new_path(spark)}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keeps_names(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For operators that return the other columns of their input: those named like the operator's own columns, with a
     leading underscore, have other names while it runs, so neither takes the other's place."""

@@ -36,6 +36,8 @@ STRENGTH = 20
 UNKNOWN = 1e-4
 NONE = "und"
 BLOCK = 128
+#: Sums of the tasks' counts, level by level.
+SHARES = (4096, 64, 1)
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,15 +79,19 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros(BINS, np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(x.as_py(), np.int64)
+    return pa.table({"lang": table.column("lang")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram distributions, from all rows of ``labelled`` (text, lang)."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"))
-    # One row for each task and language goes into the sums.
-    sums = rows.mapInArrow(_count_task, "lang string, counts binary").groupBy("lang").applyInArrow(_sum_counts, "lang string, counts binary")
+    # One row for each task and language goes into the sums, of which none adds up more than a share of the tasks.
+    sums = rows.mapInArrow(_count_task, "lang string, counts binary").withColumn("part", F.spark_partition_id())
+    for share in SHARES:
+        sums = sums.withColumn("part", F.col("part") % share).groupBy("lang", "part").applyInArrow(_sum_counts, "lang string, part int, counts binary")
     found = sorted((r["lang"], np.frombuffer(r["counts"], np.int64)) for r in sums.limit(MOST_LANGUAGES + 1).toLocalIterator())
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")

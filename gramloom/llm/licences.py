@@ -115,7 +115,8 @@ def _pieces(files: DataFrame, vocabulary: list[str]) -> DataFrame:
 def own_licences(files: DataFrame) -> DataFrame:
     """_key, licence, cosine: the best template of each of ``files`` (_key, path, text) that has one."""
     spark = files.sparkSession
-    templates = _template_terms(spark).persist()
+    templates = _template_terms(spark)
+    templates = spark.createDataFrame(templates.collect(), templates.schema)  # a fixed table of some thousand terms
     vocabulary = sorted(r.term for r in templates.where(f"kind <> 'full' OR words <= {SHORT}").select("term").distinct().collect())
     # Equal pieces are matched once, however many files have them.
     uses = written(_pieces(files, vocabulary).groupBy("line", "single", "_key").agg(F.lit(1).alias("_one")).drop("_one"))

@@ -39,12 +39,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import written
+from gramloom.llm.common import file_system, written
 from gramloom.llm.tokens import batch_tokenizer
 
 MAGIC = b"GLTOKEN1"
@@ -112,17 +111,11 @@ def crc_before(crc: int, n_bytes: int) -> int:
 # ---- writing
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 class _File:
     """One file, written block by block."""
 
     def __init__(self, path: str, name: str, block: int, planes: int):
-        self.store, folder = _place(path)
+        self.store, folder = file_system(path)
         self.block, self.planes = block, planes
         self.name, self.whole, self.own = name, f"{folder}/{name}", f"{folder}/_{uuid.uuid4().hex}"
         self.out = self.store.open_output_stream(self.own)
@@ -178,7 +171,7 @@ def write_tokens(
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a fixed vocabulary
-    store, folder = _place(path)
+    store, folder = file_system(path)
     store.create_dir(folder, recursive=True)
     n_planes = PLANES[planes]
 
@@ -246,7 +239,7 @@ def read_parts(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     names = [c.split(" ")[0] for c in PARTS.split(", ")] + (["ids"] if with_ids else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _place(path)
+        store, folder = file_system(path)
         for batch in batches:
             for r in batch.to_pylist():
                 with store.open_input_file(f"{folder}/{r['file']}") as file:
@@ -279,7 +272,7 @@ class TokenFile:
     """One file opened by itself, for a loader: any stretch of its ids by reading only the blocks that hold it."""
 
     def __init__(self, path: str):
-        store, place = _place(path)
+        store, place = file_system(path)
         self.file = store.open_input_file(place)
         planes, self.block = _head(self.file)
         size = self.file.size()
