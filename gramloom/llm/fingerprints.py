@@ -11,7 +11,8 @@ cut the same way, still is the sketch of the union. Two sketches are compared be
 the bounds up to which each is complete.
 
 Edge cases: a null text counts as empty; the empty sketch is like another empty one (1) and unlike all
-others (0). A text of one to four words is one shingle. Letters are lowered first.
+others (0). A text of one to four words is one shingle. Letters are lowered first. Equal texts have equal
+sketches, each row its own; an empty table gives no row. Other columns are not read. Memory grows with the longest text (its words as one array).
 """
 
 from __future__ import annotations

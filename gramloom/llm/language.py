@@ -13,7 +13,8 @@ undetermined language with a flat distribution takes texts unlike all others; it
 
 Edge cases: a null or empty text brings no evidence, and the item is undetermined, as is every item when
 no labelled text was given. A missing declaration, suffix or host brings none either. Equal rows are judged
-alike. Rows with a null id are judged and returned.
+alike. Rows with a null id are judged and returned. ``identify`` returns the columns of the items without text; ``with_language`` keeps all
+columns of documents, whatever their names. A long text is counted in one array of its trigrams, some 30 bytes for each of its own.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ projected, its exact cosines with all labelled vectors come from blocked matrix
 
 Edge cases: a null or empty text is the zero vector; it, and any text unlike all labelled ones,
 gets the sample's mean label. Without labelled rows every score is 0.5. Rows of labels without quality or
-document are left out; a document labelled twice counts twice. Equal texts get equal scores.
+document are left out; a document labelled twice counts twice (of its rows no more than twice ``SAMPLE`` are taken in all). Equal texts get
+equal scores. Other columns are not read. An empty table gives no row. A long text is counted alone, at some 60 bytes for each of its own.
 """
 
 from __future__ import annotations

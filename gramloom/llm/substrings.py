@@ -22,7 +22,8 @@ Instead a text is cut where its content says, and its parts meet in one shard on
 
 Edge cases: a null text has no words; a text of fewer than ``WINDOW`` words has no window and stays. Rows with the
 same doc_id and text are one document, and lose the same words; rows of one doc_id with other texts follow
-each other by hash; a null doc_id comes first. Words are compared by 64-bit hashes, whole runs by 128 bits (their
+each other by hash; a null doc_id comes first. Other columns are not read. A long text is handled alone, at some 60 bytes
+for each of its own. Words are compared by 64-bit hashes, whole runs by 128 bits (their
 anchor and words).
 """
 
