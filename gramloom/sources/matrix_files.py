@@ -58,10 +58,8 @@ def read_epiq(spark: SparkSession, path: str) -> Matrix:
     lines = text_lines(spark, path)
     is_header = F.substring_index("value", "\t", 1).isin(*HEADER_LABELS)
     fields = F.split("value", "\t")
-    samples = lines.where(is_header).select(
-        F.posexplode(F.slice(fields, F.lit(2), F.size(fields) - 1)).alias("idx", "sample")
-    )
-    data, count = numbered(lines.where(~is_header), "pos")
+    data, count, headers = numbered(lines, "pos", is_header)
+    samples = headers.select(F.posexplode(F.slice(fields, F.lit(2), F.size(fields) - 1)).alias("idx", "sample"))
     features = data.select(
         fields[0].alias("name"), F.col("pos").cast("int").alias("pos"), _doubles(fields, ~is_header).alias("values")
     )
@@ -86,8 +84,9 @@ def read_delimited(
             ),
             lambda s: s["x"],
         )
-    lines = numbered(text_lines(spark, path))[0].select("line_no", fields.alias("f"))
-    header = lines.where("line_no = 0").select(F.posexplode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("place", "label"))
+    lines, _, first = numbered(text_lines(spark, path), first=True)
+    lines = lines.select("line_no", fields.alias("f"))
+    header = first.select(fields.alias("f")).select(F.posexplode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("place", "label"))
     data = lines.where("line_no > 0").select(
         F.col("f")[0].alias("key"), (F.col("line_no") - 1).cast("int").alias("row"),
         _doubles(F.col("f"), F.col("line_no") > 0).alias("values"),
