@@ -93,24 +93,26 @@ def centred_t(squares, noise, mean, zw, n_responses, state: ModelState):
 
 def _mask(state: ModelState, pos_a, pos_b):
     """Candidates of a batch this model may still take."""
-    ok = np.ones(len(pos_a), dtype=bool)
-    for term in state.blocked:
-        a, b = term if len(term) == 2 else (term[0], -1)
-        ok &= ~((pos_a == a) & (pos_b == b))
+    own = _keys(pos_a, pos_b)
+    ok = ~np.isin(own, _term_keys(state.blocked))
     if state.variables is not None:
         # Both sides of a pair have to be among them; -1 stands for no second side.
-        may = np.zeros(max(int(pos_a.max(initial=0)), int(pos_b.max(initial=0)), max(state.variables, default=0)) + 2, dtype=bool)
-        may[[-1, *state.variables]] = True
-        ok &= may[pos_a] & may[pos_b]
+        ok &= np.isin(pos_a, state.variables) & np.isin(pos_b, [-1, *state.variables])
     if state.allowed is not None:
-        listed = np.zeros(len(pos_a), dtype=bool)
-        for term in state.allowed:
-            a, b = term if len(term) == 2 else (term[0], -1)
-            listed |= (pos_a == a) & (pos_b == b)
-        ok &= listed
+        ok &= np.isin(own, _term_keys(state.allowed))
     return ok
 
 
+def _keys(pos_a, pos_b) -> np.ndarray:
+    """One number for each term; pos_b is -1 for singles."""
+    return (np.asarray(pos_a, dtype=np.int64) << 32) + np.asarray(pos_b, dtype=np.int64)
+
+
+def _term_keys(terms) -> np.ndarray:
+    places = np.array([t if len(t) == 2 else (t[0], -1) for t in terms], dtype=np.int64).reshape(-1, 2)
+    return _keys(places[:, 0], places[:, 1])
+
+
 def _batch(pos_a, pos_b, zz, z1, zw):
     return {"pos_a": pos_a, "pos_b": pos_b, "zz": zz, "z1": z1, "zw": zw}
 
