@@ -227,24 +227,22 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows are sorted by these and ``head``; the first of a slice has the p of zero counts of both sides, the others the places and
     p of the sources that have the term.
     """
-    key = total = zero = None
-    places: list = []
-
-    def add() -> None:
-        nonlocal places
-        if not places:
-            return
-        left, right = (np.tile(z, (len(places), 1)) for z in zero)
-        for out, side in ((left, 0), (right, 1)):
-            n = [len(x[side][0]) for x in places]
-            rows = np.repeat(np.arange(len(places)), n)
-            at, p = (np.concatenate([np.array(x[side][j], np.int64) for x in places]).astype(np.int64) for j in (0, 1))
-            out[rows, at] = p
-        total[:] += ((left[:, :, None] - right[:, None, :]) ** 2 // right[:, None, :] - base).sum(0)
-        places = []
+    key = total = zero = base = None
+
+    def add(sides: list[pa.ListArray], first: int, end: int) -> None:
+        step = max((1 << 20) // total.size, 1)
+        for low in range(first, end, step):
+            high = min(low + step, end)
+            left, right = (np.tile(z, (high - low, 1)) for z in zero)
+            for out, at, p in ((left, *sides[:2]), (right, *sides[2:])):
+                offsets = at.offsets.to_numpy()[low : high + 1]
+                cut = slice(int(offsets[0]), int(offsets[-1]))
+                out[np.repeat(np.arange(high - low), np.diff(offsets)), at.values.to_numpy()[cut]] = p.values.to_numpy()[
+                    int(p.offsets[low].as_py()) : int(p.offsets[high].as_py())
+                ]
+            total[:] += ((left[:, :, None] - right[:, None, :]) ** 2 // right[:, None, :] - base).sum(0)
 
     def done() -> pa.RecordBatch:
-        add()
         i, j = np.nonzero(total)
         k = len(i)
         lang, a, b, _ = key
@@ -254,20 +252,19 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        columns = [batch.column(c) for c in ("lang", "ta", "tb", "slice", "head")]
         sides = [batch.column(c) for c in ("at_a", "p_a", "at_b", "p_b")]
-        for i, (lang, a, b, part, head) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
-            at_a, p_a, at_b, p_b = (np.array(s[i].as_py() or [], np.int64) for s in sides)
-            if head == 0:
-                if key is not None:
-                    yield done()
-                key, zero = (lang, a, b, part), (p_a, p_b)
-                base = (p_a[:, None] - p_b[None, :]) ** 2 // p_b[None, :]
-                total = np.zeros_like(base)
-            else:
-                places.append(((at_a, p_a), (at_b, p_b)))
-                if len(places) * total.size > 1 << 20:
-                    add()
+        heads = np.flatnonzero(batch.column("head").to_numpy() == 0).tolist()
+        # Rows up to the first head belong to the slice before; each head begins one of its own.
+        if key is not None:
+            add(sides, 0, heads[0] if heads else batch.num_rows)
+        for i, end in zip(heads, [*heads[1:], batch.num_rows], strict=False):  # nothing without heads
+            if key is not None:
+                yield done()
+            key = tuple(batch.column(c)[i].as_py() for c in ("lang", "ta", "tb", "slice"))
+            zero = tuple(np.array(sides[c][i].as_py(), np.int64) for c in (1, 3))
+            base = (zero[0][:, None] - zero[1][None, :]) ** 2 // zero[1][None, :]
+            total = np.zeros_like(base)
+            add(sides, i + 1, end)
     if key is not None:
         yield done()
 

@@ -118,7 +118,12 @@ def test_source_audit_on_awkward_rows(spark, monkeypatch, tile, top, gathered):
     monkeypatch.setattr(divergence, "TILE", tile)
     monkeypatch.setattr(divergence, "GATHERED", gathered)
     docs = spark.createDataFrame(awkward(9), SCHEMA).repartition(5)
-    got = divergence.audit_sources(docs, top).toPandas()
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if tile == 128 else 3)
+    try:
+        got = divergence.audit_sources(docs, top).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     same(got, by_sql(divergence.SQL.replace("rank <= 200", f"rank <= {top}"), documents=docs.toPandas()))
     assert {"pair", "term"} == set(got["part"])
     assert divergence.audit_sources(docs.limit(0)).count() == 0
