@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SQL_FORM_LIMIT = 8
+SQL_FORM_LIMIT = 5
 # A wider partial matrix (512 KB) is not made for each input split, but for as many tasks as shuffles have.
 SPLIT_COLUMNS = 256
 # Numbers in a block of rows folded at once.
