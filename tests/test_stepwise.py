@@ -161,3 +161,30 @@ def test_stops_before_degrees_of_freedom_run_out(spark):
     r = run_stepwise(source, 0.999999)
     assert r.fits["y"].df_error >= 1
     source.close()
+
+
+@pytest.mark.parametrize("epistatic", [True, False])
+def test_many_samples_are_scanned_without_a_broadcast(spark, epistatic):
+    from gramloom.operators.scan import scan, side_columns
+
+    rng = np.random.default_rng(21)
+    n, names = 2000, [f"v{i}" for i in range(7)]
+    x = {k: 3 + rng.normal(size=n) for k in names}
+    ys = {"y1": x["v1"] * x["v5"] + x["v3"] + rng.normal(size=n), "y2": x["v2"] + rng.normal(size=n)}
+    packs = packed(spark, x), packed(spark, ys), len(names), n, epistatic
+    whole, blocks = packed_source(*packs), packed_source(*packs, 3, 256)
+    a, b = run_stepwise(whole, 0.01), run_stepwise(blocks, 0.01)
+    assert len(a.trace) > 4 and [e[:6] for e in a.trace] == [e[:6] for e in b.trace]
+    for one, other in zip(a.models(), b.models(), strict=True):
+        assert np.allclose(one.beta, other.beta, rtol=1e-9) and np.allclose(one.t, other.t, rtol=1e-8)
+    term = (3,)
+    whole.best({r: ([], set(), {term}, None) for r in range(2)})  # learn its sums
+    cross = whole.cross
+    states = [cross.state(r, [term], [0], {term}, None) for r in range(2)]
+    weights = side_columns(whole.tiles, whole.responses, cross.y_mean, [term], [cross.mean[term]])
+    plan = scan(whole.layout, weights, 2, 1, states)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    seeded = [run_stepwise(s, 0.01, added=[term, (1, 5)] if epistatic else [term]) for s in (whole, blocks)]
+    assert [e[:6] for e in seeded[0].trace] == [e[:6] for e in seeded[1].trace]
+    whole.close()
+    blocks.close()
