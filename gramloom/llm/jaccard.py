@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm import textkit
-from gramloom.llm.common import written
+from gramloom.llm.common import gives_back, written
 from gramloom.llm.components import connected_components
 from gramloom.llm.counts import levels, shared_table
 
@@ -62,6 +62,7 @@ def _probe_prefix(n: int, t: tuple[int, int]) -> int:
 
 
 def _summaries(k: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k1, k2, size = [], [], [], [np.zeros(0, np.int64)]
@@ -88,6 +89,7 @@ _LIMIT = np.uint64(int(COUNTED * (1 << 64)))
 def _counted(k: int):
     """The shingles that are counted, once for each row that has them."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in textkit.chunks(batch.column(0)):
@@ -100,6 +102,7 @@ def _counted(k: int):
 def _prefixes(k: int, t: tuple[int, int], shared):
     """(token, set key) of the prefix of each row's set, without shingles that surely no other set has."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, done = shared.value, set()
         for batch in batches:
@@ -124,6 +127,7 @@ def _prefixes(k: int, t: tuple[int, int], shared):
     return run
 
 
+@gives_back
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by token and key: (first key of the token, other key).
 
@@ -255,6 +259,7 @@ def _tiles(sets: Column, size: Column, part: int = 1) -> Column:
 def _marked(shared):
     """Rows whose token is in the table, and few others."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             there = levels(batch.column(0).to_numpy().view(np.uint64), shared.value) > 0

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm import textkit
-from gramloom.llm.common import keeps_names, written
+from gramloom.llm.common import gives_back, keeps_names, written
 
 BINS = 1 << 14
 #: Languages told apart; counts of each take BINS * 8 bytes on the driver and in each task.
@@ -60,6 +60,7 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (tri[same] % BINS).astype(np.int64), owner[:-2][same]
 
 
+@gives_back
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row of counts for each language seen in the task."""
     counts: dict[str, np.ndarray] = {}
@@ -109,6 +110,7 @@ def text_evidence(items: DataFrame, model: tuple[list[str], np.ndarray]) -> Data
     shared = items.sparkSession.sparkContext.broadcast(logs.astype(np.float32))
     names = [c for c in items.columns if c != "text"]
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
         for batch in batches:

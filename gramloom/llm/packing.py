@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import written
+from gramloom.llm.common import gives_back, written
 from gramloom.llm.prefix import prefix_sums
 from gramloom.llm.tokens import batch_tokenizer
 
@@ -50,6 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = batch_tokenizer(shared.value)
         rows: list[tuple] = []

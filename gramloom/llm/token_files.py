@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import file_system, written
+from gramloom.llm.common import file_system, gives_back, written
 from gramloom.llm.tokens import batch_tokenizer
 
 MAGIC = b"GLTOKEN1"
@@ -175,6 +175,7 @@ def write_tokens(
     store.create_dir(folder, recursive=True)
     n_planes = PLANES[planes]
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number, file, ids = batch_tokenizer(shared.value), TaskContext.get().partitionId(), 0, None, None
         for batch in batches:

@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from gramloom.llm.common import give_back
 from gramloom.llm.textkit import span_hashes
 
 #: Code points cut at once, at some 70 bytes each.
@@ -282,4 +283,5 @@ def batch_tokenizer(json_text: str) -> BatchTokenizer:
     if json_text not in _made:
         _made.clear()
         _made[json_text] = BatchTokenizer(json_text)
+        give_back()  # reading the JSON took more than the tokenizer takes
     return _made[json_text]
