@@ -5,17 +5,17 @@ bitmap signatures, and the bits one set has and another lacks bound their overla
 pairs that pass the bound have their sorted shingle arrays intersected.
 
 Which sets meet in a tile. Under any fixed order of all shingles, two sets with Jaccard >= t share a
-shingle within the first |x| - ceil(t |x|) + 1 of each (prefix filter). Sets that share such a shingle are tied
-to its first holder; the connected pieces of these ties are *families*. Links can only lie within
-a family. The order is by how many documents have a shingle, rare ones first, so texts that share a passage,
-but little else, are not tied. For it the shingles in the lower ``COUNTED`` part of the hash space are counted
-over all documents, and the logarithms of counts above one are kept in a hashed table of fixed size (see
+shingle within the first |x| - ceil(t |x|) + 1 of each (prefix filter). Of sets that share such a shingle only those are tied whose sizes, and
+its place in each, leave room for enough shared ones behind it (length and position filter; ``_ties``); the connected pieces of these ties are
+*families*. Links can only lie within a family. The order is by how many different texts have a shingle, rare ones first, so texts that share a
+passage, but little else, are not tied. For it the shingles in the lower ``COUNTED`` part of the hash space are counted
+over one text of each class (see below), and the logarithms of counts above one are kept in a hashed table of bounded size (see
 ``counts``). What it mistakes only changes the order, never the result. Shingles that are not
-counted come last. A counted shingle of one document needs no row at all.
+counted come last. A counted shingle of one text needs no row at all.
 
 A family of up to ``TILE`` sets is one tile. A larger one is cut by size band and a hash: first twice
 by itself (two different cuts), which joins nearly all of a group of near copies; then only sets
-outside a family's largest component meet the rest, tile by tile. Two sets already known to be
+outside a family's largest component meet the rest, tile by tile (of ``8 * TILE`` sets). Two sets already known to be
 connected are not compared again, so a tile of n copies takes some n comparisons and gives at most
 n - 1 links.
 
@@ -24,7 +24,7 @@ classes. Rows that share a doc_id are tied by links between their classes, so a
 however its texts are compared.
 
 Memory: texts are hashed in stretches of rows of about ``textkit.CHUNK_BYTES``, a longer one alone (some 60 bytes for each of its own); a
-tile holds up to ``TILE`` sets and ``TILE_BYTES`` of text, or one longer text.
+tile holds up to ``TILE`` sets (16 times as many where parts of a family meet) and ``TILE_BYTES`` of text, or one longer text.
 
 Edge cases: a null or empty text has an empty set and is linked with nothing. Rows of one text form
 one class with each other (except empty ones). Rows that share a doc_id are one node. A row
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from gramloom.llm import textkit
 from gramloom.llm.common import gives_back, written
 from gramloom.llm.components import connected_components
-from gramloom.llm.counts import levels, shared_table
+from gramloom.llm.counts import levels, mark_table, shared_table
 
 #: Sets in a tile. Signatures of a tile take TILE * SIGNATURE_BITS / 8 bytes.
 TILE = 512
@@ -86,28 +86,42 @@ def _summaries(k: int):
 _LIMIT = np.uint64(int(COUNTED * (1 << 64)))
 
 
-def _counted(k: int):
+def _wanted(batch: pa.RecordBatch, marks) -> pa.RecordBatch:
+    """Rows of a batch whose token, its first column, is in the shared table ``marks``, and few others."""
+    return batch.filter(pa.array(levels(batch.column(0).to_numpy().view(np.uint64), marks.value) > 0))
+
+
+def _counted(k: int, marks):
     """The shingles that are counted, once for each row that has them."""
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in textkit.chunks(batch.column(0)):
+            for _, data, offsets in textkit.chunks(_wanted(batch, marks).column(1)):
                 parts = [s[: np.searchsorted(s, _LIMIT)] for s in textkit.shingle_sets(*textkit.word_hashes(data, offsets, lower=True), k)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["token"])
 
     return run
 
 
-def _prefixes(k: int, t: tuple[int, int], shared):
-    """(token, set key) of the prefix of each row's set, without shingles that surely no other set has."""
+def _reach(n: int, places: np.ndarray, t: tuple[int, int]) -> np.ndarray:
+    """The size of the largest set that may link to a set of n, if the first shingle they share is the set's ``places``-th (from 0).
+
+    They share n - place at most, and p / (p + q) of both sizes together if Jaccard >= p / q.
+    """
+    p, q = t
+    return (q * n - (p + q) * places) // p
+
+
+def _prefixes(k: int, t: tuple[int, int], marks, shared):
+    """(token, set size, set key, reach) of the prefix of each row's set, without shingles that surely no other set has."""
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, done = shared.value, set()
         for batch in batches:
-            for _, data, offsets in textkit.chunks(batch.column(0)):
-                tokens, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for _, data, offsets in textkit.chunks(_wanted(batch, marks).column(1)):
+                tokens, keys, sizes, reaches = ([np.zeros(0, kind)] for kind in (np.uint64, np.uint64, np.int64, np.int64))
                 for s in textkit.shingle_sets(*textkit.word_hashes(data, offsets, lower=True), k):
                     key = int(s.sum(dtype=np.uint64))
                     if key in done:  # a copy of a text of this task
@@ -116,12 +130,18 @@ def _prefixes(k: int, t: tuple[int, int], shared):
                     level = levels(s, table)
                     level[np.searchsorted(s, _LIMIT) :] = 255  # not counted: last
                     order = np.argsort(level, kind="stable")[: _probe_prefix(len(s), t)]
-                    part = s[order][level[order] > 0]
-                    if len(part):
-                        tokens.append(part)
-                        keys.append(np.full(len(part), key, np.uint64))
+                    place = np.flatnonzero(level[order] > 0)
+                    if len(place):
+                        tokens.append(s[order][place])
+                        keys.append(np.full(len(place), key, np.uint64))
+                        sizes.append(np.full(len(place), len(s)))
+                        reaches.append(_reach(len(s), place, t))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).view(np.int64)) for x in (tokens, keys)], ["token", "key"]
+                    [
+                        pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sizes), pa.int32()),
+                        pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reaches), pa.int32()),
+                    ],
+                    ["token", "size", "key", "reach"],
                 )
 
     return run
@@ -129,24 +149,39 @@ def _prefixes(k: int, t: tuple[int, int], shared):
 
 @gives_back
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token and key: (first key of the token, other key).
+    """From rows sorted by token, size and key: (a, b), keys of sets that the token ties.
+
+    Two sets may link if neither is larger than the other's reach. *Early* ones reach their own size at least. Such sets in a row are
+    tied while one before reaches them: all early ones that may link are then connected, as those of sizes between them are
+    reached too. Another set can only be the larger one of a link; those that it may link to are all connected, and it is tied to the last early one.
 
-    Only the token at hand and its first key are carried from batch to batch, so a token that a third
+    Only the token at hand and one row that stands for its sets so far are carried from batch to batch, so a token that a third
     of all rows have takes no more memory than any other.
     """
-    last_token, last_first = None, None
+    last = None  # token, size of the first set in the row at hand, key of the last early one, largest reach
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        first = key[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
-        if last_token is not None and token[0] == last_token:
-            first[: int(np.flatnonzero(new)[1]) if new.sum() > 1 else len(token)] = last_first
-        last_token, last_first = token[-1], first[-1]
-        pairs = np.stack([first, key], 1)[first != key]
+        token, size, key, reach = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+        if last is not None and token[0] == last[0]:
+            token, size, key, reach = (np.concatenate([[x], y]) for x, y in zip(last, (token, size, key, reach), strict=True))
+        at = np.arange(len(token))
+        group = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]])) << 32
+        early = reach >= size
+        reached = np.maximum.accumulate(group + np.where(early, reach, -1))
+        before = np.concatenate([[-1], reached[:-1]]) - group
+        tied = before >= size
+        back = lambda x: np.maximum.accumulate(np.where(x, at, -1))
+        previous = np.concatenate([[-1], back(early)[:-1]])
+        first = back(early & ~tied)
+        tied &= early | (size[first] <= reach)
+        pairs = np.stack([key[previous[tied]], key[tied]], 1)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        end = back(early)[-1]
+        # Without an early one of the last token, what is carried reaches nothing.
+        known = end >= 0 and token[end] == token[-1]
+        last = (token[-1], size[first[end]], key[end], reached[-1] - group[-1]) if known else None
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
@@ -238,44 +273,50 @@ def _band(n, t: tuple[int, int], shift: float = 0.0):
     return F.floor(F.log(n.cast("double")) / math.log(t[1] / t[0]) + shift).cast("long")
 
 
-def _families(docs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
-    """(key, family) of the sets that share a prefix shingle with another one."""
-    texts = docs.select("text")
-    counts = written(texts.mapInArrow(_counted(k), "token long").groupBy("token").count().where("count > 1"))
-    with shared_table(counts) as shared:
-        ties = (
-            texts.mapInArrow(_prefixes(k, t, shared), "token long, key long").repartition("token")
-            .sortWithinPartitions("token", "key").mapInArrow(_ties, "a long, b long")
-        )
-        families = connected_components(ties)
-    return families.select(F.col("node").alias("key"), F.col("component").alias("family"))
+def _token() -> Column:
+    return F.xxhash64("doc_id", "th").alias("token")
+
+
+def _tokens(classes: DataFrame) -> DataFrame:
+    """What ``_wanted`` finds the texts of classes by."""
+    return written(classes.select(_token()))
 
 
-def _tiles(sets: Column, size: Column, part: int = 1) -> Column:
-    """How many tiles (or parts of one) so many sets and bytes of text fill."""
-    return F.ceil(F.greatest(sets / (TILE // part), size / max(TILE_BYTES // part, 1)))
+def _families(docs: DataFrame, classes: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """(key, family) of the sets that share a prefix shingle with another one that is near enough in size."""
+    # One text of each class will do; the few others that are read as well only change the order of the shingles.
+    with shared_table(_tokens(classes), mark_table) as marks:
+        rows = docs.select(_token(), "text")
+        counts = written(rows.mapInArrow(_counted(k, marks), "token long").groupBy("token").count().where("count > 1"))
+        with shared_table(counts) as shared:
+            ties = (
+                rows.mapInArrow(_prefixes(k, t, marks, shared), "token long, size int, key long, reach int").repartition("token")
+                .sortWithinPartitions("token", "size", "key").mapInArrow(_ties, "a long, b long")
+            )
+            families = connected_components(ties)
+    return families.select(F.col("node").alias("key"), F.col("component").alias("family"))
+
 
+def _tiles(sets: Column, size: Column, times: int = 1, part: int = 1) -> Column:
+    """How many tiles of ``times`` as many sets, or parts of one in bytes, so many sets and bytes of text fill."""
+    return F.ceil(F.greatest(sets / (TILE * times), size / max(TILE_BYTES // part, 1)))
 
-def _marked(shared):
-    """Rows whose token is in the table, and few others."""
 
+def _marked(marks):
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            there = levels(batch.column(0).to_numpy().view(np.uint64), shared.value) > 0
-            yield batch.filter(pa.array(there))
+            yield _wanted(batch, marks)
 
     return run
 
 
 def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """rep and text of each class of ``sets``: the texts that aren't wanted are left out before the join shuffles them."""
-    wanted = sets.select("rep", "doc_id", "th")
-    tokens = written(wanted.select(F.xxhash64("doc_id", "th").alias("token"), F.lit(2).alias("count")))
-    rows = docs.select(F.xxhash64("doc_id", "th").alias("token"), "doc_id", "th", "text")
-    with shared_table(tokens) as shared:
-        some = written(rows.mapInArrow(_marked(shared), "token long, doc_id long, th long, text string"))
-    return written(some.drop("token").join(wanted, ["doc_id", "th"]).select("rep", "text").dropDuplicates(["rep"]))
+    """rep, large and text of each class of ``sets``: the texts that aren't wanted are left out before the join shuffles them."""
+    wanted = sets.select("rep", "doc_id", "th", "large")
+    with shared_table(_tokens(wanted), mark_table) as marks:
+        some = written(docs.select(_token(), "doc_id", "th", "text").mapInArrow(_marked(marks), "token long, doc_id long, th long, text string"))
+    return written(some.drop("token").join(wanted, ["doc_id", "th"]).select("rep", "large", "text").dropDuplicates(["rep"]))
 
 
 def _large_families(texts: DataFrame, sets: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
@@ -304,7 +345,8 @@ def _large_families(texts: DataFrame, sets: DataFrame, k: int, t: tuple[int, int
     )
     rest_of = lambda c: F.sum(F.when(F.col("rest"), c).otherwise(0))
     tiles = cell.groupBy("family", "band").agg(
-        _tiles(rest_of(F.lit(1)), rest_of(F.col("size")), 2).alias("rests"), _tiles(F.count("*"), F.sum("size"), 2).alias("alls")
+        # Of many short texts more make a tile: each text goes to all parts of the other side.
+        _tiles(rest_of(F.lit(1)), rest_of(F.col("size")), 8, 2).alias("rests"), _tiles(F.count("*"), F.sum("size"), 8, 2).alias("alls")
     )
     cell = written(cell.join(tiles, ["family", "band"]))
     near = tiles.select("family", F.col("band").alias("other"), "rests", "alls")
@@ -332,21 +374,23 @@ def _large_families(texts: DataFrame, sets: DataFrame, k: int, t: tuple[int, int
 
 def _links(docs: DataFrame, classes: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
     """(a, b): links between classes that connect all classes which links connect."""
-    families = _families(docs, k, t).withColumnRenamed("key", "k1")
+    families = _families(docs, classes, k, t).withColumnRenamed("key", "k1")
     members = written(classes.join(families, "k1").select("rep", "doc_id", "th", "size", "n_shingles", "family"))
     sizes = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("size").alias("bytes"))
     big = written(sizes.where((F.col("sets") > TILE) | (F.col("bytes") > TILE_BYTES)).select("family"))
-    small = members.join(big, "family", "left_anti")
+    members = written(members.join(big.withColumn("large", F.lit(True)), "family", "left").withColumn("large", F.coalesce("large", F.lit(False))))
+    small = members.where("NOT large")
     n_groups = int(small.agg(F.sum("size")).first()[0] or 0) // GROUP_BYTES + 1
     texts = _texts(docs, members)
-    members = members.select("rep", "size", "n_shingles", "family")
+    members = members.select("rep", "size", "n_shingles", "family", "large")
     links = (
-        texts.join(small.select("rep", "family"), "rep")
+        texts.where("NOT large").join(small.select("rep", "family"), "rep")
         .select("rep", F.col("rep").alias("joined"), "family", F.lit(0).alias("side"), "text", F.pmod(F.xxhash64("family"), F.lit(n_groups)).alias("part"))
         .groupBy("part").applyInArrow(_tile_job(k, t, "family"), "a long, b long")
     )
     if not big.isEmpty():
-        links = links.unionByName(_large_families(texts, members.join(big, "family", "left_semi"), k, t))
+        large = texts.where("large").select("rep", "text")
+        links = links.unionByName(_large_families(large, members.where("large").drop("large"), k, t))
     return links
 
 
