@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gramloom.llm import counts, jaccard
+from gramloom.llm import counts, jaccard, near_duplicates
 
 SCHEMA = "doc_id long, text string"
 T = (3, 4)
@@ -62,15 +62,27 @@ def in_families(monkeypatch):
     return found
 
 
-def test_sets_of_far_sizes_and_equal_texts_make_no_family(spark, in_families):
+def far_sizes():
+    """Passages, texts of four of them, and all of these again."""
     passage = [" ".join(f"p{i}x{j}" for j in range(12)) for i in range(40)]
     rows = [*enumerate(passage), *((100 + i, " ".join(passage[i : i + 4])) for i in range(0, 40, 4))]
-    rows += [(i + 1000, t) for i, t in rows]
+    return rows + [(i + 1000, t) for i, t in rows]
+
+
+def test_sets_of_far_sizes_and_equal_texts_make_no_family(spark, in_families):
+    rows = far_sizes()
     got = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i % 1000 for i, _ in rows}
     assert in_families == [0]
 
 
+def test_nor_in_the_pipelines_stage(spark, in_families):
+    rows = far_sizes()
+    got = near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {tuple(r) for r in got} == {x for x in rows if x[0] < 1000} and len(got) == 50
+    assert in_families == [0]
+
+
 def test_a_full_table_still_tells_what_is_rare(spark, monkeypatch):
     r = np.random.default_rng(2)
     many, once = (r.integers(-(1 << 63), 1 << 63, n) for n in (20_000, 20_000))
